@@ -87,3 +87,17 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, weights=WEIGHTS, t
     cutoff = edge.join(edge_rows.where("_run <= _budget").agg(F.max("finish").alias("_last"))).select(F.when(F.col("_edge").isNull(), F.lit(float("inf"))).otherwise(F.coalesce("_last", start)).alias("_cutoff"), (F.col("_edge").isNotNull() & F.col("_last").isNull()).alias("_strict"))
     served = F.size(F.filter("_finish", lambda f: (f < F.col("_cutoff")) | ((f == F.col("_cutoff")) & ~F.col("_strict"))))
     return queued.crossJoin(F.broadcast(cutoff)).select("doc_id", "source", "size", "source_size", "target", F.when(F.col("_finish").isNull(), F.lit(0)).otherwise(F.col("size") * served).cast("long").alias("taken"))
+
+
+def take(docs: DataFrame, **how) -> DataFrame:
+    """docs (columns doc_id, source, text and any others) that the mix takes, with size, source_size, target and taken.
+
+    Rows that repeat an id and size are told apart by a rank, so each gets its own share.
+    """
+    mixed = mix(docs, **how)
+    twin = W.partitionBy("_id", "_size").orderBy("taken")
+    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "source_size", "target", "taken").withColumn("_rank", F.row_number().over(twin)).where("taken > 0")
+    own = W.partitionBy("doc_id", "size").orderBy(F.xxhash64("text"))
+    sized = docs.withColumn("size", F.size(words_of(F.col("text"))).cast("long")).withColumn("_own", F.row_number().over(own))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("_own") == F.col("_rank"))
+    return sized.join(mixed, same).select(*docs.columns, "size", "source_size", "target", "taken")

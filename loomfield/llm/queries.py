@@ -5,13 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality_rules
+from . import chat, decontam, langid, line_dedup, minhash_dedup, mixing, pii, quality_knn, quality_rules, suffix_dedup
+from .ngrams import fold_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible lines of every page without the boilerplate of its site."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = line_dedup.drop_boilerplate(pages, line_dedup.html_lines(F.col("html")), line_dedup.url_host(F.col("url")), "page_id")
+    kept = F.array_join("kept_lines", "\n")
+    return out.select("page_id", line_dedup.url_host(F.col("url")).alias("host"), F.size("kept_lines").cast("long").alias("n_kept"), "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    taught = _table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 3) != 1).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    out = quality_knn.rate(docs, quality_knn.learn(taught, docs))
+    return out.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.group_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",")
+    return found.select("doc_id", "n_shingles", F.size("item_ids").cast("long").alias("n_items"), items.alias("items"), "containment", (F.size("item_ids") == 0).alias("kept"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(fold_of(F.col("doc_id"), 4) != 2).select(F.col("doc_id").alias("id"), "lang", "text"))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.learn(docs)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -27,11 +69,71 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows)).drop("identical")
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing, "op10_chat_formatting": op10_chat_formatting}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_knn, op3_minhash_dedup, op4_quality_rules, op5_suffix_dedup, op6_decontamination, op7_language_id, op8_mixing, op9_pii, op10_chat_formatting, pipeline)}
 
 _SPLIT = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+_SETS = rf"""
+w AS (SELECT rid, id, {{split}} AS ws FROM {{rows}}),
+s AS (SELECT DISTINCT rid, id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0))"""
+
 ORACLES = {
+    "op1_line_dedup": r"""
+WITH a AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
+                  regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'gis') AS t FROM pages),
+b AS (SELECT page_id, host, regexp_replace(regexp_replace(t, '</?(p|div|li|ul|ol|nav|h[1-6]|br|tr|td|th|table|article|section|header|footer|title|head|body|html|aside|main|pre|blockquote)( [^>]*)?/?>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(regexp_replace(s, '[ \t\r]+', ' ', 'g'))), lambda s: s <> '') AS ls FROM b),
+e AS (SELECT page_id, host, unnest(list_distinct(ls)) AS l FROM c),
+n AS (SELECT host, count(*) AS pages FROM c GROUP BY host),
+k AS (SELECT host, l FROM e GROUP BY host, l HAVING count(*) > 1),
+bad AS (SELECT e.host, list(DISTINCT e.l) AS bl FROM (SELECT host, l, count(*) AS c FROM e GROUP BY host, l) e JOIN n USING (host) WHERE pages >= 10 AND c > 0.3e0 * pages AND c > 1 GROUP BY e.host),
+f AS (SELECT page_id, c.host, ls, list_filter(ls, lambda s: NOT list_contains(coalesce(bl, []), s)) AS kept FROM c LEFT JOIN bad USING (host))
+SELECT page_id, host, len(kept)::BIGINT AS n_kept, (len(ls) - len(kept))::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM f""",
+    # Exact: every pair of different shingle sets that share a shingle is counted; classes of equal sets go as one.
+    "op3_minhash_dedup": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+{_SETS.format(split=_SPLIT, rows='d')},
+z AS (SELECT rid, any_value(id) AS id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS m FROM s GROUP BY rid),
+r AS (SELECT m, n, min(id) AS rep, arg_min(rid, id) AS rid FROM z GROUP BY m, n),
+t AS MATERIALIZED (SELECT r.rep, r.n, s.g FROM r JOIN s USING (rid)),
+p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep),
+l AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+walk(x, y) AS (SELECT DISTINCT x, x AS y FROM e UNION SELECT w.x, e.y FROM walk w JOIN e ON w.y = e.x),
+k AS (SELECT x, min(y) AS c FROM walk GROUP BY x)
+SELECT d.id AS doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(k.c, r.rep, d.id) AS component_id, d.id = coalesce(k.c, r.rep, d.id) AS kept
+FROM d LEFT JOIN z USING (rid) LEFT JOIN r ON z.m = r.m AND z.n = r.n LEFT JOIN k ON k.x = r.rep""",
+    "op5_suffix_dedup": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS g FROM (SELECT rid, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)),
+m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT rid, i FROM w JOIN m USING (g) WHERE doc_id > least),
+o AS (SELECT rid, i, i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i) + 50, -1) AS new FROM c),
+u AS (SELECT rid, i, sum(new::INT) OVER (PARTITION BY rid ORDER BY i) AS island FROM o),
+v AS (SELECT rid, island, min(i) AS b, max(i) + 50 AS e FROM u GROUP BY rid, island),
+x AS (SELECT v.rid, b, e, substr(h, 2 * coalesce(lag(e) OVER (PARTITION BY v.rid ORDER BY b), 0) + 1, 2 * (b - coalesce(lag(e) OVER (PARTITION BY v.rid ORDER BY b), 0))) AS piece FROM v JOIN d USING (rid)),
+y AS (SELECT rid, count(*) AS n_spans, sum(e - b) AS n_removed, string_agg(piece, '' ORDER BY b) AS head, max(e) AS last FROM x GROUP BY rid)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN y USING (rid)""",
+    "op6_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+{_SETS.format(split=_SPLIT, rows='d')},
+bw AS (SELECT item_id, {_SPLIT} AS ws FROM (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark)),
+b AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM bw WHERE len(ws) > 0)),
+bn AS (SELECT item_id, count(*) AS q FROM b GROUP BY item_id),
+h AS (SELECT rid, item_id, count(*) AS c FROM s JOIN b USING (g) GROUP BY rid, item_id),
+f AS (SELECT rid, item_id, c / q::DOUBLE AS r FROM h JOIN bn USING (item_id) WHERE 100 * c >= 75 * q),
+g AS (SELECT rid, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(r) AS r FROM f GROUP BY rid),
+z AS (SELECT rid, count(*) AS n_shingles FROM s GROUP BY rid)
+SELECT id AS doc_id, coalesce(n_shingles, 0)::BIGINT AS n_shingles, coalesce(n, 0)::BIGINT AS n_items, coalesce(items, '') AS items, coalesce(r, 0e0) AS containment, n IS NULL AS kept
+FROM d LEFT JOIN z USING (rid) LEFT JOIN g USING (rid)""",
     "op4_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_SPLIT} AS words,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls
