@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATIO, MIN_PAGES = 0.3, 10
+#: Share of a host's pages from which a line is boilerplate; hosts and lines seen less often than that are left alone.
+RATIO, MIN_PAGES, MIN_HOLDERS = 0.1, 20, 8
 
 
 def html_lines(html: Column) -> Column:
@@ -37,11 +38,11 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
 
 
-def boilerplate(lines: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """lines(row, host, hash), a row for each distinct line of a page, hash null for a page's own row -> (host, hash) to drop."""
+def boilerplate(lines: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_holders: int = MIN_HOLDERS) -> DataFrame:
+    """lines(host, hash), a row for each distinct line of a page, hash null for a page's own row -> (host, hash) to drop."""
     counts = lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     pages = counts.where("hash IS NULL").select(F.col("host").alias("_h"), F.col("n").alias("pages"))
-    held = counts.where("hash IS NOT NULL AND n > 1").join(pages, F.col("host").eqNullSafe(F.col("_h")))
+    held = counts.where("hash IS NOT NULL").where(F.col("n") >= min_holders).join(pages, F.col("host").eqNullSafe(F.col("_h")))
     return held.where((F.col("pages") >= min_pages) & (F.col("n") > ratio * F.col("pages"))).select("host", "hash")
 
 

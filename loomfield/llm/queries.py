@@ -91,8 +91,7 @@ b AS (SELECT page_id, host, regexp_replace(regexp_replace(t, '</?(p|div|li|ul|ol
 c AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(regexp_replace(s, '[ \t\r]+', ' ', 'g'))), lambda s: s <> '') AS ls FROM b),
 e AS (SELECT page_id, host, unnest(list_distinct(ls)) AS l FROM c),
 n AS (SELECT host, count(*) AS pages FROM c GROUP BY host),
-k AS (SELECT host, l FROM e GROUP BY host, l HAVING count(*) > 1),
-bad AS (SELECT e.host, list(DISTINCT e.l) AS bl FROM (SELECT host, l, count(*) AS c FROM e GROUP BY host, l) e JOIN n USING (host) WHERE pages >= 10 AND c > 0.3e0 * pages AND c > 1 GROUP BY e.host),
+bad AS (SELECT e.host, list(DISTINCT e.l) AS bl FROM (SELECT host, l, count(*) AS c FROM e GROUP BY host, l) e JOIN n USING (host) WHERE pages >= 20 AND c > 0.1e0 * pages AND c >= 8 GROUP BY e.host),
 f AS (SELECT page_id, c.host, ls, list_filter(ls, lambda s: NOT list_contains(coalesce(bl, []), s)) AS kept FROM c LEFT JOIN bad USING (host))
 SELECT page_id, host, len(kept)::BIGINT AS n_kept, (len(ls) - len(kept))::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM f""",
     # Exact: every pair of different shingle sets that share a shingle is counted; classes of equal sets go as one.
