@@ -74,9 +74,10 @@ def unit_type(text: Column) -> Column:
 
 
 def augment(text: Column, doc: Column, cluster: Column, act: Column, certainty: Column) -> Column:
-    """Context in brackets before the text; empty parts are left out."""
+    """Context in brackets before the text; missing parts are left out."""
     tag = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"[{name}: "), c, F.lit("]")))
-    return F.concat_ws(" ", tag("doc", doc), tag("cluster", cluster), tag("act", act), tag("certainty", F.format_string("%.2f", certainty.cast("double"))), text) if certainty is not None else F.concat_ws(" ", tag("doc", doc), tag("cluster", cluster), tag("act", act), text)
+    sure = F.when(certainty.isNotNull(), F.format_string("%.2f", certainty.cast("double")))
+    return F.concat_ws(" ", tag("doc", doc), tag("cluster", cluster), tag("act", act), tag("certainty", sure), text)
 
 
 def sanitize_label(label: Column) -> Column:

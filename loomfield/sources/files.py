@@ -119,7 +119,7 @@ def read_files(spark: SparkSession, folder: str, recurse_archives: bool = False,
     files = raw.withColumn("source", name).withColumn("document_id", F.sha2("path", 256)).withColumn("source_type", source_type(name, F.lit(None).cast("string")))
     able = files.where(F.col("length") <= size_cap)
     pick = lambda kind: able.where(F.col("source_type").isin(kind)).select("document_id", "source", "content")
-    plain = pick(["text", "json"]).select("document_id", "source", F.posexplode(paragraphs(F.decode("content", F.lit("UTF-8")))).alias("position", "text"))
+    plain = pick(["text", "json"]).select("document_id", "source", F.posexplode(paragraphs(F.make_valid_utf8(F.col("content").cast("string")))).alias("position", "text"))
     units = plain.select("document_id", "source", F.col("position").cast("long").alias("position"), "text")
     for kind, how in (("script", _cut(script_units)), ("notebook", _cut(notebook_units)), ("zip", _unzip(recurse_archives))):
         units = units.unionByName(pick([kind]).mapInPandas(how, UNITS))
