@@ -60,7 +60,8 @@ def seeds(vectors: DataFrame) -> DataFrame:
     """(document_id, cluster, centroid): the k units with the least hash of their index: distinct, and the same every time."""
     n = vectors.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     order = W.partitionBy("document_id").orderBy(F.xxhash64("idx"), "idx")
-    ranked = vectors.withColumn("cluster", F.row_number().over(order) - 1).where("cluster < 5").join(n, "document_id")
+    first = vectors.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= 5)  # cut before the shuffle
+    ranked = first.withColumn("cluster", F.col("_rn") - 1).join(n, "document_id")
     return ranked.where(F.col("cluster") < choose_k(F.col("n"))).select("document_id", "cluster", F.col("vector").alias("centroid"))
 
 
