@@ -23,7 +23,8 @@ def match_vectors(rows: DataFrame, query: DataFrame, vector: str, count: int = 1
     able = rows.where(F.col(vector).isNotNull())
     able = able.where(where) if where is not None else able
     scored = able.crossJoin(F.broadcast(query)).withColumn("similarity", cosine(F.col(vector), F.col("q"))).drop("q")
-    return scored.where(F.col("similarity") >= min_similarity).orderBy(F.desc("similarity"), "id").limit(count)
+    # The best by similarity, then the threshold: the same rows, and the similarity is computed once a row.
+    return scored.orderBy(F.desc_nulls_last("similarity"), "id").limit(count).where(F.col("similarity") >= min_similarity)
 
 
 def match_chunks(chunks: DataFrame, query: DataFrame, count: int = 10, min_similarity: float = 0.0, min_cti: float = 0.0) -> DataFrame:
