@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import stash
+
 #: Share of a host's pages from which a line is boilerplate; hosts and lines seen less often than that are left alone.
 RATIO, MIN_PAGES, MIN_HOLDERS = 0.1, 20, 8
 
@@ -47,24 +49,29 @@ def boilerplate(lines: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 
 
 def drop_boilerplate(pages: DataFrame, lines: Column, host: Column, key: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with two more columns: kept_lines (array, null for null lines) and n_dropped; `key` names the rows' id."""
+    """pages with two more columns (which replace columns of these names): kept_lines (array, null for null lines) and n_dropped; `key` names the rows' id."""
     hashed = F.transform(lines, lambda s: F.when(F.trim(F.translate(s, "\t\r\x0b\x0c", "    ")) != "", F.xxhash64(s, F.lit(7))))
-    # A page is known by its id and content: repeated ids with other texts stay apart, repeated rows are alike.
     narrow = pages.select(F.col(key).alias("key"), host.alias("host"), F.coalesce(hashed, F.array().cast("array<bigint>")).alias("hashes"))
+    narrow = stash(narrow)  # lines are cut and hashed once for the counts, and once more where they are dropped
     each = narrow.select("key", "host", F.explode(F.array_union(F.array(F.lit(None).cast("long")), F.array_distinct("hashes"))).alias("hash"))
     bad = boilerplate(each, ratio, min_pages).select(F.col("host").alias("_bh"), F.col("hash").alias("_bx"))
     hits = each.where("hash IS NOT NULL").join(bad, F.col("host").eqNullSafe(F.col("_bh")) & (F.col("hash") == F.col("_bx")))
+    # Rows of one id on one host may share their lists: a hash in it is boilerplate of the host anyway.
     hits = hits.groupBy(F.col("key").alias("_key"), F.col("host").alias("_host")).agg(F.collect_set("hash").alias("_bad"))
-    joined = pages.withColumns({"_lines": lines, "_hostof": host}).join(hits, F.col(key).eqNullSafe(F.col("_key")) & F.col("_hostof").eqNullSafe(F.col("_host")), "left")
+    packed = pages.select(F.struct(*[F.col(c) for c in pages.columns if c not in ("kept_lines", "n_dropped")]).alias("_row"), lines.alias("_lines"), host.alias("_hostof"), F.col(key).alias("_id"))
+    joined = packed.join(hits, F.col("_id").eqNullSafe(F.col("_key")) & F.col("_hostof").eqNullSafe(F.col("_host")), "left")
     none = F.array().cast("array<bigint>")
     kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda s: ~F.array_contains(F.coalesce("_bad", none), F.xxhash64(s, F.lit(7)))))
-    out = joined.withColumn("kept_lines", kept).withColumn("n_dropped", (F.size(F.coalesce("_lines", F.array().cast("array<string>"))) - F.size(F.coalesce("kept_lines", F.array().cast("array<string>")))).cast("long"))
-    return out.drop("_lines", "_hostof", "_key", "_host", "_bad")
+    out = joined.select("_row", "_lines", kept.alias("kept_lines"))
+    no_lines = F.array().cast("array<string>")
+    dropped = (F.size(F.coalesce("_lines", no_lines)) - F.size(F.coalesce("kept_lines", no_lines))).cast("long")
+    return out.select("_row.*", "kept_lines", dropped.alias("n_dropped"))
 
 
 def clean_documents(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """documents without the boilerplate lines of their source: same columns, text and n_chars renewed where lines went."""
-    out = drop_boilerplate(docs, F.split("text", "\n", -1), F.col("source"), "doc_id", ratio, min_pages)
-    text = F.when(F.col("n_dropped") > 0, F.array_join("kept_lines", "\n")).otherwise(F.col("text"))
-    out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")
+    out = drop_boilerplate(packed, F.split("text", "\n", -1), F.col("source"), "doc_id", ratio, min_pages)
+    text = F.array_join("kept_lines", "\n")
+    renewed = F.col("row").withField("text", text).withField("n_chars", F.length(text).cast("long"))
+    return out.select(F.when(F.col("n_dropped") > 0, renewed).otherwise(F.col("row")).alias("row")).select("row.*")
