@@ -150,4 +150,5 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold an item."""
     bad = find_items(docs, benchmark).where(F.size("item_ids") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
+    return packed.join(bad, F.col("_id") == F.col("_bad"), "left_anti").select("_row.*")

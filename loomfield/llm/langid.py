@@ -116,7 +116,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """labelled(id, lang, text) -> model; rows with a null text or language don't teach."""
-    taught = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    taught = labelled.select("id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     chosen = bounded_sample(taught, "lang", sample).select("lang", "text").mapInArrow(_count, "lang string, counts binary").collect()
     if not chosen:
         return None

@@ -92,12 +92,14 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, weights=WEIGHTS, t
 def take(docs: DataFrame, **how) -> DataFrame:
     """docs (columns doc_id, source, text and any others) that the mix takes, with size, source_size, target and taken.
 
-    Rows that repeat an id and size are told apart by a rank, so each gets its own share.
+    The four replace columns of these names.  Rows that repeat an id and size are told apart by a rank, so each gets
+    its own share.
     """
+    added = ("size", "source_size", "target", "taken")
     mixed = mix(docs, **how)
     twin = W.partitionBy("_id", "_size").orderBy("taken")
     mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "source_size", "target", "taken").withColumn("_rank", F.row_number().over(twin)).where("taken > 0")
-    own = W.partitionBy("doc_id", "size").orderBy(F.xxhash64("text"))
-    sized = docs.withColumn("size", F.size(words_of(F.col("text"))).cast("long")).withColumn("_own", F.row_number().over(own))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("_own") == F.col("_rank"))
-    return sized.join(mixed, same).select(*docs.columns, "size", "source_size", "target", "taken")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns if c not in added]).alias("_row"), F.col("doc_id").alias("_own_id"), F.xxhash64("text").alias("_h"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    packed = packed.withColumn("_own", F.row_number().over(W.partitionBy("_own_id", "size").orderBy("_h")))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("_own") == F.col("_rank"))
+    return packed.join(mixed, same).select("_row.*", *added)

@@ -118,7 +118,7 @@ def learn(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Model |
     """labelled(id, label in 0/1), docs(doc_id, text) -> model; null labels and texts don't teach."""
     picked = bounded_sample(labelled.where("label IN (0, 1)").dropDuplicates(["id"]), "label", sample)
     # At most about 2 x sample ids are sent to the scan of the texts.
-    texts = docs.where("text IS NOT NULL AND text <> ''").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", F.col("label").cast("int").alias("label"), "text")
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", F.col("label").cast("int").alias("label"), "text")
     rows = texts.mapInArrow(_terms, "id long, label int, terms binary").collect()
     if not rows:
         return None
