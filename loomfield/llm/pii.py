@@ -194,7 +194,7 @@ class Tagger:
         gold = self.p["start"][tags[:, 0]] + sum(emit[i][rows, tags[:, i]] for i in range(t)) + sum(self.p["move"][tags[:, i - 1], tags[:, i]] for i in range(1, t))
         return float((total - gold).mean()), grad
 
-    def fit(self, sym: np.ndarray, tags: np.ndarray, epochs: int = 14, batch: int = 64, seed: int = 1) -> list[float]:
+    def fit(self, sym: np.ndarray, tags: np.ndarray, epochs: int = 24, batch: int = 64, seed: int = 1) -> list[float]:
         """Adam on the negative log-likelihood; returns the loss of each epoch."""
         rng, m, v, step, losses = np.random.default_rng(seed), {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0, []
         for e in range(epochs):
@@ -208,7 +208,7 @@ class Tagger:
                     g = g * min(1.0, 5.0 / max(size, 1e-9))
                     m[key] = 0.9 * m[key] + 0.1 * g
                     v[key] = 0.999 * v[key] + 0.001 * g * g
-                    rate = 0.02 * (0.85**e)
+                    rate = 0.02 * (0.92**e)
                     self.p[key] = (self.p[key] - rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             losses.append(float(np.mean(seen)))
         return losses
