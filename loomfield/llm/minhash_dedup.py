@@ -5,15 +5,16 @@
    low `BITS` bits of all minima, packed into longs.
 2. Documents with equal sets are one class; its smallest doc_id stands for it.
    Only these representatives go on, so thousands of copies cost one row.
-3. Candidates: in each band bucket every member is paired with one member drawn
-   by hash (a star, never all pairs).  The packed signatures are compared with
+3. Candidates: in each band bucket every member is paired with the smallest
+   doc_id in it (a star, never all pairs; buckets of a group agree on few centres).  The packed signatures are compared with
    bit counts; the share of equal b-bit values, corrected for chance
    collisions, estimates the similarity, and pairs `SLACK` below the threshold go.
 4. Links are confirmed on the full sets (intersection and union counts).
 5. Components; then buckets that still hold several components have the pairs
    between different components tested the same way, and components are taken
    again.  So a bucket is closed only when all its members are linked or all
-   pairs across its components were tested.
+   pairs across its components were tested (each once, in the first bucket that
+   both are in).
 
 At similarity 0.75 a pair shares at least one of 48 bands of 6 with
 probability 1 - 8e-5, at 0.8 1 - 5e-7.
@@ -36,9 +37,10 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .textkit import cut, grouped_minima, permutations, scramble, shingle_hashes, stash
 
-BANDS, ROWS, BITS, SLACK = 48, 6, 4, 0.12
+#: MINIMA of a document; the first BANDS x ROWS make band keys, all give BITS bits to the signature.  SLACK is four standard errors of the estimate.
+MINIMA, BANDS, ROWS, BITS, SLACK = 512, 48, 6, 4, 0.08
 SIMILARITY, WIDTH = 75, 5  # per cent, words
-PACKED = BANDS * ROWS * BITS // 64
+PACKED = MINIMA * BITS // 64
 #: Shingles hashed at a time: bounds the memory of a task beside the longest text.
 SLAB = 200_000
 
@@ -66,7 +68,7 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    xor, mul = permutations(BANDS * ROWS, 3)
+    xor, mul = permutations(MINIMA, 3)
     salt = np.random.default_rng(4).integers(0, 2**63, size=(BANDS, 1), dtype=np.uint64)
     for table in batches:
         for ids, sets in _slabs(table, lambda t: np.unique(shingle_hashes(t, WIDTH))):
@@ -115,7 +117,7 @@ def estimate(a: str, b: str):
             folded = folded.bitwiseOR(F.shiftrightunsigned(x, s))
         equal = equal + (64 // BITS - F.bit_count(folded.bitwiseAND(lanes)))
     chance = 1.0 / (1 << BITS)
-    return (equal / F.lit(float(BANDS * ROWS)) - chance) / (1 - chance)
+    return (equal / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
 def near(a: str, b: str, na: str, nb: str):
@@ -142,10 +144,10 @@ def group_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("rep"))
     reps = signed.where("n_shingles > 0").join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     reps = stash(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "packed"))
-    rows = reps.select("id", F.explode("bands").alias("key"))
+    rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     sign = lambda side: reps.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("packed").alias(f"p{side}"))
 
-    shared = rows.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "a")
+    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "a")
     members = cut(rows.join(shared, "key"))  # only buckets of two and more
     stars = members.where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     stars = stars.join(sign("b"), "b").join(sign("a"), "a").where(near("pa", "pb", "na", "nb")).select("a", "b")
@@ -153,13 +155,15 @@ def group_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     labels = connected_components(edges)
 
     # Buckets whose members aren't one component yet.
-    named = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    named = members.select("key", "band", "id").join(labels, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h")).where("_l < _h").select("key")
-    rest = cut(named.join(mixed, "key").join(reps.select("id", "n", "packed"), "id"))
-    one = rest.select("key", *[F.col(x).alias(f"{y}a") for x, y in (("id", ""), ("c", "c"), ("n", "n"), ("packed", "p"))])
-    two = rest.select("key", *[F.col(x).alias(f"{y}b") for x, y in (("id", ""), ("c", "c"), ("n", "n"), ("packed", "p"))])
-    # The pairs of a bucket are only those across components, and only near ones leave the join.
-    across = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("pa", "pb", "na", "nb")).select("a", "b").distinct()
+    rest = cut(named.join(mixed, "key").join(reps.select("id", "n", "packed", "bands"), "id"))
+    side = lambda s: rest.select("key", *[F.col(x).alias(f"{y}{s}") for x, y in (("band", "band"), ("id", ""), ("c", "c"), ("n", "n"), ("packed", "p"), ("bands", "bands"))])
+    one, two = side("a"), side("b")
+    # A bucket's pairs are only those across components; a pair that shares many buckets leaves the join in the first one,
+    # and only if its signatures are near.
+    first = F.array_position(F.zip_with("bandsa", "bandsb", lambda x, y: x == y), F.lit(True)) == F.col("banda") + 1
+    across = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("pa", "pb", "na", "nb") & first).select("a", "b").distinct()
     across = cut(across)
     if across.limit(1).count():
         more = _confirm(across, plain)
@@ -176,5 +180,6 @@ def group_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs, one document of each group (the smallest doc_id) and one row of each id; rows with a null id all stay."""
     gone = group_duplicates(docs, text, doc_id).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("_gone"), "left_anti").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    packed = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"))
+    named = packed.where("_id IS NOT NULL").join(gone, F.col("_id") == F.col("_gone"), "left_anti").dropDuplicates(["_id"])
+    return named.unionByName(packed.where("_id IS NULL")).select("_row.*")
