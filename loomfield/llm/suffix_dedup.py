@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ from .textkit import STEP, scramble, stash
 
 DEPTH, K, PIECE = 50, 16, 1 << 18
 BUCKET_BYTES, BUCKETS_A_PARTITION = 8 << 20, 8
+#: Entries of a batch that are gathered before they are sent: bounds a task's memory.
+GATHER = 400_000
 
 _rng = np.random.default_rng(5)
 _TABLE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,6 +147,15 @@ SENT = "bucket int, known boolean, first binary, second binary, docs binary"
 ANSWER = "doc_id long, again boolean, name long"
 
 
+def _pack_ids(x: np.ndarray) -> bytes:
+    """Ascending ids as compressed steps: about a byte each."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=np.int64(0)).tobytes())
+
+
+def _unpack_ids(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64))
+
+
 def _six(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -168,16 +180,36 @@ def _post(first: np.ndarray, second: np.ndarray, docs: np.ndarray, buckets: int)
     for known, chosen in ((False, new), (True, fresh & (docs > least))):
         f, s, d = first[chosen], second[chosen], docs[chosen]
         home = (f % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
+        order = np.lexsort((d, home))
         home, f, s, d = home[order], f[order], s[order], d[order]
         cuts = np.flatnonzero(np.diff(home)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(home)], strict=True):
             if b > a:
-                for k, v in zip(out, (int(home[a]), known, _six(f[a:b]), _six(s[a:b]), d[a:b].tobytes()), strict=True):
+                for k, v in zip(out, (int(home[a]), known, _six(f[a:b]), _six(s[a:b]), _pack_ids(d[a:b])), strict=True):
                     out[k].append(v)
     return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["known"], pa.bool_()), *(pa.array(out[k], pa.binary()) for k in ("first", "second", "docs"))], names=list(out))
 
 
+def _sent(got: list, buckets: int) -> pa.RecordBatch:
+    return _post(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts travel compressed."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for table in batches:
+        data, offsets = _buffers(table.column(1))
+        packed = [squeeze.compress(data[a:b]) if b > a else b"" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([table.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+
+def _unpack(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of one packed text and their offsets, 0 and length."""
+    raw = column[row].as_py()
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8) if raw else np.empty(0, np.uint8)
+    return data, np.array([0, len(data)], np.int64)
+
+
 def _first_pass(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches:
@@ -187,8 +219,11 @@ def _first_pass(buckets: int):
             for group in _pieces(offsets, np.arange(len(ids))):
                 runs, piece, _ = _laid(data, group)
                 got.append((runs.digit, runs.content(), ids[np.array([r for r, _, _ in group])[piece]]))
+                if sum(len(g[0]) for g in got) >= GATHER:
+                    yield _sent(got, buckets)
+                    got = []
             if got:
-                yield _post(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets)
+                yield _sent(got, buckets)
 
     return run
 
@@ -199,16 +234,20 @@ def _last_pass(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches:
             ids = table.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = _buffers(table.column(1))
-            got = []
+            got, size = [], 0
             for r in range(len(ids)):
                 wanted = np.array(table.column(2)[r].as_py() or [], np.int64).view(np.uint64)
-                for group in _pieces(offsets, np.array([r])) if len(wanted) else ():
+                data, offsets = _unpack(table.column(1), r)
+                for group in _pieces(offsets, np.array([0])) if len(wanted) else ():
                     runs, _, _ = _laid(data, group)
                     _, first, last = runs.suffixes(np.isin(names_of(runs.digit, runs.content()), wanted))
                     got.append((first, last, np.full(len(first), ids[r], np.int64)))
+                    size += len(first)
+                    if size >= GATHER:
+                        yield _sent(got, buckets)
+                        got, size = [], 0
             if got:
-                yield _post(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets)
+                yield _sent(got, buckets)
 
     return run
 
@@ -225,7 +264,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(rows: list) -> pa.RecordBatch:
         first, second = _eight([r[0] for r in rows]), _eight([r[1] for r in rows])
-        docs = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
+        docs = np.concatenate([_unpack_ids(r[2]) for r in rows])
         order = np.argsort(first, kind="stable")
         f = first[order]
         edge = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
@@ -247,7 +286,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in batches:
         for bucket, known, first, second, docs in zip(*(table.column(i).to_pylist() for i in range(5)), strict=True):
             if known:
-                d = np.frombuffer(docs, np.int64)
+                d = _unpack_ids(docs)
                 yield answer(d, np.ones(len(d), bool), names_of(_eight([first]), _eight([second])))
                 continue
             if bucket != at and rows:
@@ -265,29 +304,28 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kep
 def _cut_out(keep_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches:
-            data, offsets = _buffers(table.column(1))
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")}
             for r in range(table.num_rows):
-                begin, end = int(offsets[r]), int(offsets[r + 1])
-                own = data[begin:end]
+                own, offsets = _unpack(table.column(1), r)
+                end = len(own)
                 gone = [np.array(table.column(c)[r].as_py() or [], np.int64).view(np.uint64) for c in (2, 3, 4)]
-                spans = np.zeros(end - begin + 1, np.int32)
-                for group in _pieces(offsets, np.array([r])) if len(gone[0]) or len(gone[2]) else ():
-                    runs, _, base = _laid(data, group)
+                spans = np.zeros(end + 1, np.int32)
+                for group in _pieces(offsets, np.array([0])) if len(gone[0]) or len(gone[2]) else ():
+                    runs, _, base = _laid(own, group)
                     names = names_of(runs.digit, runs.content())
                     hit = np.isin(names, gone[0])
-                    np.add.at(spans, runs.first[hit] + base[0] - begin, 1)
-                    np.add.at(spans, runs.last[hit] + DEPTH + base[0] - begin, -1)
+                    np.add.at(spans, runs.first[hit] + base[0], 1)
+                    np.add.at(spans, runs.last[hit] + DEPTH + base[0], -1)
                     if len(gone[2]):
                         at, first, last = runs.suffixes(np.isin(names, gone[1]) & ~hit)
-                        at = at[np.isin(names_of(first, last), gone[2])] + base[0] - begin
+                        at = at[np.isin(names_of(first, last), gone[2])] + base[0]
                         np.add.at(spans, at, 1)
                         np.add.at(spans, at + DEPTH, -1)
                 lost = np.cumsum(spans[:-1]) > 0
                 kept = own[~lost].tobytes() if lost.any() else own.tobytes()
-                out["n_bytes"].append(end - begin)
+                out["n_bytes"].append(end)
                 out["n_removed"].append(int(lost.sum()))
-                out["n_spans"].append(int((lost & ~np.append(False, lost[:-1])).sum()) if end > begin else 0)
+                out["n_spans"].append(int((lost & ~np.append(False, lost[:-1])).sum()) if end else 0)
                 out["kept"].append(kept if keep_bytes else None)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
@@ -312,8 +350,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return answers.groupBy(F.col("doc_id").alias("_id")).agg(*[F.collect_set(F.when(F.col("again") == again, F.col("name"))).alias(k) for k, again in columns.items()])
 
     runs = stash(listed(passed(named.mapInArrow(_first_pass(buckets), SENT)), gone=True, open=False))
-    opened = named.join(runs.where(F.size("open") > 0).select("_id", "open"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "open")
+    packed = plain.mapInArrow(_pack, "doc_id long, packed binary")
+    opened = packed.join(runs.where(F.size("open") > 0).select("_id", "open"), F.col("doc_id") == F.col("_id")).select("doc_id", "packed", "open")
     suffixes = listed(passed(opened.mapInArrow(_last_pass(buckets), SENT)).where("again"), ends=True)
     answers = runs.join(suffixes.select(F.col("_id").alias("_id2"), "ends"), F.col("_id") == F.col("_id2"), "left").select("_id", "gone", "open", "ends")
-    joined = plain.join(answers, F.col("doc_id") == F.col("_id"), "left")
-    return joined.select("doc_id", "text", "gone", "open", "ends").mapInArrow(_cut_out(keep_bytes), OUT)
+    joined = packed.join(answers, F.col("doc_id") == F.col("_id"), "left")
+    return joined.select("doc_id", "packed", "gone", "open", "ends").mapInArrow(_cut_out(keep_bytes), OUT)
