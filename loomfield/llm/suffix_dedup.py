@@ -27,6 +27,7 @@ through in pieces of `PIECE` bytes.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -350,6 +351,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return answers.groupBy(F.col("doc_id").alias("_id")).agg(*[F.collect_set(F.when(F.col("again") == again, F.col("name"))).alias(k) for k, again in columns.items()])
 
     runs = stash(listed(passed(named.mapInArrow(_first_pass(buckets), SENT)), gone=True, open=False))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the first pass is written: let its shuffle files go before the next
     packed = plain.mapInArrow(_pack, "doc_id long, packed binary")
     opened = packed.join(runs.where(F.size("open") > 0).select("_id", "open"), F.col("doc_id") == F.col("_id")).select("doc_id", "packed", "open")
     suffixes = listed(passed(opened.mapInArrow(_last_pass(buckets), SENT)).where("again"), ends=True)
