@@ -10,21 +10,39 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import split_sentences
+from .graph import reliable
 
 TARGET, MOST, OVERLAP, LEAST = 500, 1200, 2, 40
+#: Positions, and groups, are counted in ranges of two to this power, so that no task orders a whole document.
+RANGE_BITS = 12
 
 
 def source_groups(units: DataFrame) -> DataFrame:
-    """units(document_id, position, source, text) with sentences and group_no; units without sentences break no group."""
+    """units(document_id, position, source, text) with sentences and group_no; units without sentences break no group.
+
+    Groups are counted within ranges of positions; what earlier ranges hold is added from one narrow row a range.
+    """
     with_sentences = units.withColumn("sentences", split_sentences(F.coalesce("text", F.lit("")))).where(F.size("sentences") > 0)
-    order = W.partitionBy("document_id").orderBy("position")
-    step = F.when(F.lag("position").over(order).isNull() | ~F.col("source").eqNullSafe(F.lag("source").over(order)), 1).otherwise(0)
-    return with_sentences.withColumn("_new", step).withColumn("group_no", F.sum("_new").over(order)).drop("_new")
+    order = W.partitionBy("document_id", "_range").orderBy("position", "source")
+    step = (F.lag(F.lit(1)).over(order).isNotNull() & ~F.col("source").eqNullSafe(F.lag("source").over(order))).cast("long")
+    ranged = with_sentences.withColumn("_range", _range_of("position")).withColumn("_new", step).withColumn("_run", F.sum("_new").over(order)).drop("_new")
+    place = F.struct("position", "source")
+    ranges = ranged.groupBy("document_id", "_range").agg(F.max("_run").alias("_more"), F.min(place)["source"].alias("_first"), F.max(place)["source"].alias("_last"))
+    along = W.partitionBy("document_id").orderBy("_range")
+    begins = (F.lag(F.lit(1)).over(along).isNull() | ~F.col("_first").eqNullSafe(F.lag("_last").over(along))).cast("long")
+    ranges = ranges.withColumn("_begins", begins).withColumn("_before", F.sum(F.col("_begins") + F.col("_more")).over(along) - F.col("_more"))
+    ranges = ranges.select(F.col("document_id").alias("_d"), F.col("_range").alias("_r"), "_before")
+    joined = ranged.join(ranges, F.col("document_id").eqNullSafe(F.col("_d")) & F.col("_range").eqNullSafe(F.col("_r")))
+    return joined.withColumn("group_no", F.col("_before") + F.col("_run")).drop("_range", "_run", "_d", "_r", "_before")
+
+
+def _range_of(name: str) -> Column:
+    return F.shiftright(F.col(name).cast("long"), RANGE_BITS)
 
 
 def fold(sentences: list[str], target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> Iterator[tuple[int, str]]:
@@ -45,10 +63,21 @@ def fold(sentences: list[str], target: int = TARGET, most: int = MOST, overlap:
             at = max(at - overlap, first + 1)
 
 
+def _chunks_before(pieces: DataFrame) -> DataFrame:
+    """pieces(document_id, group_no) -> (_d, _g, _before): the document's chunks before each group."""
+    sizes = pieces.groupBy("document_id", "group_no").agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", _range_of("group_no"))
+    ranges = sizes.groupBy(F.col("document_id").alias("_rd"), F.col("_range").alias("_r")).agg(F.sum("_n").alias("_all"))
+    ranges = ranges.withColumn("_earlier", F.sum("_all").over(W.partitionBy("_rd").orderBy("_r")) - F.col("_all")).drop("_all")
+    within = F.sum("_n").over(W.partitionBy("document_id", "_range").orderBy("group_no")) - F.col("_n")
+    joined = sizes.withColumn("_within", within).join(ranges, F.col("document_id").eqNullSafe(F.col("_rd")) & (F.col("_range") == F.col("_r")))
+    return joined.select(F.col("document_id").alias("_d"), F.col("group_no").alias("_g"), (F.col("_earlier") + F.col("_within")).alias("_before"))
+
+
 def chunk_units(units: DataFrame, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST, cap: int | None = None) -> DataFrame:
     """(document_id, chunk_index, text, source, start_position), indices without gaps; `cap` keeps the first so many of a document.
 
-    A group is handled by itself, whatever document it is of; the index over groups is a window over the chunks.
+    A group is handled by itself, whatever document it is of; indices are the chunks counted in a group, in the groups
+    before it in its range, and in the ranges before.  The chunks are checkpointed, as they are counted and numbered.
     """
     groups = source_groups(units)
 
@@ -61,8 +90,9 @@ def chunk_units(units: DataFrame, target: int = TARGET, most: int = MOST, overla
 
     doc = dict(units.dtypes)["document_id"]
     pieces = groups.select("document_id", "group_no", "position", "source", "sentences").groupBy("document_id", "group_no").applyInPandas(run, f"document_id {doc}, group_no long, n long, text string, source string, start_position long")
-    order = W.partitionBy("document_id").orderBy("group_no", "n")
-    out = pieces.withColumn("chunk_index", F.row_number().over(order) - 1).drop("group_no", "n")
+    pieces = reliable(pieces)
+    out = pieces.join(_chunks_before(pieces), F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("group_no") == F.col("_g")))
+    out = out.withColumn("chunk_index", (F.col("_before") + F.col("n")).cast("int")).drop("group_no", "n", "_d", "_g", "_before")
     return out.where(F.col("chunk_index") < cap) if cap is not None else out
 
 

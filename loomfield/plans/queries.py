@@ -583,8 +583,8 @@ def pca_projection(t: Tables) -> DataFrame:
 
 @query()
 def field_units(t: Tables) -> DataFrame:
-    """The whole plan: chunks of every text, clustered, projected and scored by source."""
-    units = t.units.select("document_id", F.col("idx").alias("position"), F.col("document_id").alias("source"), "text")
+    """The whole plan: chunks of every text (none across two texts), clustered, projected and scored by source."""
+    units = t.units.select("document_id", F.col("idx").alias("position"), F.col("idx").cast("string").alias("source"), "text")
     built = field.build_field(units, field.CORPUS_LEXICON, cap=None)
     return built.units.select("document_id", "idx", "cluster_id", "fz", "fy", "cti", "type")
 

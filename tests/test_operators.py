@@ -2,7 +2,9 @@
 
 import io
 import json
+import random
 import zipfile
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomfield.operators import analysis as A
 from loomfield.operators import chunker, graph, layout, retrieval, store
-from loomfield.plans import field
+from loomfield.plans import field, queries
 from loomfield.sources import files, providers
 
 
@@ -50,6 +52,38 @@ def test_chunks_respect_sources_and_index(spark):
     assert [(r.document_id, r.chunk_index, r.source, r.start_position) for r in got] == [("d", 0, "a", 0), ("d", 1, "b", 1), ("d", 2, "b", 3), ("d", 3, "a", 4)]
 
 
+def test_chunks_over_many_ranges_equal_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(chunker, "RANGE_BITS", 1, raising=False)
+    r = random.Random(8)
+    rows = [(d, p, r.choice(["a", "b", None]), r.choice([None, "", ("Some words that make up a sentence of this unit. " * r.randint(1, 40)).strip()])) for d in ("d", "e", None) for p in r.sample(range(-20, 60), 40)]
+    want, numbers = [], []
+    for d in ("d", "e", None):
+        groups = []
+        for _, p, s, t in sorted((x for x in rows if x[0] == d and x[3]), key=lambda x: x[1]):
+            if not groups or groups[-1][0] != s:
+                groups.append((s, []))
+            groups[-1][1].extend((p, x.strip() + ".") for x in t.split(".") if x.strip())
+            numbers.append((d, p, len(groups)))
+        chunks = [(s, g[first][0], text) for s, g in groups for first, text in chunker.fold([x for _, x in g])]
+        want += [(d, i, *c) for i, c in enumerate(chunks)]
+    units = spark.createDataFrame(rows, "document_id string, position long, source string, text string")
+    grouped = chunker.source_groups(units)
+    assert sorted(map(str, ((x.document_id, x.position, x.group_no) for x in grouped.collect()))) == sorted(map(str, numbers))
+    got = [(x.document_id, x.chunk_index, x.source, x.start_position, x.text) for x in chunker.chunk_units(units).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    # No window orders the texts of a whole document.
+    wide = [x for x in grouped._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x and "_range" not in x]
+    assert not wide
+
+
+def test_field_query_chunks_each_text_by_itself(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.field, "build_field", lambda units, *a, **k: seen.append(units) or SimpleNamespace(units=units.selectExpr("document_id", "1 idx", "1 cluster_id", "1 fz", "1 fy", "1 cti", "1 type")))
+    texts = spark.createDataFrame([(i, "hot", f"Text number {i} of the hot source has words.") for i in range(12)], "idx long, document_id string, text string")
+    queries.field_units(SimpleNamespace(units=texts))
+    assert {x["count"] for x in chunker.source_groups(seen[0]).groupBy("document_id", "group_no").count().collect()} == {1}
+
+
 def test_merge_keeps_the_first(spark):
     a = spark.createDataFrame([("d", 0, " Same  text "), ("d", 1, "ab")], "document_id string, pos long, text string")
     b = spark.createDataFrame([("d", 0, "same TEXT"), ("d", 1, "other")], "document_id string, pos long, text string")
