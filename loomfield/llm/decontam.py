@@ -16,7 +16,9 @@ broadcast never grows with the benchmark.  Documents are not shuffled.
 
 Null, empty and short texts are documents without (or with one) shingle; items
 without words match nothing; repeated items are reported once an id; rows keep
-their order id; an empty benchmark contaminates nothing.
+their order id; an empty benchmark contaminates nothing.  Rows that repeat an id,
+or have none, are judged each by its own text, however many items there are; only
+`drop_contaminated` lets rows with a null id stay, whatever they hold.
 """
 
 from __future__ import annotations
@@ -101,8 +103,8 @@ def _search(index) -> callable:
         items: ItemIndex = index.value
         for table in batches:
             ids, rows, n = [], [], 0
-            for doc, text in zip(table.column(0).to_pylist(), table.column(1), strict=True):
-                ids.append(doc)
+            for doc, text, digest in zip(table.column(0).to_pylist(), table.column(1), table.column(2).to_pylist(), strict=True):
+                ids.append((doc, digest))
                 rows.append(shingle_hashes(text.as_py(), WIDTH))
                 n += len(rows[-1])
                 if n >= SLAB:
@@ -120,7 +122,7 @@ def _search(index) -> callable:
             exact = sorted((i, c / n) for i, c, n in exact if 100 * c >= round(100 * CONTAINMENT) * n)
             hits.append([i for i, _ in exact])
             best.append(max((c for _, c in exact), default=0.0))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(np.unique(r)) for r in rows], pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=["doc_id", "n_shingles", "item_ids", "containment"])
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int64()), pa.array([len(np.unique(r)) for r in rows], pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(best, pa.float64()), pa.array([d for _, d in ids], pa.string())], names=["doc_id", "n_shingles", "item_ids", "containment", "digest"])
 
     return run
 
@@ -128,8 +130,8 @@ def _search(index) -> callable:
 FOUND = "doc_id long, n_shingles long, item_ids array<long>, containment double"
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, item_ids contained (ascending), containment (the largest)."""
+def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", digest: bool = False) -> DataFrame:
+    """One row a row of docs: doc_id, n_shingles, item_ids contained (ascending), containment (the largest); the text's MD5 if asked for."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
@@ -138,17 +140,20 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else items
         index = spark.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in block.toLocalIterator()]))
-        parts.append(plain.mapInArrow(_search(index), FOUND))
+        # The text's digest parts rows of one id; equal texts have equal findings.
+        parts.append(plain.select("doc_id", "text", F.md5("text").alias("digest")).mapInArrow(_search(index), f"{FOUND}, digest string").withColumn("_first", F.lit(int(b == 0))))
+    names = ["doc_id", "n_shingles", "item_ids", "containment"]
     if blocks == 1:
-        return parts[0]
+        return parts[0].select(*names, *(["digest"] if digest else []))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("containment").alias("containment"))
+    out = out.groupBy("doc_id", "digest").agg(F.max("n_shingles").alias("n_shingles"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.max("containment").alias("containment"), F.sum("_first").alias("_rows"))
+    return out.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).select(*names, *(["digest"] if digest else []))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold an item."""
-    bad = find_items(docs, benchmark).where(F.size("item_ids") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    return packed.join(bad, F.col("_id") == F.col("_bad"), "left_anti").select("_row.*")
+    bad = find_items(docs, benchmark, digest=True).where(F.size("item_ids") > 0).select(F.col("doc_id").alias("_bad"), F.col("digest").alias("_text")).distinct()
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.md5("text").alias("_digest"))
+    return packed.join(bad, (F.col("_id") == F.col("_bad")) & (F.col("_digest") == F.col("_text")), "left_anti").select("_row.*")

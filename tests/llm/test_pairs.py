@@ -160,6 +160,20 @@ def test_decontamination_equals_brute_force(spark):
     assert {tuple(x.item_ids) for x in decontam.find_items(frame, bench.limit(0)).collect()} == {()}
 
 
+def test_rows_of_one_id_or_none_are_judged_by_their_own_text(spark, monkeypatch):
+    words = [f"w{i}" for i in range(120)]
+    held = {i: " ".join(words[20 * i : 20 * i + 20]) for i in range(6)}
+    docs = [(1, "before " + held[0]), (1, "clean words only in this text"), (1, "before " + held[0]), (None, held[1] + " after"), (None, "nothing here at all to find"), (None, None), (2, held[2] + " " + held[3])]
+    bench = spark.createDataFrame(list(held.items()), "item_id long, text string")
+    frame = table(spark, docs)
+    want = Counter([(1, (0,)), (1, ()), (1, (0,)), (None, (1,)), (None, ()), (None, ()), (2, (2, 3))])
+    for block in (20_000, 2):
+        monkeypatch.setattr(decontam, "ITEM_BLOCK", block)
+        assert Counter((x.doc_id, tuple(x.item_ids)) for x in decontam.find_items(frame, bench).collect()) == want
+        kept = [(x.doc_id, x.text) for x in decontam.drop_contaminated(frame, bench).collect()]
+        assert Counter(kept) == Counter([docs[1], *docs[3:6]])
+
+
 def test_line_dedup_equals_brute_force(spark):
     r = random.Random(6)
     rows = []
