@@ -59,11 +59,6 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.lower(squeeze(text)), 256)
 
 
-def document_fingerprint(hashes: Column) -> Column:
-    """SHA-256 of the sorted chunk hashes, joined by a bar; an aggregate's array is its input."""
-    return F.sha2(F.array_join(F.array_sort(hashes), "|"), 256)
-
-
 def key_hash(key: Column) -> Column:
     return F.sha2(key, 256)
 

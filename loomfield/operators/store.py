@@ -7,6 +7,10 @@ caller.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,3 +82,30 @@ def revoke_keys(keys: DataFrame, ids: DataFrame, at) -> DataFrame:
     """Soft delete of API keys."""
     gone = ids.select(F.col("id").alias("_id")).distinct()
     return keys.join(gone, F.col("id") == F.col("_id"), "left").withColumn("revoked_at", F.when(F.col("_id").isNotNull(), F.coalesce("revoked_at", at)).otherwise(F.col("revoked_at"))).drop("_id")
+
+
+def fingerprints(hashes: DataFrame, name: str = "fingerprint") -> DataFrame:
+    """hashes(document_id, h) -> (document_id, `name`): SHA-256 of a document's sorted hashes, joined by a bar; nulls left out.
+
+    Spark sorts the hashes, and spills; they are digested as they pass, so no task holds a document's hashes at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, bar, kind = None, None, b"", pa.null()
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], kind), pa.array([x for _, x in rows], pa.string())], names=["document_id", name])
+        for batch in batches:
+            kind, done = batch.schema.field(0).type, []
+            for document, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or document != at:
+                    if digest is not None:
+                        done.append((at, digest.hexdigest()))
+                    at, digest, bar = document, hashlib.sha256(), b""
+                if h is not None:
+                    digest.update(bar + h.encode())
+                    bar = b"|"
+            yield out(done)
+        if digest is not None:
+            yield out([(at, digest.hexdigest())])
+
+    rows = hashes.select("document_id", "h").repartition("document_id").sortWithinPartitions("document_id", "h")
+    return rows.mapInArrow(run, f"document_id {dict(hashes.dtypes)['document_id']}, {name} string")

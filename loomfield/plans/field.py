@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.lexicon import Lexicon
-from ..functions.text import content_hash, document_fingerprint, unit_type
+from ..functions.text import content_hash, unit_type
 from ..operators import analysis as A
 from ..operators.chunker import chunk_units
 from ..operators.graph import reliable
+from ..operators.store import fingerprints
 
 #: Frequent words of the given corpus, in place of markers that it doesn't hold.
 CORPUS_LEXICON = Lexicon(hedge=("that", "with", "for", "and the"), certainty=("was", "are"), challenge=("this", "from"))
@@ -73,5 +74,5 @@ def build_field(units: DataFrame, lexicon: Lexicon = Lexicon(), intentions=None,
     clusters = A.cluster_summary(scored, k).join(A.cluster_labels(scored), ["document_id", "cluster_id"], "left")
     clusters = clusters.withColumn("description", F.coalesce("description", F.lit("Empty cluster"))).withColumn("label", F.coalesce("label", F.concat(F.lit("Cluster "), F.col("cluster_id") + 1)))
     stats = A.field_stats(scored)
-    documents = scored.groupBy("document_id").agg(document_fingerprint(F.collect_list("content_hash")).alias("content_hash"))
+    documents = fingerprints(scored.select("document_id", F.col("content_hash").alias("h")), "content_hash")
     return Field(scored, clusters, stats, documents)

@@ -326,7 +326,7 @@ def chunk_dedup(t: Tables) -> DataFrame:
 @query(f"SELECT source AS document_id, sha256(string_agg(h, '|' ORDER BY h)) AS fingerprint FROM (SELECT source, sha256(lower({_SQUEEZE.format('text')})) AS h FROM documents) GROUP BY source")
 def document_fingerprint(t: Tables) -> DataFrame:
     hashed = t.units.select("document_id", X.content_hash(F.col("text")).alias("h"))
-    return hashed.groupBy("document_id").agg(X.document_fingerprint(F.collect_list("h")).alias("fingerprint"))
+    return store.fingerprints(hashed)
 
 
 @query(f"""WITH h AS (SELECT doc_id, sha256(lower({_SQUEEZE.format('text')})) AS h FROM documents), o AS (SELECT sha256(lower({_SQUEEZE.format('text')})) AS h FROM conversations UNION ALL SELECT sha256(lower({_SQUEEZE.format('text')})) FROM benchmark)

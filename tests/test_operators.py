@@ -1,5 +1,6 @@
 """Properties of operators on small frames."""
 
+import hashlib
 import io
 import json
 import random
@@ -84,6 +85,18 @@ def test_field_query_chunks_each_text_by_itself(spark, monkeypatch):
     assert {x["count"] for x in chunker.source_groups(seen[0]).groupBy("document_id", "group_no").count().collect()} == {1}
 
 
+def test_fingerprints_hold_no_list(spark):
+    r = random.Random(9)
+    rows = [(r.choice(["hot", "hot", "d", None]), f"Text {r.randrange(10**6)}") for _ in range(400)] + [("hot", "Text 1"), ("hot", "text  1"), ("empty", None)]
+    texts = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "idx long, document_id string, text string")
+    made = queries.document_fingerprint(SimpleNamespace(units=texts))
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {d: sha("|".join(sorted(sha(" ".join(t.lower().split())) for e, t in rows if e == d and t is not None))) for d, _ in rows}
+    got = [(x.document_id, x.fingerprint) for x in made.collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_merge_keeps_the_first(spark):
     a = spark.createDataFrame([("d", 0, " Same  text "), ("d", 1, "ab")], "document_id string, pos long, text string")
     b = spark.createDataFrame([("d", 0, "same TEXT"), ("d", 1, "other")], "document_id string, pos long, text string")
