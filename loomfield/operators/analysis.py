@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import term_tokens, tokenize
-from .graph import reliable
+from .shared import stash
 
 VOCABULARY, LEAST_DF, MOST_SHARE = 100, 2, 0.8
 
@@ -87,15 +87,15 @@ def centroids_of(assigned: DataFrame, before: DataFrame, size: int = VOCABULARY)
 
 def kmeans(vectors: DataFrame, rounds: int = 20, size: int = VOCABULARY) -> DataFrame:
     """(document_id, idx, vector, cluster), until no unit of any document changes its cluster."""
-    vectors = reliable(vectors)
-    centroids = reliable(seeds(vectors))
+    vectors = stash(vectors)
+    centroids = stash(seeds(vectors))
     old = vectors.select("document_id", "idx", F.lit(0).alias("_was"))
     for _ in range(rounds):
-        new = reliable(assign(vectors, centroids))
+        new = stash(assign(vectors, centroids))
         if not new.join(old, ["document_id", "idx"]).where("cluster <> _was").limit(1).count():
             return new
         old = new.select("document_id", "idx", F.col("cluster").alias("_was"))
-        centroids = reliable(centroids_of(new, centroids, size))
+        centroids = stash(centroids_of(new, centroids, size))
     return new
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import split_sentences
-from .graph import reliable
+from .shared import stash
 
 TARGET, MOST, OVERLAP, LEAST = 500, 1200, 2, 40
 #: Positions, and groups, are counted in ranges of two to this power, so that no task orders a whole document.
@@ -90,7 +90,7 @@ def chunk_units(units: DataFrame, target: int = TARGET, most: int = MOST, overla
 
     doc = dict(units.dtypes)["document_id"]
     pieces = groups.select("document_id", "group_no", "position", "source", "sentences").groupBy("document_id", "group_no").applyInPandas(run, f"document_id {doc}, group_no long, n long, text string, source string, start_position long")
-    pieces = reliable(pieces)
+    pieces = stash(pieces)
     out = pieces.join(_chunks_before(pieces), F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("group_no") == F.col("_g")))
     out = out.withColumn("chunk_index", (F.col("_before") + F.col("n")).cast("int")).drop("group_no", "n", "_d", "_g", "_before")
     return out.where(F.col("chunk_index") < cap) if cap is not None else out

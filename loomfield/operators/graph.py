@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from .retrieval import hybrid
+from .shared import connected, stash
 
 BLOCK_ROWS = 2000
 
@@ -132,30 +131,6 @@ def cross_document_groups(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return groups.where("size >= 2 AND documents >= 2")
 
 
-def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """links(a, b) -> (id, component), the least id reachable; labels halve their way by pointer jumping, a written table a round."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = reliable(both)
-    labels = reliable(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("_a")).agg(F.min("component").alias("_c"))
-        moved = labels.join(near, F.col("id") == F.col("_a")).select("id", F.col("component").alias("_was"), F.least("component", "_c").alias("component"))
-        up = moved.select(F.col("id").alias("_up"), F.col("component").alias("_top"))
-        now = reliable(moved.join(up, F.col("component") == F.col("_up")).select("id", "_was", F.col("_top").alias("component")))
-        labels = now.select("id", "component")
-        if not now.where("_was <> component").limit(1).count():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a folder of its own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spark-{uuid.uuid4().hex}")
-    return df.checkpoint(True)
-
-
 def corpus_summary(clusters: DataFrame, quality: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
     """One row: averages over clusters with quality, and counts."""
     q = clusters.select("id").join(quality, "id", "left").agg(

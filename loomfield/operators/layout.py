@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import common_words
-from .graph import connected
+from .shared import connected
 
 
 def close_pairs(items: DataFrame, threshold: float = 0.04) -> DataFrame:

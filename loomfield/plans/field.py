@@ -15,7 +15,7 @@ from ..functions.lexicon import Lexicon
 from ..functions.text import content_hash, unit_type
 from ..operators import analysis as A
 from ..operators.chunker import chunk_units
-from ..operators.graph import reliable
+from ..operators.shared import stash
 from ..operators.store import fingerprints
 
 #: Frequent words of the given corpus, in place of markers that it doesn't hold.
@@ -57,7 +57,7 @@ class Field:
 
 def build_field(units: DataFrame, lexicon: Lexicon = Lexicon(), intentions=None, cap: int | None = 200, least_chunks: int = 3) -> Field:
     """units(document_id, source, position, text); intentions: chunks -> chunks with speech_act, certainty, force, tension (none: null)."""
-    chunks = reliable(chunk_units(units, cap=cap))
+    chunks = stash(chunk_units(units, cap=cap))
     enough = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_chunks)
     chunks = chunks.join(enough.select("document_id"), "document_id", "left_semi").withColumnRenamed("chunk_index", "idx")
     chunks = intentions(chunks) if intentions else chunks.withColumns({"speech_act": F.lit(None).cast("string"), **{c: F.lit(None).cast("double") for c in ("certainty", "force", "tension")}})
@@ -69,7 +69,7 @@ def build_field(units: DataFrame, lexicon: Lexicon = Lexicon(), intentions=None,
     scored = score_places(score_intentions(full, lexicon))
     fz = S.chosen_fz(F.col("lexical_fz"), F.col("triangulated"), F.col("certainty"), F.col("force"))
     scored = scored.withColumns({"fz": fz, "fy": S.round2(F.col("lexical_fy")), "type": unit_type(F.col("text")), "cti": F.col("cti_score"), "content_hash": content_hash(F.col("text")), "px": S.unit_position(F.col("x")), "py": S.unit_position(F.col("y"))})
-    scored = reliable(scored.drop("cti_score"))
+    scored = stash(scored.drop("cti_score"))
     k = enough.select("document_id", A.choose_k(F.col("n")).alias("k"))
     clusters = A.cluster_summary(scored, k).join(A.cluster_labels(scored), ["document_id", "cluster_id"], "left")
     clusters = clusters.withColumn("description", F.coalesce("description", F.lit("Empty cluster"))).withColumn("label", F.coalesce("label", F.concat(F.lit("Cluster "), F.col("cluster_id") + 1)))
