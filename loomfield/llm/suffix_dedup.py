@@ -13,11 +13,14 @@ exactly the repeated strings.
 * Last digit: the DEPTH bytes of a single suffix, only for first digits under
   which runs differ (the edges of repeated passages).
 
-A pass sends (digit, digit, document) to the bucket of the first digit.  Before
-that each batch keeps one entry, of the smallest doc_id, for each pair of
-digits; its other documents know already that they repeat.  So a passage that
-a third of the corpus shares is one entry a batch, and no group of documents
-meets in a task.  A digit is 48 bits of a hash, two are compared together.
+A pass sends (digit, digit, document) to the bucket of a digit.  Before that
+each batch keeps one entry, of the smallest doc_id, for each pair of digits; its
+other documents know already that they repeat.  So a passage that a third of
+the corpus shares is one entry a batch.  The first pass deals by the first digit,
+as it counts the contents under it: what meets there is at most two runs a
+document at the edges of a passage (20 bytes each).  The last pass deals single
+suffixes by the last digit, so that the edges of a frequent passage spread over
+all buckets.  A digit is 48 bits of a hash, two are compared together.
 
 Null text is empty; texts shorter than DEPTH keep all; rows with a null doc_id
 keep all and remove nothing elsewhere; rows with equal doc_id don't remove each
@@ -27,7 +30,6 @@ through in pieces of `PIECE` bytes.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +39,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import STEP, scramble, stash
+from ..operators.shared import stash
+from .ngrams import text_buffers
+from .textkit import STEP, scramble
 
 DEPTH, K, PIECE = 50, 16, 1 << 18
 BUCKET_BYTES, BUCKETS_A_PARTITION = 8 << 20, 8
@@ -113,12 +117,6 @@ def names_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return scramble(first * STEP + second)
 
 
-def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if offsets else np.zeros(len(column) + 1, np.int64)
-    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), at
-
-
 def _pieces(offsets: np.ndarray, rows: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
     """Groups of (row, begin, end), some PIECE bytes each; long texts overlap by DEPTH - 1 bytes."""
     group, size = [], 0
@@ -168,8 +166,8 @@ def _eight(parts: list[bytes]) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
-def _post(first: np.ndarray, second: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One entry a pair of digits and batch to the bucket of the first digit; the rest is known to repeat."""
+def _post(first: np.ndarray, second: np.ndarray, docs: np.ndarray, buckets: int, spread: bool) -> pa.RecordBatch:
+    """One entry a pair of digits and batch to the bucket of the first digit (spread: the second); the rest is known to repeat."""
     order = np.lexsort((docs, second, first))
     first, second, docs = first[order], second[order], docs[order]
     new = np.ones(len(first), bool)
@@ -180,7 +178,7 @@ def _post(first: np.ndarray, second: np.ndarray, docs: np.ndarray, buckets: int)
     out = {k: [] for k in ("bucket", "known", "first", "second", "docs")}
     for known, chosen in ((False, new), (True, fresh & (docs > least))):
         f, s, d = first[chosen], second[chosen], docs[chosen]
-        home = (f % np.uint64(buckets)).astype(np.int64)
+        home = ((s if spread else f) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((d, home))
         home, f, s, d = home[order], f[order], s[order], d[order]
         cuts = np.flatnonzero(np.diff(home)) + 1
@@ -191,15 +189,15 @@ def _post(first: np.ndarray, second: np.ndarray, docs: np.ndarray, buckets: int)
     return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["known"], pa.bool_()), *(pa.array(out[k], pa.binary()) for k in ("first", "second", "docs"))], names=list(out))
 
 
-def _sent(got: list, buckets: int) -> pa.RecordBatch:
-    return _post(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets)
+def _sent(got: list, buckets: int, spread: bool = False) -> pa.RecordBatch:
+    return _post(*(np.concatenate(x) for x in zip(*got, strict=True)), buckets, spread)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts travel compressed."""
     squeeze = zstandard.ZstdCompressor(level=3)
     for table in batches:
-        data, offsets = _buffers(table.column(1))
+        data, offsets = text_buffers(table.column(1))
         packed = [squeeze.compress(data[a:b]) if b > a else b"" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([table.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
@@ -215,7 +213,7 @@ def _first_pass(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches:
             ids = table.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = _buffers(table.column(1))
+            data, offsets = text_buffers(table.column(1))
             got = []
             for group in _pieces(offsets, np.arange(len(ids))):
                 runs, piece, _ = _laid(data, group)
@@ -245,10 +243,10 @@ def _last_pass(buckets: int):
                     got.append((first, last, np.full(len(first), ids[r], np.int64)))
                     size += len(first)
                     if size >= GATHER:
-                        yield _sent(got, buckets)
+                        yield _sent(got, buckets, True)
                         got, size = [], 0
             if got:
-                yield _sent(got, buckets)
+                yield _sent(got, buckets, True)
 
     return run
 
@@ -350,12 +348,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def listed(answers: DataFrame, **columns) -> DataFrame:
         return answers.groupBy(F.col("doc_id").alias("_id")).agg(*[F.collect_set(F.when(F.col("again") == again, F.col("name"))).alias(k) for k, again in columns.items()])
 
+    # Each pass is a written table, so its shuffle files go before the next pass writes its own.
     runs = stash(listed(passed(named.mapInArrow(_first_pass(buckets), SENT)), gone=True, open=False))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the first pass is written: let its shuffle files go before the next
     packed = plain.mapInArrow(_pack, "doc_id long, packed binary")
     opened = packed.join(runs.where(F.size("open") > 0).select("_id", "open"), F.col("doc_id") == F.col("_id")).select("doc_id", "packed", "open")
-    suffixes = listed(passed(opened.mapInArrow(_last_pass(buckets), SENT)).where("again"), ends=True)
+    suffixes = stash(listed(passed(opened.mapInArrow(_last_pass(buckets), SENT)).where("again"), ends=True))
     answers = runs.join(suffixes.select(F.col("_id").alias("_id2"), "ends"), F.col("_id") == F.col("_id2"), "left").select("_id", "gone", "open", "ends")
     joined = packed.join(answers, F.col("doc_id") == F.col("_id"), "left")
     return joined.select("doc_id", "packed", "gone", "open", "ends").mapInArrow(_cut_out(keep_bytes), OUT)
