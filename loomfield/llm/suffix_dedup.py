@@ -43,7 +43,7 @@ from ..operators.shared import stash
 from .ngrams import text_buffers
 from .textkit import STEP, scramble
 
-DEPTH, K, PIECE = 50, 16, 1 << 18
+DEPTH, K, PIECE = 50, 24, 1 << 18
 BUCKET_BYTES, BUCKETS_A_PARTITION = 8 << 20, 8
 #: Entries of a batch that are gathered before they are sent: bounds a task's memory.
 GATHER = 400_000
