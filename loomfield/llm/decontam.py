@@ -3,22 +3,27 @@
 Items are partitioned by the size of their shingle set (up to 8, 16, 32, ...).
 A long document has a Jaccard similarity near nothing with a short item that it
 holds, so documents are cut into blocks of 8 shingles and compared by runs of
-blocks as long as the partition's items: an item inside a document lies inside
-such a run.  In a partition, the containment threshold gives a Jaccard
-threshold, and that the number of minima needed so that a contained item is
-missed with probability below `MISS`.  A run and an item that agree on any
+blocks as long as the partition's items.  A run and an item that agree on any
 minimum are a candidate; candidates are verified by exact containment in the
 shingle set of the whole document.
 
-Block minima are computed once and serve all partitions.  Items travel to the
-tasks in blocks of at most `ITEM_BLOCK`; more items are more passes, so what is
-broadcast never grows with the benchmark.  Documents are not shuffled.
+The number of minima in a partition follows from the containment threshold: of
+n shingles of an item at least 3/4 n are in the document, and each, where it is
+the item's minimum, is the minimum of a run around it too unless one of the
+run's other shingles is less, so a minimum meets with probability 3/4 n /
+(n + run) at least, wherever the item's shingles stand.  So many minima are
+taken that a contained item, together or scattered, is missed with probability
+below `MISS`.
+
+Block minima are computed once and serve all partitions.  Items are indexed and
+sent to the tasks in blocks of at most `ITEM_BLOCK` items and about `ITEM_BYTES`
+bytes; more items are more passes, so what is broadcast at once doesn't grow with
+the benchmark.  Documents are not shuffled.
 
 Null, empty and short texts are documents without (or with one) shingle; items
 without words match nothing; repeated items are reported once an id; rows keep
 their order id; an empty benchmark contaminates nothing.  Rows that repeat an id,
-or have none, are judged each by its own text, however many items there are; only
-`drop_contaminated` lets rows with a null id stay, whatever they hold.
+or have none, are judged each by its own text, however many items there are.
 """
 
 from __future__ import annotations
@@ -31,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shared import stash
 from .textkit import grouped_minima, permutations, shingle_hashes
 
-CONTAINMENT, WIDTH, BLOCK, MISS, ITEM_BLOCK, SLAB = 0.75, 5, 8, 1e-6, 20_000, 200_000
-MOST_MINIMA = 256
+CONTAINMENT, WIDTH, BLOCK, MISS, SLAB = 0.75, 5, 8, 1e-6, 200_000
+ITEM_BLOCK, ITEM_BYTES, MOST_MINIMA = 20_000, 16 << 20, 256
 
 
 class ItemIndex:
@@ -58,8 +64,8 @@ class ItemIndex:
             run = math.ceil(2**power / BLOCK) + 1
             least = min(len(self.sets[j]) for j in members)
             shared = max(1.0, CONTAINMENT * least)
-            jaccard = shared / (run * BLOCK + least - shared)
-            need = min(MOST_MINIMA, math.ceil(math.log(MISS) / math.log1p(-min(jaccard, 0.999))))
+            meets = shared / (run * BLOCK + least)
+            need = min(MOST_MINIMA, math.ceil(math.log(MISS) / math.log1p(-meets)))
             self.used = max(self.used, need)
             flat = np.concatenate([self.sets[j] for j in members])
             starts = np.cumsum([0, *(len(self.sets[j]) for j in members)])[:-1]
@@ -134,7 +140,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     """One row a row of docs: doc_id, n_shingles, item_ids contained (ascending), containment (the largest); the text's MD5 if asked for."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    about = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("size")).first()
+    blocks = max(1, -(-about.n // ITEM_BLOCK), -(-about.size // ITEM_BYTES))
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = []
     for b in range(blocks):
@@ -153,7 +160,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item."""
-    bad = find_items(docs, benchmark, digest=True).where(F.size("item_ids") > 0).select(F.col("doc_id").alias("_bad"), F.col("digest").alias("_text")).distinct()
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.md5("text").alias("_digest"))
-    return packed.join(bad, (F.col("_id") == F.col("_bad")) & (F.col("_digest") == F.col("_text")), "left_anti").select("_row.*")
+    """docs without those that hold an item, whatever their id; null texts hold none."""
+    bad = stash(find_items(docs, benchmark, digest=True).where(F.size("item_ids") > 0).select(F.col("digest").alias("_bad")).distinct())
+    packed = docs.select(F.struct("*").alias("_row"), F.md5("text").alias("_digest"))
+    return packed.join(bad, F.col("_digest") == F.col("_bad"), "left_anti").select("_row.*")
