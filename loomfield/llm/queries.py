@@ -15,10 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible lines of every page without the boilerplate of its site."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    out = line_dedup.drop_boilerplate(pages, line_dedup.html_lines(F.col("html")), line_dedup.url_host(F.col("url")), "page_id")
+    pages = line_dedup.cut_pages(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    out = line_dedup.drop_boilerplate(pages, F.col("lines"), F.col("host"), "page_id")
     kept = F.array_join("kept_lines", "\n")
-    return out.select("page_id", line_dedup.url_host(F.col("url")).alias("host"), F.size("kept_lines").cast("long").alias("n_kept"), "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+    return out.select("page_id", "host", F.size("kept_lines").cast("long").alias("n_kept"), "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ b AS (SELECT page_id, host, regexp_replace(regexp_replace(t, '</?(p|div|li|ul|ol
 c AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(regexp_replace(s, '[ \t\r]+', ' ', 'g'))), lambda s: s <> '') AS ls FROM b),
 e AS (SELECT page_id, host, unnest(list_distinct(ls)) AS l FROM c),
 n AS (SELECT host, count(*) AS pages FROM c GROUP BY host),
-bad AS (SELECT e.host, list(DISTINCT e.l) AS bl FROM (SELECT host, l, count(*) AS c FROM e GROUP BY host, l) e JOIN n USING (host) WHERE pages >= 20 AND c > 0.1e0 * pages AND c >= 8 GROUP BY e.host),
+bad AS (SELECT e.host, list(DISTINCT e.l) AS bl FROM (SELECT host, l, count(*) AS c FROM e GROUP BY host, l) e JOIN n USING (host) WHERE c >= 3 AND c > 0.1e0 * pages AND (c - 0.1e0 * pages) * (c - 0.1e0 * pages) > 1.64e0 * 1.64e0 * 0.1e0 * 0.9e0 * pages GROUP BY e.host),
 f AS (SELECT page_id, c.host, ls, list_filter(ls, lambda s: NOT list_contains(coalesce(bl, []), s)) AS kept FROM c LEFT JOIN bad USING (host))
 SELECT page_id, host, len(kept)::BIGINT AS n_kept, (len(ls) - len(kept))::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM f""",
     # Exact: every pair of different shingle sets that share a shingle is counted; classes of equal sets go as one.
