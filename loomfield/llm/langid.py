@@ -5,17 +5,17 @@ regression over hashed byte trigrams of the whole text, trained in numpy on a
 bounded sample) predicts it.  Decoding adds the logistic losses of a codeword's
 bits, each weighted by how well its classifier does on the sample, and takes
 the codeword with the least loss.  `ambiguous` marks texts whose second best
-codeword is close, or with bits too far from any codeword.
+codeword is close, or whose bits differ from the chosen codeword by more than
+`FAR` of their weight.
 
-Null texts and texts without a letter get `und`, score 0, not ambiguous.
-Learning takes at most `SAMPLE` texts a language (documented bound); with no
-labelled text every text is `und`.  Ties go to the language first in order.
+Null texts and texts without a letter (Unicode category L) get `und`, score 0, not ambiguous.
+Learning takes at most `SAMPLE` texts a language, of the 200 most frequent
+languages (documented bounds); with no labelled text every text is `und`.  Ties go to the language first in order.
 Repeated rows are predicted alike; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,27 +24,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import bounded_sample, text_buffers, trigram_counts
+from .ngrams import bounded_sample, one_row_an_id, text_buffers, trigram_counts
 
-SAMPLE, AMBIGUOUS = 500, 0.75
-_LETTER = re.compile(r"[^\W\d_]")
+#: Texts a language teaches; score below, and share of wrong bits above which a text is ambiguous.
+SAMPLE, AMBIGUOUS, FAR = 500, 0.75, 0.25
 
 
 def codewords(classes: int) -> np.ndarray:
-    """(classes, bits) of +1/-1: every split in two for up to 5 classes, else a seeded dense code with well separated rows."""
+    """(classes, bits) of +1/-1, no two bits equal or opposite, none constant.
+
+    Up to 7 classes every split in two is a bit; for more, of 50 seeded draws the one whose closest rows differ most.
+    """
     if classes <= 1:
         return np.ones((classes, 1))
-    if classes <= 5:
+    if classes <= 7:
         rest = range(1, classes)
         splits = [set(c) for r in range(1, classes) for c in combinations(rest, r)]
         return np.array([[1.0 if i in s else -1.0 for s in splits] for i in range(classes)])
-    rng, bits, best = np.random.default_rng(7), int(np.ceil(15 * np.log2(classes))), None
-    for _ in range(200):
-        code = rng.choice([-1.0, 1.0], (classes, bits))
-        if np.all(np.abs(code.sum(0)) < classes):
-            apart = min((code[a] != code[b]).sum() for a, b in combinations(range(classes), 2))
-            best = max(best or (-1, None), (apart, code), key=lambda x: x[0])
-    return best[1]
+    rng, bits, best, apart = np.random.default_rng(7), int(np.ceil(15 * np.log2(classes))), None, -1
+    for _ in range(50):
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < bits:
+            c = rng.choice([-1.0, 1.0], classes)
+            c *= c[0]
+            if (c < 0).any():
+                columns[c.tobytes()] = c
+        code = np.stack(list(columns.values()), 1)
+        least = min((code[a] != code[b]).sum() for a, b in combinations(range(classes), 2))
+        if least > apart:
+            best, apart = code, least
+    return best
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -80,7 +89,8 @@ class Model:
         like /= like.sum(1, keepdims=True)
         best = like.argmax(1)
         score = like[np.arange(len(best)), best]
-        return [self.languages[b] for b in best], score, score < AMBIGUOUS
+        wrong = ((np.sign(bits) != self.code[best]) * self.trust).sum(1) / self.trust.sum()
+        return [self.languages[b] for b in best], score, (score < AMBIGUOUS) | (wrong > FAR)
 
 
 PREDICTED = "doc_id long, lang_pred string, score double, ambiguous boolean"
@@ -94,7 +104,7 @@ def _predict(shared):
                 part = table.slice(b, 512)
                 data, at = text_buffers(part.column(1))
                 texts = part.column(1)
-                known = [bool(model) and texts[i].is_valid and bool(_LETTER.search(texts[i].as_py())) for i in range(len(texts))]
+                known = [bool(model) and texts[i].is_valid and any(map(str.isalpha, texts[i].as_py())) for i in range(len(texts))]
                 langs, scores, doubt = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 rows = [i for i, k in enumerate(known) if k]
                 if rows:
@@ -115,9 +125,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """labelled(id, lang, text) -> model; rows with a null text or language don't teach."""
-    taught = labelled.select("id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    chosen = bounded_sample(taught, "lang", sample).select("lang", "text").mapInArrow(_count, "lang string, counts binary").collect()
+    """labelled(id, lang, text) -> model; rows with a null id, text or language don't teach, of rows of one id and language one does."""
+    taught = labelled.select("id", "lang", "text").where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    picked = bounded_sample(taught.select("id", "lang"), "lang", sample)
+    texts = one_row_an_id(taught.join(F.broadcast(picked), ["id", "lang"]), ["id", "lang"], "text")
+    chosen = texts.select("lang", "text").mapInArrow(_count, "lang string, counts binary").collect()
     if not chosen:
         return None
     chosen.sort(key=lambda r: (r.lang, bytes(r.counts)))

@@ -1,6 +1,6 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-Labelled texts, a bounded sample of `SAMPLE` a label, become term vectors
+Labelled texts, at most `SAMPLE` a label, become term vectors
 (hashed byte trigrams, and a few ratios of the text's form as terms of their
 own, weighted by inverse document frequency); a truncated singular value
 decomposition gives `RANK` latent dimensions.  The labelled vectors (at most
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import BUCKETS, bounded_sample, text_buffers, trigram_counts
+from .ngrams import BUCKETS, bounded_sample, one_row_an_id, text_buffers, trigram_counts
 
 SAMPLE, RANK, NEIGHBOURS, BLOCK = 1000, 48, 15, 512
 FORM = 8
@@ -115,14 +115,18 @@ def _score(shared):
 
 
 def learn(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """labelled(id, label in 0/1), docs(doc_id, text) -> model; null labels and texts don't teach."""
-    picked = bounded_sample(labelled.where("label IN (0, 1)").dropDuplicates(["id"]), "label", sample)
-    # At most about 2 x sample ids are sent to the scan of the texts.
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", F.col("label").cast("int").alias("label"), "text")
-    rows = texts.mapInArrow(_terms, "id long, label int, terms binary").collect()
+    """labelled(id, label in 0/1), docs(doc_id, text) -> model.
+
+    Null ids, labels and texts don't teach, nor does an id that has both labels; of rows of one id one teaches.
+    """
+    clear = labelled.where("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.min("label").cast("int").alias("label"), F.max("label").cast("int").alias("_other")).where("label = _other").select("id", "label")
+    picked = bounded_sample(clear, "label", sample)
+    # At most 2 x sample ids are sent to the scan of the texts, and as many texts come back.
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "label", "text")
+    rows = one_row_an_id(texts, ["id"], "text").mapInArrow(_terms, "id long, label int, terms binary").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.id, r.label, bytes(r.terms)))
+    rows.sort(key=lambda r: r.id)
     return Model(np.stack([np.frombuffer(r.terms, np.float32) for r in rows]), np.array([r.label for r in rows]))
 
 
