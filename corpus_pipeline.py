@@ -6,13 +6,11 @@ kept; all but the last return the columns of `documents`.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import decontam, line_dedup, minhash_dedup, mixing, quality_rules
-from loomfield.llm.textkit import checkpoint_dir
+from loomfield.operators.shared import stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,7 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            path = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stash(docs)
     return docs

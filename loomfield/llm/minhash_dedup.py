@@ -20,9 +20,11 @@ At similarity 0.75 a pair shares at least one of 48 bands of 6 with
 probability 1 - 8e-5, at 0.8 1 - 5e-7.
 
 Empty or null texts have no shingles and link with nothing; fewer than five
-words are one shingle; repeated rows share a component; rows with a null
-doc_id are linked with nothing (component null, kept true); extra columns are
-not carried; an empty table gives an empty table.
+words are one shingle; repeated rows share a component; rows of one doc_id with
+different texts each follow their own text, and where the id stands for both
+texts, the two are one group; rows with a null doc_id are linked with nothing
+(component null, kept true); extra columns are not carried; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .textkit import cut, grouped_minima, permutations, scramble, shingle_hashes, stash
+from ..operators.shared import connected, stash
+from .textkit import grouped_minima, permutations, scramble, shingle_hashes
 
 #: MINIMA of a document; the first BANDS x ROWS make band keys, all give BITS bits to the signature.  SLACK is four standard errors of the estimate.
 MINIMA, BANDS, ROWS, BITS, SLACK = 512, 48, 6, 4, 0.08
@@ -129,12 +131,12 @@ def near(a: str, b: str, na: str, nb: str):
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs(a, b) whose full sets reach the similarity."""
     wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
     sets = stash(texts.select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>"))
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_sb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("_sa")), "a")
     shared = F.size(F.array_intersect("_sa", "_sb"))
-    return cut(both.where(100 * shared >= SIMILARITY * (F.size("_sa") + F.size("_sb") - shared)).select("a", "b"))
+    return stash(both.where(100 * shared >= SIMILARITY * (F.size("_sa") + F.size("_sb") - shared)).select("a", "b").distinct())
 
 
 def group_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -142,33 +144,33 @@ def group_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stash(plain.mapInArrow(_sign, SIGNED))
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("rep"))
-    reps = signed.where("n_shingles > 0").join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
+    reps = signed.where("n_shingles > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n_shingles", "hi", "lo"], "left_semi").dropDuplicates(["doc_id", "hi", "lo"])
     reps = stash(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "packed"))
     rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     sign = lambda side: reps.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("packed").alias(f"p{side}"))
 
     shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "a")
-    members = cut(rows.join(shared, "key"))  # only buckets of two and more
+    members = stash(rows.join(shared, "key"))  # only buckets of two and more
     stars = members.where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     stars = stars.join(sign("b"), "b").join(sign("a"), "a").where(near("pa", "pb", "na", "nb")).select("a", "b")
-    edges = _confirm(cut(stars), plain)
-    labels = connected_components(edges)
+    edges = _confirm(stash(stars), plain)
+    labels = connected(edges)
 
     # Buckets whose members aren't one component yet.
     named = members.select("key", "band", "id").join(labels, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h")).where("_l < _h").select("key")
-    rest = cut(named.join(mixed, "key").join(reps.select("id", "n", "packed", "bands"), "id"))
+    rest = stash(named.join(mixed, "key").join(reps.select("id", "n", "packed", "bands"), "id"))
     side = lambda s: rest.select("key", *[F.col(x).alias(f"{y}{s}") for x, y in (("band", "band"), ("id", ""), ("c", "c"), ("n", "n"), ("packed", "p"), ("bands", "bands"))])
     one, two = side("a"), side("b")
     # A bucket's pairs are only those across components; a pair that shares many buckets leaves the join in the first one,
     # and only if its signatures are near.
     first = F.array_position(F.zip_with("bandsa", "bandsb", lambda x, y: x == y), F.lit(True)) == F.col("banda") + 1
     across = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("pa", "pb", "na", "nb") & first).select("a", "b").distinct()
-    across = cut(across)
+    across = stash(across)
     if across.limit(1).count():
         more = _confirm(across, plain)
         edges = edges.unionByName(more)
-        labels = connected_components(edges)
+        labels = connected(edges)
     # From representative to every member of its class.
     final = classes.join(labels, F.col("rep") == F.col("id"), "left").select("n_shingles", "hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(final, ["n_shingles", "hi", "lo"], "left")
@@ -178,8 +180,12 @@ def group_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs, one document of each group (the smallest doc_id) and one row of each id; rows with a null id all stay."""
-    gone = group_duplicates(docs, text, doc_id).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    packed = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"))
-    named = packed.where("_id IS NOT NULL").join(gone, F.col("_id") == F.col("_gone"), "left_anti").dropDuplicates(["_id"])
-    return named.unionByName(packed.where("_id IS NULL")).select("_row.*")
+    """docs, one document of each group (the smallest doc_id) and one row of each id.
+
+    An id goes if none of its rows stays.  Of rows that repeat an id, the least by the hash of the text stays; rows with
+    a null id all stay.
+    """
+    groups = group_duplicates(docs, text, doc_id).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("NOT _kept").select("_gone")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_hash"))
+    named = packed.where("_id IS NOT NULL").join(groups, F.col("_id") == F.col("_gone"), "left_anti").groupBy("_id").agg(F.min_by("_row", "_hash").alias("_row"))
+    return named.select("_row").unionByName(packed.where("_id IS NULL").select("_row")).select("_row.*")

@@ -1,13 +1,10 @@
-"""Pieces that several operators share: words, shingle hashes, checkpoints."""
+"""Pieces that several operators share: words and shingle hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -19,30 +16,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def checkpoint_dir(spark) -> str:
-    """The shared folder of the cluster; a folder of its own only where none is set (tests)."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow table with a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(True)
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write a wide table (compressed) to the shared folder and read it back."""
-    path = f"{checkpoint_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
