@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 import pytest
 
 from loomfield.llm import decontam, line_dedup, minhash_dedup, suffix_dedup
-from loomfield.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, source string, n_chars long, rep string, `_row` string"
 
@@ -66,6 +65,13 @@ def test_keep_one_keeps_columns_and_null_ids(spark):
     assert ids.count(None) == 1 and len(ids) == len(set(ids)) and 303 in ids and 304 not in ids
 
 
+def test_one_id_with_two_texts_keeps_the_links_of_both(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "words of its own and nothing more here")]
+    got = {(r.doc_id, r.component_id) for r in minhash_dedup.group_duplicates(table(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = table(spark, []).limit(0)
     assert minhash_dedup.group_duplicates(empty).collect() == []
@@ -83,13 +89,6 @@ def test_estimate_follows_similarity(spark):
     assert both.select(minhash_dedup.estimate("pa", "pb")).first()[0] == pytest.approx(len(x & y) / len(x | y), abs=0.1)
 
 
-def test_components_of_chains_and_rings(spark):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges + edges[:5], "a long, b long")).collect()}
-    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
-
-
 def remove_by_hand(rows, depth=50):
     first = defaultdict(lambda: None)
     data = [(i, (t or "").encode()) for i, t in rows]
@@ -117,12 +116,45 @@ def passages(seed=2):
     return rows + [(60, None), (61, ""), (62, "a" * 400), (63, "b" + "a" * 300), (64, "a" * 49), (65, "a" * 50), (3, rows[7][1]), (None, rows[7][1]), (70, long), (71, "k" + long[100:2000] + "m"), (72, long)]
 
 
-def test_repeated_passages_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("piece, gather", [(1 << 18, 400_000), (120, 50)])
+def test_repeated_passages_equal_brute_force(spark, monkeypatch, piece, gather):
+    """Small pieces and gatherings take every text through the path of very long ones (values are pickled with the functions)."""
     rows = passages()
+
+    def small(make):
+        def made(*a):
+            run = make(*a)
+
+            def inner(batches):
+                before = suffix_dedup.PIECE, suffix_dedup.GATHER
+                try:  # workers are used again by later tests
+                    suffix_dedup.PIECE, suffix_dedup.GATHER = piece, gather
+                    suffix_dedup._powers.clear()
+                    yield from run(batches)
+                finally:
+                    suffix_dedup.PIECE, suffix_dedup.GATHER = before
+                    suffix_dedup._powers.clear()
+
+            return inner
+
+        return made
+
+    for name in ("_first_pass", "_last_pass", "_cut_out"):
+        monkeypatch.setattr(suffix_dedup, name, small(getattr(suffix_dedup, name)))
     got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(table(spark, rows)).drop("kept").collect())
     assert got == remove_by_hand(rows)
 
 
+def test_long_arrow_strings(spark):
+    rows = passages()
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(table(spark, rows)).drop("kept").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+    assert got == remove_by_hand(rows)
+
+
 def test_long_texts_go_in_pieces():
     import numpy as np
 
@@ -156,7 +188,7 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want
     kept = decontam.drop_contaminated(frame, bench)
     assert kept.columns == frame.columns
-    assert Counter(x.doc_id for x in kept.collect()) == Counter(i for i, t in docs if i is None or not any(q and 100 * len(q & shingles(t)) >= 75 * len(q) for q in sets.values()))
+    assert Counter(x.doc_id for x in kept.collect()) == Counter(i for i, t in docs if not any(q and 100 * len(q & shingles(t)) >= 75 * len(q) for q in sets.values()))
     assert {tuple(x.item_ids) for x in decontam.find_items(frame, bench.limit(0)).collect()} == {()}
 
 
@@ -167,11 +199,30 @@ def test_rows_of_one_id_or_none_are_judged_by_their_own_text(spark, monkeypatch)
     bench = spark.createDataFrame(list(held.items()), "item_id long, text string")
     frame = table(spark, docs)
     want = Counter([(1, (0,)), (1, ()), (1, (0,)), (None, (1,)), (None, ()), (None, ()), (2, (2, 3))])
-    for block in (20_000, 2):
-        monkeypatch.setattr(decontam, "ITEM_BLOCK", block)
+    for name, least in (("ITEM_BLOCK", 20_000), ("ITEM_BLOCK", 2), ("ITEM_BYTES", 250)):
+        monkeypatch.undo()
+        monkeypatch.setattr(decontam, name, least)
         assert Counter((x.doc_id, tuple(x.item_ids)) for x in decontam.find_items(frame, bench).collect()) == want
         kept = [(x.doc_id, x.text) for x in decontam.drop_contaminated(frame, bench).collect()]
-        assert Counter(kept) == Counter([docs[1], *docs[3:6]])
+        assert Counter(kept) == Counter([docs[1], *docs[4:6]])
+
+
+def test_recall_of_scattered_items(spark):
+    """Items of any length in pieces of six words through long documents, three quarters of their shingles kept."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(5))
+    items = [(i, [word() for _ in range(r.choice([5, 7, 11, 19, 40, 90, 200, 400]))]) for i in range(60)]
+    docs = []
+    for i, item in items:
+        body = []
+        for b in range(0, max(1, len(item) - 5), 2):
+            body += [word() for _ in range(r.choice([3, 30, 200]))] + item[b : b + 6]
+        docs.append((i, " ".join(body)))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(x.doc_id, i) for x in decontam.find_items(table(spark, docs), bench).collect() for i in x.item_ids}
+    sets = {i: shingles(" ".join(t)) for i, t in items}
+    want = {(d, i) for d, t in docs for i, q in sets.items() if 100 * len(q & shingles(t)) >= 75 * len(q)}
+    assert len(want) >= 45 and got == want
 
 
 def test_line_dedup_equals_brute_force(spark):
@@ -183,18 +234,31 @@ def test_line_dedup_equals_brute_force(spark):
         rows.append((i, "\n".join(lines)))
     rows += [(95, None), (96, ""), (4, rows[4][1])]
     docs = table(spark, rows).withColumnRenamed("rep", "n_dropped")
-    got = Counter((x.doc_id, x.text, x.n_chars, x.n_dropped) for x in line_dedup.clean_documents(docs, 0.2, 10).collect())
-    pages, held = Counter(), Counter()
-    for i, t in rows:
-        pages[i % 3] += 1
-        held.update((i % 3, s) for s in {s for s in (t or "").split("\n") if s.strip()})
-    bad = {k for k, n in held.items() if n >= line_dedup.MIN_HOLDERS and n > 0.2 * pages[k[0]]}
-    assert bad
-    clean = lambda i, t: None if t is None else "\n".join(s for s in t.split("\n") if (i % 3, s) not in bad)
-    assert got == Counter((i, clean(i, t), len(clean(i, t) or ""), "x") for i, t in rows)
+    for ratio in (0.2, 0.05):
+        got = Counter((x.doc_id, x.text, x.n_chars, x.n_dropped) for x in line_dedup.clean_documents(docs, ratio).collect())
+        pages, held = Counter(), Counter()
+        for i, t in rows:
+            pages[i % 3] += 1
+            held.update((i % 3, s) for s in {s for s in (t or "").split("\n") if s.strip()})
+        certain = lambda n, p: n >= line_dedup.HOLDERS and n / p - ratio > line_dedup.SURE * (ratio * (1 - ratio) / p) ** 0.5  # noqa: E731, B023
+        bad = {k for k, n in held.items() if certain(n, pages[k[0]])}
+        assert bad
+        clean = lambda i, t: None if t is None else "\n".join(s for s in t.split("\n") if (i % 3, s) not in bad)  # noqa: E731, B023
+        assert got == Counter((i, clean(i, t), len(clean(i, t) or ""), "x") for i, t in rows)
     assert line_dedup.clean_documents(docs.limit(0)).collect() == []
 
 
+def test_small_sites_have_boilerplate_too(spark):
+    pages = {"five": 5, "big": 100, "pair": 2}
+    rows = [(h, i, [f"{h} own {i}"] + ["foot"] * (i < k) + ["often"] * (i < n)) for h, n in pages.items() for k in [{"five": 3, "big": 14, "pair": 2}[h]] for i in range(n)]
+    frame = spark.createDataFrame([(f"{h}{i}", h, x) for h, i, x in rows], "page_id string, host string, lines array<string>")
+    out = line_dedup.drop_boilerplate(frame, frame.lines, frame.host, "page_id").collect()
+    left = {h: Counter(s for x in out if x.host == h for s in x.kept_lines) for h in pages}
+    # On all of five pages, on 3 of 5, and on all of 100 it goes; 14 of 100 isn't certain, and two pages repeat no line often enough.
+    assert not left["five"]["often"] and not left["five"]["foot"] and not left["big"]["often"]
+    assert left["big"]["foot"] == 14 and left["pair"]["often"] == 2
+
+
 def test_page_lines(spark):
     html = "<html><head><title>A  B</title><script>var x='<p>';</script></head><body><p>One <b>two</b></p><div>\n three\t</div><!-- no --></body></html>"
     df = spark.createDataFrame([(html, "HTTP://Www.Example.org:80/x?y"), (None, None)], "h string, u string")
