@@ -1,13 +1,22 @@
 """Vector search, ranking and visibility.
 
-A query vector is a one-row frame; results are the top rows by a total order
-(score, then id), so Spark keeps only the best of each partition.
+One search: the query vector is a one-row frame; results are the top rows by a
+total order (score, then id), so Spark keeps only the best of each partition.
+
+Many searches (`nearest`): rows and queries are dealt to blocks of bounded size by
+hash, each pair of blocks is one product in one task, and only the best rows of
+every query leave it.  Exact, so the work is queries times rows; what moves is each
+row once a block of queries.
+
 Null vectors, zero vectors and vectors of another length never match.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
@@ -27,6 +36,67 @@ def match_vectors(rows: DataFrame, query: DataFrame, vector: str, count: int = 1
     return scored.orderBy(F.desc_nulls_last("similarity"), "id").limit(count).where(F.col("similarity") >= min_similarity)
 
 
+#: Rows, and queries, of a block.
+BLOCK_ROWS, BLOCK_QUERIES = 1000, 1000
+
+
+def _dealt(rows: DataFrame, vector: str, key: str, block: int) -> tuple[DataFrame, int]:
+    """Rows with a usable vector, with their block and the vector's length."""
+    able = rows.where(F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0)
+    blocks = max(1, -(-able.count() // block))
+    return able.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("_length", F.size(vector)), blocks
+
+
+def nearest(rows: DataFrame, queries: DataFrame, vector: str, count: int = 10, min_similarity: float = 0.0, weight: float | None = None, exclude_own: bool = False) -> DataFrame:
+    """The best `count` rows of every query: query_id, id, similarity, and with a `weight` fz_delta, fy_delta and hybrid_score.
+
+    rows(id, `vector`) and queries(query_id, q); with a weight also rows(avg_fz, avg_fy) and queries(q_fz, q_fy), and the
+    order is by hybrid score; with exclude_own rows(document_id) and queries(q_document), which must differ.  Scores are
+    compared to 12 decimals, ties go to the lesser id.  Rows that repeat an id are rows of their own.
+    """
+    kinds = dict(rows.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    gaps, own = weight is not None, exclude_own
+    r, row_blocks = _dealt(rows, vector, "id", BLOCK_ROWS)
+    q, query_blocks = _dealt(queries, "q", "query_id", BLOCK_QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c)
+    r = r.select(F.col("_block").alias("_r"), every(query_blocks).alias("_q"), "_length", "id", F.col(vector).cast("array<double>").alias("v"), *([zero("avg_fz"), zero("avg_fy")] if gaps else []), *(["document_id"] if own else []))
+    q = q.select(every(row_blocks).alias("_r"), F.col("_block").alias("_q"), "_length", "query_id", F.col("q").cast("array<double>").alias("v"), *([zero("q_fz"), zero("q_fy")] if gaps else []), *(["q_document"] if own else []))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["query_id", "id", "similarity", *(["fz_delta", "fy_delta", "hybrid_score"] if gaps else [])]
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in columns})
+        left = left.sort_values("id", kind="stable")
+        unit = lambda pdf: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.array(pdf["v"].tolist(), np.float64))
+        near = unit(right) @ unit(left).T
+        score = near
+        if gaps:
+            dz, dy = (np.abs(right[f"q_{c}"].to_numpy()[:, None] - left[f"avg_{c}"].to_numpy()) for c in ("fz", "fy"))
+            score = (1 - weight) * near + weight * (1 - np.minimum(dz + dy, 1.0))
+        score = np.round(score, 12)
+        score[near < min_similarity] = -np.inf
+        if own:
+            score[right["q_document"].to_numpy()[:, None] == left["document_id"].to_numpy()] = -np.inf
+        order = np.argsort(-score, axis=1, kind="stable")[:, :count]
+        at = np.repeat(np.arange(len(right)), order.shape[1])
+        order = order.reshape(-1)
+        good = score[at, order] > -np.inf
+        at, order = at[good], order[good]
+        out = [right["query_id"].to_numpy()[at], left["id"].to_numpy()[order], near[at, order], *([dz[at, order], dy[at, order], score[at, order]] if gaps else [])]
+        return pd.DataFrame(dict(zip(columns, out, strict=True)))
+
+    cell = ["_r", "_q", "_length"]
+    schema = f"query_id {kinds[1]}, id {kinds[0]}, similarity double" + (", fz_delta double, fy_delta double, hybrid_score double" if gaps else "")
+    found = r.groupBy(*cell).cogroup(q.groupBy(*cell)).applyInPandas(best, schema)
+    return _top(found, F.round("hybrid_score" if gaps else "similarity", 12), count)
+
+
+def _top(found: DataFrame, score: Column, count: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(score.desc(), "id")
+    return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= count).drop("_rank")
+
+
 def match_chunks(chunks: DataFrame, query: DataFrame, count: int = 10, min_similarity: float = 0.0, min_cti: float = 0.0) -> DataFrame:
     return match_vectors(chunks, query, "embedding", count, min_similarity, F.coalesce("cti", F.lit(0.0)) >= min_cti)
 

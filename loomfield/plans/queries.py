@@ -16,6 +16,7 @@ from ..functions import text as X
 from ..functions.vectors import guarded_cosine
 from ..operators import analysis as A
 from ..operators import chunker, graph, layout, retrieval, store
+from ..operators.shared import stash
 from ..sources import files
 from . import field
 from .tables import Tables
@@ -82,39 +83,45 @@ def _six(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def _sim(rows: str, vector: str, where: str, least: str, limit: int, columns: str = "id") -> str:
-    return f"""{_WITH}, q AS (SELECT embedding AS v FROM fx_chunks WHERE id = 0)
-SELECT {columns}, round(s, 6) AS similarity FROM (SELECT r.*, list_cosine_similarity({vector}, v) AS s FROM {rows} r, q WHERE {where}) WHERE s >= {least} ORDER BY s DESC, id LIMIT {limit}"""
+_ASKING = "asking AS (SELECT id AS query_id, embedding AS v FROM fx_chunks WHERE id % 20 = 0)"
 
 
-# --- search -----------------------------------------------------------------
+def _sim(rows: str, vector: str, where: str, least: str, limit: int, columns: str = "id", more: str = "") -> str:
+    """Every query against all rows: the best `limit` of each."""
+    return f"""{_WITH}{more}, {_ASKING}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS rank FROM
+(SELECT r.*, query_id, list_cosine_similarity({vector}, v) AS s FROM {rows} r, asking WHERE {where}) WHERE s >= {least}) WHERE rank <= {limit})
+SELECT query_id, {columns}, round(s, 6) AS similarity FROM best"""
+
+
+# --- search: queries are all rows with an id divisible by 20, against all rows ------------
 
 
 @query(_sim("fx_chunks", "embedding", "true", "0e0", 10))
 def match_chunks(t: Tables) -> DataFrame:
-    return _six(retrieval.match_chunks(t.chunks, retrieval.query_vector(t.chunks, 0)).select("id", "similarity"), "similarity")
+    return _six(retrieval.nearest(t.chunks, t.asking, "embedding"), "similarity")
 
 
 @query(_sim("fx_chunks", "embedding", "coalesce(cti, 0) >= 0.5e0", "0.1e0", 25))
 def match_chunks_cti_floor(t: Tables) -> DataFrame:
-    return _six(retrieval.match_chunks(t.chunks, retrieval.query_vector(t.chunks, 0), 25, 0.1, 0.5).select("id", "similarity"), "similarity")
+    return _six(retrieval.nearest(t.chunks.where(F.coalesce("cti", F.lit(0.0)) >= 0.5), t.asking, "embedding", 25, 0.1), "similarity")
 
 
 @query(_sim("fx_clusters", "centroid", "true", "0e0", 8))
 def match_clusters(t: Tables) -> DataFrame:
-    return _six(retrieval.match_clusters(t.clusters, retrieval.query_vector(t.chunks, 0)).select("id", "similarity"), "similarity")
+    return _six(retrieval.nearest(t.clusters, t.asking, "centroid", 8), "similarity")
 
 
 def _hybrid_sql(exclude: str) -> str:
-    return f"""{_WITH}, q AS (SELECT centroid AS v, avg_fz AS qz, avg_fy AS qy FROM fx_clusters WHERE id = 'src0#0')
-SELECT id, filename, round(s, 6) AS similarity, round(dz, 6) AS fz_delta, round(dy, 6) AS fy_delta, round(0.7e0 * s + 0.3e0 * (1 - least(dz + dy, 1e0)), 6) AS hybrid_score, description
-FROM (SELECT c.id, d.filename, c.description, list_cosine_similarity(centroid, v) AS s, abs(avg_fz - qz) AS dz, abs(avg_fy - qy) AS dy FROM fx_clusters c JOIN fx_documents d ON d.id = c.document_id, q WHERE {exclude})
-WHERE s >= 0e0 ORDER BY 0.7e0 * s + 0.3e0 * (1 - least(dz + dy, 1e0)) DESC, id LIMIT 10"""
+    return f"""{_WITH}, asking AS (SELECT id AS query_id, document_id AS q_document, centroid AS v, avg_fz AS qz, avg_fy AS qy FROM fx_clusters WHERE (substr(document_id, 4)::INT * 10 + cluster_id) % 20 = 0),
+met AS (SELECT query_id, c.id, d.filename, c.description, list_cosine_similarity(centroid, v) AS s, abs(avg_fz - qz) AS dz, abs(avg_fy - qy) AS dy FROM fx_clusters c JOIN fx_documents d ON d.id = c.document_id, asking WHERE {exclude}),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7e0 * s + 0.3e0 * (1 - least(dz + dy, 1e0)), 12) DESC, id) AS rank FROM met WHERE s >= 0e0)
+SELECT query_id, id, filename, round(s, 6) AS similarity, round(dz, 6) AS fz_delta, round(dy, 6) AS fy_delta, round(0.7e0 * s + 0.3e0 * (1 - least(dz + dy, 1e0)), 6) AS hybrid_score, description FROM best WHERE rank <= 10"""
 
 
 def _hybrid(t: Tables, own: bool) -> DataFrame:
-    out = retrieval.search_clusters(t.clusters, t.documents, "src0#0", exclude_own=own)
-    return _six(out.select("id", "filename", "similarity", "fz_delta", "fy_delta", "hybrid_score", "description"), "similarity", "fz_delta", "fy_delta", "hybrid_score")
+    found = retrieval.nearest(t.clusters, t.asking_clusters, "centroid", 10, 0.0, weight=0.3, exclude_own=own)
+    named = t.clusters.join(t.documents.select(F.col("id").alias("document_id"), "filename"), "document_id").select("id", "filename", "description")
+    return _six(found.join(named, "id").select("query_id", "id", "filename", "similarity", "fz_delta", "fy_delta", "hybrid_score", "description"), "similarity", "fz_delta", "fy_delta", "hybrid_score")
 
 
 @query(_hybrid_sql("true"))
@@ -122,13 +129,14 @@ def match_clusters_hybrid(t: Tables) -> DataFrame:
     return _hybrid(t, False)
 
 
-@query(_hybrid_sql("c.document_id <> 'src0'"))
+@query(_hybrid_sql("c.document_id <> q_document"))
 def match_clusters_hybrid_excl(t: Tables) -> DataFrame:
     return _hybrid(t, True)
 
 
-_SHARED = f"""{_WITH}, {_QUALITY}, shared AS (SELECT c.id, c.document_id, coalesce(custom_label, label) AS label, c.avg_cti, c.centroid, cohesion, separation, noise_ratio
+_SHARED_ROWS = f"""{_QUALITY}, shared AS (SELECT c.id, c.document_id, coalesce(custom_label, label) AS label, c.avg_cti, c.centroid, cohesion, separation, noise_ratio
 FROM fx_clusters c JOIN fx_documents d ON d.id = c.document_id AND d.share_to_global LEFT JOIN quality q ON q.id = c.id)"""
+_SHARED = f"{_WITH}, {_SHARED_ROWS}"
 
 
 def _shared(t: Tables) -> DataFrame:
@@ -140,24 +148,25 @@ def shared_clusters(t: Tables) -> DataFrame:
     return _six(_shared(t).select("id", "document_id", "label", "avg_cti", "cohesion", "separation", "noise_ratio"), "avg_cti", "cohesion", "separation", "noise_ratio")
 
 
-@query(_SHARED + """, q AS (SELECT embedding AS v FROM fx_chunks WHERE id = 0) SELECT id, label, round(s, 6) AS similarity, round(cohesion, 6) AS cohesion, round(separation, 6) AS separation
-FROM (SELECT *, list_cosine_similarity(centroid, v) AS s FROM shared, q WHERE avg_cti >= 0.2e0) WHERE s >= 0e0 ORDER BY s DESC, id LIMIT 10""")
+@query(_sim("shared", "centroid", "avg_cti >= 0.2e0", "0e0", 10, "id, label, round(cohesion, 6) AS cohesion, round(separation, 6) AS separation", f", {_SHARED_ROWS}"))
 def match_global_clusters(t: Tables) -> DataFrame:
-    found = retrieval.match_vectors(_shared(t), retrieval.query_vector(t.chunks, 0), "centroid", 10, 0.0, F.coalesce("avg_cti", F.lit(0.0)) >= 0.2)
-    return _six(found.select("id", "label", "similarity", "cohesion", "separation"), "similarity", "cohesion", "separation")
+    able = stash(_shared(t).where(F.coalesce("avg_cti", F.lit(0.0)) >= 0.2))
+    found = retrieval.nearest(able, t.asking, "centroid").join(able.select("id", "label", "cohesion", "separation"), "id")
+    return _six(found.select("query_id", "id", "label", "similarity", "cohesion", "separation"), "similarity", "cohesion", "separation")
 
 
-@query(f"""{_WITH}, q AS (SELECT embedding AS v FROM fx_chunks WHERE id = 0), m AS (SELECT * FROM (SELECT c.*, list_cosine_similarity(embedding, v) AS s FROM fx_chunks c, q) WHERE s >= 0.1e0 ORDER BY s DESC, id LIMIT 12)
-SELECT m.id, document_id, filename, round(s, 6) AS similarity FROM m LEFT JOIN fx_documents d ON d.id = m.document_id""")
+@query(_sim("(SELECT c.*, filename FROM fx_chunks c LEFT JOIN fx_documents d ON d.id = c.document_id)", "embedding", "true", "0.1e0", 12, "id, document_id, filename"))
 def search_chunks_enriched(t: Tables) -> DataFrame:
-    return _six(retrieval.search_chunks(t.chunks, t.documents, retrieval.query_vector(t.chunks, 0), 12, 0.1).select("id", "document_id", "filename", "similarity"), "similarity")
+    found = retrieval.nearest(t.chunks, t.asking, "embedding", 12, 0.1).join(t.chunks.select("id", "document_id"), "id")
+    named = found.join(t.documents.select(F.col("id").alias("document_id"), "filename"), "document_id", "left")
+    return _six(named.select("query_id", "id", "document_id", "filename", "similarity"), "similarity")
 
 
-@query(f"""{_WITH}, q AS (SELECT embedding AS v FROM fx_chunks WHERE id = 0)
-SELECT id, document_id, round(s, 6) AS similarity FROM (SELECT c.*, list_cosine_similarity(embedding, v) AS s FROM fx_chunks c, q WHERE document_id IN (SELECT id FROM fx_documents WHERE user_id = 'u0' OR user_id IS NULL))
-WHERE s >= 0e0 ORDER BY s DESC, id LIMIT 10""")
+@query(_sim("fx_chunks", "embedding", "document_id IN (SELECT id FROM fx_documents WHERE user_id = 'u0' OR user_id IS NULL)", "0e0", 10, "id, document_id"))
 def search_chunks_owner(t: Tables) -> DataFrame:
-    return _six(retrieval.search_chunks(t.chunks, t.documents, retrieval.query_vector(t.chunks, 0), 10, 0.0, owner="u0").select("id", "document_id", "similarity"), "similarity")
+    seen = retrieval.visible_rows(t.chunks, t.documents, "u0")
+    found = retrieval.nearest(seen, t.asking, "embedding").join(t.chunks.select("id", "document_id"), "id")
+    return _six(found.select("query_id", "id", "document_id", "similarity"), "similarity")
 
 
 # --- graph and quality --------------------------------------------------------

@@ -63,6 +63,17 @@ class Tables:
         custom = F.when(F.col("cluster_id") % 4 == 0, F.concat(F.lit("custom "), F.col("cluster_id").cast("string")))
         return g.select(key.alias("id"), "document_id", "cluster_id", F.concat(F.lit("cluster "), F.col("cluster_id").cast("string")).alias("label"), custom.alias("custom_label"), F.substring("_first", 1, 240).alias("description"), "unit_count", "avg_fz", "avg_fy", "avg_cti", "centroid")
 
+    @cached_property
+    def asking(self) -> DataFrame:
+        """Chunks that search: every row whose id is divisible by 20."""
+        return self.chunks.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+
+    @cached_property
+    def asking_clusters(self) -> DataFrame:
+        """Clusters that search: those whose number, ten times the document's and the cluster's own, is divisible by 20."""
+        number = F.substring("document_id", 4, 20).cast("int") * 10 + F.col("cluster_id")
+        return self.clusters.where(number % 20 == 0).select(F.col("id").alias("query_id"), F.col("centroid").alias("q"), F.col("avg_fz").alias("q_fz"), F.col("avg_fy").alias("q_fy"), F.col("document_id").alias("q_document"))
+
     @cached_property
     def units(self) -> DataFrame:
         """Every document's whole text as a unit of its source."""

@@ -17,33 +17,25 @@ from loomfield.plans import field, queries
 from loomfield.sources import files, providers
 
 
-def fold_by_hand(sentences, target, most, overlap, least):
-    out, i = [], 0
-    while i < len(sentences):
-        buffer, size = [], 0
-        while i < len(sentences) and size + len(sentences[i]) <= most:
-            buffer.append(sentences[i])
-            size += len(sentences[i]) + 1
-            i += 1
-            if size >= target:
-                break
-        if not buffer:
-            buffer.append(sentences[i])
-            i += 1
-        text = " ".join(buffer).strip()
-        if len(text) >= least:
-            out.append(text)
-        if i < len(sentences) and overlap > 0:
-            i = max(i - overlap, i - len(buffer) + 1)
-    return out
-
-
-def test_fold_equals_a_plain_loop():
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("overlap", [0, 1, 2, 5])
+def test_fold_keeps_its_promises(overlap):
+    """Every chunk is a run of sentences; which run follows from sums of lengths alone."""
+    rng, target, most, least = np.random.default_rng(1), 500, 1200, 40
     for _ in range(300):
-        s = ["x" * int(n) for n in rng.choice([3, 20, 90, 300, 1500], rng.integers(0, 25))]
-        for overlap in (0, 1, 2, 5):
-            assert [t for _, t in chunker.fold(s, 500, 1200, overlap, 40)] == fold_by_hand(s, 500, 1200, overlap, 40)
+        sizes = rng.choice([3, 20, 90, 300, 1500], rng.integers(0, 25))
+        sentences = [chr(97 + k) * int(n) for k, n in enumerate(sizes)]
+        sums = np.concatenate([[0], np.cumsum(sizes + 1)])
+        first, chunks = 0, []
+        while first < len(sizes):
+            fits = [e for e in range(first + 1, len(sizes) + 1) if sums[e] - 1 - sums[first] <= most]
+            full = [e for e in fits if sums[e] - sums[first] >= target]
+            end = full[0] if full else max(fits, default=first + 1)
+            chunks.append((first, " ".join(sentences[first:end])))
+            first = end if end == len(sizes) else max(first + 1, end - overlap)
+        got = list(chunker.fold(sentences, target, most, overlap, least))
+        assert got == [c for c in chunks if len(c[1]) >= least]
+        for _, text in got:
+            assert len(text) <= most or " " not in text
 
 
 def test_chunks_respect_sources_and_index(spark):
@@ -162,6 +154,35 @@ def test_top_k_edges(spark):
     assert retrieval.match_chunks(c, retrieval.query_vector(c, 77), 10).collect() == []
 
 
+def test_many_searches_equal_single_ones(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 5))
+    x[7] = x[3]  # a tie
+    rows = [(i, v.tolist(), f"d{i % 4}", float(i % 7) / 7, None if i % 9 == 0 else 0.5) for i, v in enumerate(x)] + [(90, [0.0] * 5, "d0", 0.1, 0.1), (91, None, "d0", 0.1, 0.1), (92, [1.0, 2.0], "d1", 0.2, 0.3)]
+    c = spark.createDataFrame(rows, "id long, centroid array<double>, document_id string, avg_fz double, avg_fy double")
+    q = c.where("id % 5 = 0 OR id = 92").selectExpr("id AS query_id", "centroid AS q", "avg_fz AS q_fz", "coalesce(avg_fy, 0D) AS q_fy", "document_id AS q_document")
+    size = np.linalg.norm(x, axis=1)
+    for sizes in (1000, 7):
+        monkeypatch.setattr(retrieval, "BLOCK_ROWS", sizes)
+        monkeypatch.setattr(retrieval, "BLOCK_QUERIES", max(2, sizes // 3))
+        got = {}
+        for r in retrieval.nearest(c, q, "centroid", 4, -0.5).collect():
+            got.setdefault(r.query_id, []).append((r.id, r.similarity))
+        assert sorted(got) == [*range(0, 60, 5), 92] and [i for i, _ in got[92]] == [92]
+        for k in range(0, 60, 5):
+            sims = x @ x[k] / size / size[k]
+            want = sorted((-round(s, 12), i) for i, s in enumerate(sims) if s >= -0.5)[:4]
+            assert [i for _, i in sorted((-round(s, 12), i) for i, s in got[k])] == [i for _, i in want]
+            assert sorted(-s for _, s in got[k]) == pytest.approx([s for s, _ in want])
+        docs = spark.createDataFrame([(f"d{i}", f"d{i}.txt") for i in range(4)], "id string, filename string")
+        mixed = retrieval.nearest(c, q, "centroid", 6, 0.0, weight=0.3, exclude_own=True).collect()
+        for k in (5, 10):
+            one = q.where(f"query_id = {k}").select("q", "q_fz", "q_fy")
+            single = retrieval.match_clusters_hybrid(c.withColumn("description", F.lit("")), docs, one, 6, exclude_document=f"d{k % 4}").collect()
+            assert sorted(r.id for r in mixed if r.query_id == k) == sorted(r.id for r in single)
+    assert retrieval.nearest(c.limit(0), q, "centroid").collect() == []
+
+
 def test_hybrid_without_weight_is_similarity(spark):
     c = spark.createDataFrame([(f"a#{i}", "a" if i else "b", [1.0, float(i)], 0.1 * i, 0.5, None) for i in range(5)], "id string, document_id string, centroid array<double>, avg_fz double, avg_fy double, description string")
     d = spark.createDataFrame([("a", "a.txt"), ("b", "b.txt")], "id string, filename string")
