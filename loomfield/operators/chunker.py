@@ -1,7 +1,7 @@
-"""Sentence-aware chunks with overlap, as one native fold per group of units.
+"""Sentence-aware chunks with overlap, as one fold per group of units.
 
-A group is a run of consecutive units of one source.  The fold walks the
-group's sentences once; a chunk is written when the next sentence doesn't fit
+A group is a run of consecutive units of one source.  Sentences are cut in the
+JVM; the fold, a small Python helper in Arrow batches, walks a group's sentences once; a chunk is written when the next sentence doesn't fit
 or the target is reached, and the walk steps back by the overlap.
 """
 
@@ -96,6 +96,15 @@ def chunk_units(units: DataFrame, target: int = TARGET, most: int = MOST, overla
     return out.where(F.col("chunk_index") < cap) if cap is not None else out
 
 
+def distinct_units(units: DataFrame, least: int = 3) -> DataFrame:
+    """units(document_id, pos, text) as they came, the first of those whose squeezed texts are equal (case ignored); shorter than `least` go."""
+    from ..functions.text import squeeze
+    from .store import keep_first
+
+    keyed = units.withColumn("_k", F.lower(squeeze(F.col("text")))).where(F.length("_k") >= least)
+    return keep_first(keyed, ["document_id", "_k"], ["pos"]).drop("_k")
+
+
 def merge_units(*sets: DataFrame) -> DataFrame:
     """sets of (document_id, pos, text) in order: squeezed, 3 characters at least, the first of equal texts (case ignored) stays."""
     from ..functions.text import squeeze

@@ -214,5 +214,11 @@ def active_keys(keys: DataFrame, raw_key: str) -> DataFrame:
     return keys.where((F.col("key_hash") == F.sha2(F.lit(raw_key), 256)) & F.col("revoked_at").isNull()).select("user_id")
 
 
+def use_key(keys: DataFrame, raw_key: str, at: Column) -> DataFrame:
+    """The table of keys after a call with a key: an active key's `last_used_at` is renewed."""
+    used = (F.col("key_hash") == F.sha2(F.lit(raw_key), 256)) & F.col("revoked_at").isNull()
+    return keys.withColumn("last_used_at", F.when(used, at).otherwise(F.col("last_used_at")))
+
+
 def list_keys(keys: DataFrame, owner: str) -> DataFrame:
     return keys.where(F.col("user_id") == owner).orderBy(F.desc("created_at"), "id")

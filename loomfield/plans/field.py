@@ -53,12 +53,23 @@ class Field:
     clusters: DataFrame
     stats: DataFrame
     documents: DataFrame
+    rejected: DataFrame
+
+
+#: Chunks of a document that are kept, by its kind: text, and PDF.
+CAPS = {"text": 200, "pdf": 80}
 
 
 def build_field(units: DataFrame, lexicon: Lexicon = Lexicon(), intentions=None, cap: int | None = 200, least_chunks: int = 3) -> Field:
-    """units(document_id, source, position, text); intentions: chunks -> chunks with speech_act, certainty, force, tension (none: null)."""
+    """units(document_id, source, position, text); intentions: chunks -> chunks with speech_act, certainty, force, tension (none: null).
+
+    A document keeps its first `cap` chunks (see CAPS; None: all).  Documents with fewer than `least_chunks` chunks are
+    listed in `rejected` (document_id, n, reason), with 0 chunks where no sentence was found, and in none of the others.
+    """
     chunks = stash(chunk_units(units, cap=cap))
-    enough = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_chunks)
+    counted = units.select("document_id").distinct().join(chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")), "document_id", "left").select("document_id", F.coalesce("n", F.lit(0)).alias("n"))
+    enough = counted.where(F.col("n") >= least_chunks)
+    rejected = counted.where(F.col("n") < least_chunks).withColumn("reason", F.format_string(f"%d chunks, at least {least_chunks} are needed", "n"))
     chunks = chunks.join(enough.select("document_id"), "document_id", "left_semi").withColumnRenamed("chunk_index", "idx")
     chunks = intentions(chunks) if intentions else chunks.withColumns({"speech_act": F.lit(None).cast("string"), **{c: F.lit(None).cast("double") for c in ("certainty", "force", "tension")}})
     counts = A.token_counts(chunks)
@@ -75,4 +86,4 @@ def build_field(units: DataFrame, lexicon: Lexicon = Lexicon(), intentions=None,
     clusters = clusters.withColumn("description", F.coalesce("description", F.lit("Empty cluster"))).withColumn("label", F.coalesce("label", F.concat(F.lit("Cluster "), F.col("cluster_id") + 1)))
     stats = A.field_stats(scored)
     documents = fingerprints(scored.select("document_id", F.col("content_hash").alias("h")), "content_hash")
-    return Field(scored, clusters, stats, documents)
+    return Field(scored, clusters, stats, documents, rejected)

@@ -600,6 +600,21 @@ def field_units(t: Tables) -> DataFrame:
 
 @query()
 def corpus_map(t: Tables) -> DataFrame:
-    edges = graph.cluster_edges(t.clusters, 0.3, None)
-    nodes = t.clusters.select("id", "document_id", "label", "unit_count")
-    return files.corpus_map(t.documents, nodes, edges.select("src_id", "dst_id"), graph.cross_document_groups(edges, t.clusters).select("group_id", "size"))
+    """The whole map of what one owner sees: documents, nodes with quality, edges with scores, groups with members, chunks, summary."""
+    documents = retrieval.visible_documents(t.documents, "u1")
+    clusters = stash(retrieval.visible_rows(t.clusters, t.documents, "u1"))
+    chunks = retrieval.visible_rows(t.chunks, t.documents, "u1")
+    quality = stash(graph.cluster_quality(clusters, chunks, 0.15))
+    edges = stash(graph.cluster_edges(clusters, 0.3, None))
+    groups = stash(graph.cross_document_groups(edges, clusters))
+    nodes = clusters.select("id", "document_id", F.coalesce("custom_label", "label").alias("label"), "description", "unit_count", "avg_fz", "avg_fy", "avg_cti")
+    nodes = nodes.join(quality.select("id", "cohesion", "separation", "noise_ratio"), "id", "left")
+    return files.corpus_map(
+        {"min_similarity": 0.3, "noise_threshold": 0.15},
+        documents=documents,
+        nodes=nodes,
+        edges=edges.select("src_id", "dst_id", "src_doc", "dst_doc", "similarity", "fz_delta", "fy_delta", "hybrid_score"),
+        cross_doc_clusters=groups,
+        chunks=chunks.select("id", "document_id", "cluster_id", "chunk_index", "fz", "fy", "cti"),
+        summary=graph.corpus_summary(clusters, quality, edges, groups),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean_vector
+from ..operators.shared import stash
 
 DIM = 64
 
@@ -61,7 +62,8 @@ class Tables:
         )
         key = F.concat("document_id", F.lit("#"), F.col("cluster_id").cast("string"))
         custom = F.when(F.col("cluster_id") % 4 == 0, F.concat(F.lit("custom "), F.col("cluster_id").cast("string")))
-        return g.select(key.alias("id"), "document_id", "cluster_id", F.concat(F.lit("cluster "), F.col("cluster_id").cast("string")).alias("label"), custom.alias("custom_label"), F.substring("_first", 1, 240).alias("description"), "unit_count", "avg_fz", "avg_fy", "avg_cti", "centroid")
+        # Few rows that a query uses many times: written once.
+        return stash(g.select(key.alias("id"), "document_id", "cluster_id", F.concat(F.lit("cluster "), F.col("cluster_id").cast("string")).alias("label"), custom.alias("custom_label"), F.substring("_first", 1, 240).alias("description"), "unit_count", "avg_fz", "avg_fy", "avg_cti", "centroid"))
 
     @cached_property
     def asking(self) -> DataFrame:

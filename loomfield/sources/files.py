@@ -146,8 +146,12 @@ def write_field(field: DataFrame, path: str) -> None:
     field.write.mode("overwrite").json(path)
 
 
-def corpus_map(documents: DataFrame, nodes: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of the corpus map export: (section, body as JSON), one section a table, so that no section is one string."""
+def corpus_map(params: dict[str, float], **sections: DataFrame) -> DataFrame:
+    """Rows of the corpus map export: (section, body as JSON), one row a row of each section, so that no section is one string."""
     part = lambda name, df: df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("body"))
-    head = documents.sparkSession.range(1).select(F.lit("schema_version").alias("section"), F.lit('"corpus-map/2.0"').alias("body"))
-    return head.unionByName(part("documents", documents)).unionByName(part("nodes", nodes)).unionByName(part("edges", edges)).unionByName(part("cross_doc_clusters", groups))
+    first = next(iter(sections.values())).sparkSession
+    head = [("schema_version", '"corpus-map/2.0"'), ("params", json.dumps(params))]
+    out = first.createDataFrame(head, "section string, body string")
+    for name, df in sections.items():
+        out = out.unionByName(part(name, df))
+    return out

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomfield.functions import text as text_functions
 from loomfield.operators import analysis as A
 from loomfield.operators import chunker, graph, layout, retrieval, store
 from loomfield.plans import field, queries
@@ -95,6 +96,43 @@ def test_merge_keeps_the_first(spark):
     assert sorted((r["set"], r.text) for r in chunker.merge_units(a, b).collect()) == [(0, "Same text"), (1, "other")]
 
 
+def test_distinct_units_keep_their_text(spark):
+    a = spark.createDataFrame([("d", 0, " Same  text "), ("d", 1, "same TEXT"), ("d", 2, "ab"), ("e", 0, "same text"), ("e", 1, None)], "document_id string, pos long, text string")
+    assert sorted((r.document_id, r.pos, r.text) for r in chunker.distinct_units(a).collect()) == [("d", 0, " Same  text "), ("e", 0, "same text")]
+
+
+def test_keys(spark):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    keys = spark.createDataFrame([(1, "me", sha("k1"), None, None, 5), (2, "me", sha("k2"), 3, 2, 6), (3, "you", sha("k3"), None, None, 7)], "id long, user_id string, key_hash string, revoked_at long, last_used_at long, created_at long")
+    assert [r.user_id for r in retrieval.active_keys(keys, "k1").collect()] == ["me"] and retrieval.active_keys(keys, "k2").collect() == []
+    assert [r.id for r in retrieval.list_keys(keys, "me").collect()] == [2, 1]
+    for key, want in (("k1", {1: 9, 2: 2, 3: None}), ("k2", {1: None, 2: 2, 3: None}), ("none", {1: None, 2: 2, 3: None})):
+        assert {r.id: r.last_used_at for r in retrieval.use_key(keys, key, F.lit(9).cast("long")).collect()} == want
+    gone = store.revoke_keys(keys, spark.createDataFrame([(1,), (2,), (1,)], "id long"), F.lit(8).cast("long"))
+    assert {r.id: r.revoked_at for r in gone.collect()} == {1: 8, 2: 3, 3: None}
+    assert keys.select(text_functions.key_hash(F.lit("k1"))).first()[0] == sha("k1")
+
+
+def test_corpus_map_holds_every_section(spark):
+    rows = queries.QUERIES["corpus_map"](spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.section, []).append(json.loads(r.body))
+    assert {"schema_version", "params", "documents", "nodes", "chunks", "summary", "edges"} <= set(by)
+    seen = {d["id"] for d in by["documents"]}
+    assert len(by["summary"]) == 1 and by["summary"][0]["cluster_count"] == len(by["nodes"]) and by["summary"][0]["edge_count"] == len(by["edges"])
+    assert all(n["document_id"] in seen and "cohesion" in n for n in by["nodes"]) and {c["document_id"] for c in by["chunks"]} <= seen
+    assert all(e["src_doc"] in seen and e["dst_doc"] in seen and "hybrid_score" in e for e in by["edges"])
+    assert all(len(g["ids"]) == g["size"] for g in by.get("cross_doc_clusters", []))
+
+
+def test_small_documents_are_listed_as_rejected(spark):
+    u = spark.createDataFrame([("small", 0, "s", "One sentence that is long enough to be a chunk by itself."), ("none", 0, "s", "")] + [("doc", i, "s", f"Sentence {i} of the document talks about water and stones and rivers. " * 12) for i in range(6)], "document_id string, position long, source string, text string")
+    out = field.build_field(u, cap=field.CAPS["pdf"])
+    assert {(r.document_id, r.n) for r in out.rejected.collect()} == {("small", 1), ("none", 0)}
+    assert {r.document_id for r in out.units.collect()} == {"doc"}
+
+
 def units(spark, texts):
     return spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "document_id string, idx long, text string")
 
