@@ -43,6 +43,8 @@ from .textkit import grouped_minima, permutations, scramble, shingle_hashes
 MINIMA, BANDS, ROWS, BITS, SLACK = 512, 48, 6, 4, 0.08
 SIMILARITY, WIDTH = 75, 5  # per cent, words
 PACKED = MINIMA * BITS // 64
+#: Bits of the map that sifts texts before they are shuffled: 8 MB, whatever the input.
+SLOTS = 1 << 26
 #: Shingles hashed at a time: bounds the memory of a task beside the longest text.
 SLAB = 200_000
 
@@ -128,10 +130,26 @@ def near(a: str, b: str, na: str, nb: str):
     return sizes & (estimate(a, b) >= SIMILARITY / 100 - SLACK)
 
 
+def _sift(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs without most rows whose doc_id is not in wanted(_id), so that their texts need no shuffle.
+
+    Hashed ids set bits of a map that is broadcast in rows of 4 KB, at most SLOTS bits in all.  Ids that meet a set bit
+    by chance stay, so a join must follow.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    row, at = (lambda s: F.shiftright(s, 15)), (lambda s: s.bitwiseAND(F.lit(32767)))
+    bits = wanted.groupBy(row(slot("_id")).alias("_row")).agg(F.bitmap_construct_agg(at(slot("_id"))).alias("_bits"))
+    place = at(slot("doc_id"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = docs.join(F.broadcast(bits), row(slot("doc_id")) == F.col("_row"))
+    return met.where(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("_row", "_bits")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs(a, b) whose full sets reach the similarity."""
     wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    # An inner join: a semi join would be moved below the sift, and all texts shuffled.
+    texts = _sift(docs, wanted).join(wanted, F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id", "text"])
     sets = stash(texts.select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>"))
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_sb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("_sa")), "a")
