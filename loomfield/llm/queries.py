@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, line_dedup, minhash_dedup, mixing, pii, quality_knn, quality_rules, suffix_dedup
+from . import centroids, chat, decontam, langid, line_dedup, minhash_dedup, mixing, pii, quality_knn, quality_rules, runs, suffix_dedup, topk_search
 from .ngrams import fold_of
+from .textkit import words_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,13 +70,41 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows)).drop("identical")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(_table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    each = found.assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    # A row for each of the few centroids.
+    about = each.join(F.broadcast(found.centroids.select("cluster", digest.alias("centroid_sha256"))), "cluster").crossJoin(F.broadcast(each.agg(F.sum("cluster_inertia").alias("inertia"))))
+    return found.assigned.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    words, h = words_of(F.col("text")), F.crc32(F.col("doc_id").cast("string"))
+    n, g = F.size(words), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    looped = F.array_join(F.concat(F.slice(words, F.lit(1), a), again), " ")
+    found = runs.find_runs(docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), looped).otherwise(F.col("text"))))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"], r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "r.start", "r.length", "r.period", F.floor(1000 * F.col("r.length") / F.col("r.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_knn, op3_minhash_dedup, op4_quality_rules, op5_suffix_dedup, op6_decontamination, op7_language_id, op8_mixing, op9_pii, op10_chat_formatting, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_knn, op3_minhash_dedup, op4_quality_rules, op5_suffix_dedup, op6_decontamination, op7_language_id, op8_mixing, op9_pii, op10_chat_formatting, op11_centroids, op12_runs, op13_topk_search, pipeline)}
 
 _SPLIT = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -83,7 +112,52 @@ _SETS = rf"""
 w AS (SELECT rid, id, {{split}} AS ws FROM {{rows}}),
 s AS (SELECT DISTINCT rid, id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0))"""
 
+_WHOLE = "list_transform(embedding, lambda x: floor(64e0 * x::DOUBLE))"
+_FINITE = "embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+
+def _centroid_sql(k: int = 16, rounds: int = 3) -> str:
+    """Rounds of assignment and floored means as one WITH."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, {_WHOLE} AS v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c FROM (SELECT v, sha256('1:' || vec_id::VARCHAR) AS h FROM v ORDER BY h, v LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT rid, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT rid, cluster, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{i}) GROUP BY rid)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT cluster, i, floor(sum(x) / count(*)) AS x FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS i FROM v JOIN a{i} USING (rid)) GROUP BY cluster, i)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(n, c) AS c FROM c{i} LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS n FROM m{i} GROUP BY cluster) USING (cluster))")
+    steps.append(f"s AS (SELECT cluster, sha256(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ',')) AS sha FROM c{rounds})")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, cluster::INT AS cluster, d::BIGINT AS distance, sum(d::BIGINT) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(d::BIGINT) OVER ()::BIGINT AS inertia, sha AS centroid_sha256
+FROM v JOIN a{rounds} USING (rid) JOIN s USING (cluster)"""
+
+
 ORACLES = {
+    "op11_centroids": _centroid_sql(),
+    # Words that are equal six at a time at a distance q make stretches; those long enough are runs.
+    "op12_runs": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_SPLIT} AS w,
+                  xor(list_reduce([4294967295::BIGINT] || list_transform(range(8 * length(doc_id::VARCHAR)), lambda k: CASE WHEN k % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (k // 8 + 1)::INT, 1)) ELSE 0 END::BIGINT),
+                                  lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS h FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+t AS MATERIALIZED (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM f),
+s AS MATERIALIZED (SELECT rid, i, hash(w[i + 1], w[i + 2], w[i + 3], w[i + 4], w[i + 5], w[i + 6]) AS g FROM (SELECT rid, w, unnest(range(0, n - 5)) AS i FROM t)),
+q AS (SELECT x.rid, x.i, y.i - x.i AS q FROM s x JOIN s y ON x.rid = y.rid AND x.g = y.g AND x.i < y.i),
+z AS (SELECT rid, q, min(i) AS s, max(i) - min(i) + 6 + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM q) GROUP BY rid, q, island),
+r AS MATERIALIZED (SELECT rid, s, len, min(q) AS q FROM z WHERE len >= greatest(12, 2 * q) GROUP BY rid, s, len),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM r),
+left_over AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS x FROM (SELECT rid, unnest(w) AS x, unnest(range(n)) AS i FROM t WHERE rid IN (SELECT rid FROM r)) ANTI JOIN gone USING (rid, i) GROUP BY rid),
+o AS (SELECT rid, count(*) AS n_runs, arg_min((s, len, q), (-len, s, q)) AS b, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS rs FROM r GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b[1]::BIGINT AS start, b[2]::BIGINT AS length, b[3]::BIGINT AS period, (1000 * b[2] // b[3])::BIGINT AS exponent_milli,
+       sha256(coalesce(rs, '')) AS runs_sha256, sha256(coalesce(x, array_to_string(w, ' '))) AS collapsed_sha256
+FROM t LEFT JOIN o USING (rid) LEFT JOIN left_over USING (rid)""",
+    "op13_topk_search": rf"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, {_WHOLE} AS v FROM embeddings WHERE {_FINITE}),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
     "op1_line_dedup": r"""
 WITH a AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
                   regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'gis') AS t FROM pages),
