@@ -1,9 +1,8 @@
 """Cluster graph: similar pairs, quality, cross-document groups.
 
-Exact comparison of all centroids with all others is a product of blocks: rows
-are dealt to blocks of a bounded size, a task gets two blocks, multiplies them
-and returns only pairs above the threshold (or the best per row).  No row pair
-leaves a task unless it is a result.
+Exact comparison of all centroids with all others: few rows are one block, many
+are placed in metric cells and meet only cells that may hold a partner
+(`cells`).  No row pair leaves a task unless it is a result.
 """
 
 from __future__ import annotations
@@ -14,81 +13,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from . import cells
 from .retrieval import hybrid
-from .shared import connected, stash
+from .shared import connected
 
+#: Rows up to which all are compared in one block.
 BLOCK_ROWS = 2000
 
 
-def _blocks(rows: DataFrame, vector: str) -> tuple[DataFrame, int]:
-    """(id, v, part) of usable vectors, dealt to parts of about BLOCK_ROWS by hash."""
-    able = rows.where(F.col(vector).isNotNull()).select("id", F.col(vector).alias("v"))
-    able = able.where(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > 0)
-    parts = max(1, -(-able.count() // BLOCK_ROWS))
-    return able.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), parts
+def _small(rows: DataFrame, vector: str) -> DataFrame | None:
+    """Usable rows as one block, if they are few."""
+    able = cells.unit_rows(rows, vector)
+    return able.withColumn("cell", F.lit(0)) if able.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS else None
 
 
-def _meet(blocks: DataFrame, parts: int) -> DataFrame:
-    """Every row goes to each unordered pair of parts that its own part is in: (cell, side, id, v)."""
-    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    dealt = blocks.withColumn("o", other)
-    low, high = F.least("part", "o"), F.greatest("part", "o")
-    return dealt.select((low.cast("long") * parts + high).alias("cell"), (F.col("part") != low).cast("int").alias("side"), "id", "v")
-
-
-def _unit(pdf: pd.DataFrame) -> np.ndarray:
-    x = np.array(pdf["v"].tolist(), dtype=np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _by_length(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of each length."""
+    return [(p["id"].to_numpy(), np.array(p["v"].tolist(), dtype=np.float64)) for _, p in pdf.groupby(pdf["v"].map(len))]
 
 
 def similar_pairs(rows: DataFrame, vector: str, min_similarity: float) -> DataFrame:
-    """(src_id, dst_id, similarity) of all pairs src_id < dst_id at or above the threshold; vectors of one length."""
-    blocks, parts = _blocks(rows, vector)
+    """(src_id, dst_id, similarity) of all pairs src_id < dst_id at or above the threshold; vectors of one length meet."""
+    block = _small(rows, vector)
+    if block is None:
+        return cells.similar_pairs(rows, vector, min_similarity)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["side"] == 0]
-        right = pdf[pdf["side"] == 1] if (pdf["side"] == 1).any() else left
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        near = _unit(left) @ _unit(right).T
-        x, y = np.nonzero(near >= min_similarity - 1e-12)
-        src, dst, sim = a[x], b[y], near[x, y]
-        swap = src > dst
-        src, dst = np.where(swap, dst, src), np.where(swap, src, dst)
-        out = pd.DataFrame({"src_id": src, "dst_id": dst, "similarity": sim})[src != dst]
-        return out.drop_duplicates(["src_id", "dst_id"])
+        out = []
+        for ids, x in _by_length(pdf):
+            near = x @ x.T
+            a, b = np.nonzero(near >= min_similarity - 1e-12)
+            good = ids[a] < ids[b]
+            out.append(pd.DataFrame({"src_id": ids[a[good]], "dst_id": ids[b[good]], "similarity": near[a[good], b[good]]}))
+        return pd.concat(out).drop_duplicates(["src_id", "dst_id"])
 
     kind = dict(rows.dtypes)["id"]
-    cells = _meet(blocks, parts)
-    if parts > 1:  # a cell of two different parts that holds only one of them has no pair across
-        cells = cells.withColumn("own", (F.floor(F.col("cell") / parts) == F.pmod("cell", F.lit(parts))))
-
-        inner = compare
-
-        def compare(pdf: pd.DataFrame) -> pd.DataFrame:  # noqa: F811
-            if not pdf["own"].iloc[0] and pdf["side"].nunique() < 2:
-                return pd.DataFrame({"src_id": [], "dst_id": [], "similarity": []})
-            return inner(pdf)
-
-    return cells.groupBy("cell").applyInPandas(compare, f"src_id {kind}, dst_id {kind}, similarity double")
+    return block.groupBy("cell").applyInPandas(compare, f"src_id {kind}, dst_id {kind}, similarity double")
 
 
 def nearest_other(rows: DataFrame, vector: str) -> DataFrame:
     """(id, nearest): similarity to the most similar other row."""
-    blocks, parts = _blocks(rows, vector)
+    block = _small(rows, vector)
+    if block is None:
+        queries = rows.select(F.col("id").alias("query_id"), F.col(vector).alias("q"))
+        return cells.search(cells.build(rows, vector), queries, 1, -1.5, but_own=True).select(F.col("query_id").alias("id"), F.col("similarity").alias("nearest"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            one = left if len(left) else right
-            near = _unit(one) @ _unit(one).T
+        out = []
+        for ids, x in _by_length(pdf):
+            near = x @ x.T
             np.fill_diagonal(near, -np.inf)
-            return pd.DataFrame({"id": one["id"], "nearest": near.max(1)})
-        near = _unit(left) @ _unit(right).T
-        return pd.concat([pd.DataFrame({"id": left["id"], "nearest": near.max(1)}), pd.DataFrame({"id": right["id"], "nearest": near.max(0)})])
+            out.append(pd.DataFrame({"id": ids, "nearest": near.max(1)}))
+        return pd.concat(out)
 
     kind = dict(rows.dtypes)["id"]
-    best = _meet(blocks, parts).groupBy("cell").applyInPandas(compare, f"id {kind}, nearest double")
-    return best.groupBy("id").agg(F.max("nearest").alias("nearest")).where("nearest > double('-infinity')")
+    return block.groupBy("cell").applyInPandas(compare, f"id {kind}, nearest double").where("nearest > double('-infinity')")
 
 
 def cluster_edges(clusters: DataFrame, min_similarity: float = 0.55, max_edges: int | None = 500) -> DataFrame:

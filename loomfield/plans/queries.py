@@ -15,7 +15,7 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..functions.vectors import guarded_cosine
 from ..operators import analysis as A
-from ..operators import chunker, graph, layout, retrieval, store
+from ..operators import cells, chunker, graph, layout, retrieval, store
 from ..operators.shared import stash
 from ..sources import files
 from . import field
@@ -101,6 +101,43 @@ def match_chunks(t: Tables) -> DataFrame:
     return _six(retrieval.nearest(t.chunks, t.asking, "embedding"), "similarity")
 
 
+@query(_sim("fx_chunks", "embedding", "true", "0e0", 10))
+def match_chunks_index(t: Tables) -> DataFrame:
+    """match_chunks through the index: exact, cells that can't hold a better row are not looked into."""
+    return _six(cells.search(cells.build(t.chunks, "embedding"), t.asking), "similarity")
+
+
+@query()
+def match_chunks_probed(t: Tables) -> DataFrame:
+    """match_chunks through the index: approximate, the nearest cells only, as many as a sample of the queries needs."""
+    index = cells.build(t.chunks, "embedding")
+    return _six(cells.search(index, t.asking, probes=cells.calibrate(index, t.asking)), "similarity")
+
+
+@query()
+def index_recall(t: Tables) -> DataFrame:
+    """One row: cells looked into of all, queries, true results, those that the approximate search finds too, and the share."""
+    index = cells.build(t.chunks, "embedding")
+    true = retrieval.nearest(t.chunks, t.asking, "embedding")
+    probes = cells.calibrate(index, t.asking)
+    found = cells.search(index, t.asking, probes=probes).select("query_id", "id", F.lit(1).alias("hit"))
+    both = true.join(found, ["query_id", "id"], "left")
+    return both.agg(F.lit(probes).alias("probes"), F.lit(len(index.size)).alias("cells"), F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("results"), F.count("hit").alias("found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
+@query()
+def join_pruning(t: Tables) -> DataFrame:
+    """Pairs of chunks that an exact join at a similarity of 0.4 compares, and those that it needn't."""
+    return cells.join_work(t.chunks, "embedding", 0.4)
+
+
+@query(f"""{_WITH} SELECT a.id AS src_id, b.id AS dst_id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity
+FROM fx_chunks a JOIN fx_chunks b ON a.id < b.id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.4e0""")
+def similar_chunks(t: Tables) -> DataFrame:
+    """All pairs of chunks at a similarity of 0.4 or more, over metric cells."""
+    return _six(cells.similar_pairs(t.chunks, "embedding", 0.4), "similarity")
+
+
 @query(_sim("fx_chunks", "embedding", "coalesce(cti, 0) >= 0.5e0", "0.1e0", 25))
 def match_chunks_cti_floor(t: Tables) -> DataFrame:
     return _six(retrieval.nearest(t.chunks.where(F.coalesce("cti", F.lit(0.0)) >= 0.5), t.asking, "embedding", 25, 0.1), "similarity")
