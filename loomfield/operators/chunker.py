@@ -1,15 +1,16 @@
-"""Sentence-aware chunks with overlap, as one fold per group of units.
-
-A group is a run of consecutive units of one source.  Sentences are cut in the
-JVM; the fold, a small Python helper in Arrow batches, walks a group's sentences once; a chunk is written when the next sentence doesn't fit
-or the target is reached, and the walk steps back by the overlap.
+"""Sentence-aware chunks with overlap, as column expressions over the sentences of a group.
+
+A group is a run of consecutive units of one source.  A chunk that begins at a
+sentence is as many sentences as reach the target size, or fewer if the next
+would exceed the most that is allowed, but one at least; sizes count a blank
+after each sentence.  The next chunk begins so many sentences before its end as
+the overlap says, but after its beginning.  So the end of a chunk follows from
+sizes after its beginning alone, and a state of one number, where the next chunk
+begins, is all that passes along a group's sentences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from .shared import stash
 TARGET, MOST, OVERLAP, LEAST = 500, 1200, 2, 40
 #: Positions, and groups, are counted in ranges of two to this power, so that no task orders a whole document.
 RANGE_BITS = 12
+#: Sentences that are passed before what is found is gathered.
+STRETCH = 256
 
 
 def source_groups(units: DataFrame) -> DataFrame:
@@ -45,27 +48,61 @@ def _range_of(name: str) -> Column:
     return F.shiftright(F.col(name).cast("long"), RANGE_BITS)
 
 
-def fold(sentences: list[str], target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> Iterator[tuple[int, str]]:
-    """(first sentence, text) of each chunk.  Admit while the sum of lengths fits, stop at the target, force one that never fits."""
-    at = 0
-    while at < len(sentences):
-        first, size = at, 0
-        while at < len(sentences) and size + len(sentences[at]) <= most:
-            size += len(sentences[at]) + 1
-            at += 1
-            if size >= target:
-                break
-        at = max(at, first + 1)
-        text = " ".join(sentences[first:at]).strip()
-        if len(text) >= least:
-            yield first, text
-        if at < len(sentences) and overlap > 0:
-            at = max(at - overlap, first + 1)
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _admitted(sizes: Column, first: Column, target: int, most: int) -> Column:
+    """How many sentences from `first` on make a chunk; none is empty, so no more are looked at than could reach the target."""
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+
+    def admit(s: Column, x: Column) -> Column:
+        size = s["size"] + x + 1
+        return F.when(s["full"] | (size - 1 > most), F.struct(s["size"].alias("size"), s["n"].alias("n"), F.lit(True).alias("full"))).otherwise(F.struct(size.alias("size"), (s["n"] + 1).alias("n"), (size >= target).alias("full")))
+
+    return F.greatest(F.aggregate(F.slice(sizes, first + 1, min(target, most) // 2 + 2), start, admit, lambda s: s["n"]), F.lit(1))
+
+
+def cuts(sentences: Column, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> Column:
+    """array<struct<first, end>> of the chunks of an array of sentences, none of them empty.
+
+    Sentences are passed in stretches, so that what is found is gathered a stretch at a time.
+    """
+    part = "array<struct<first: int, end: int>>"
+
+    def step(s: Column, f: Column) -> Column:
+        def cut(n: Column) -> Column:
+            end = f + n
+            after = F.when(end >= F.size(s["sizes"]), F.lit(-1)).otherwise(F.greatest(end - overlap, f + 1))
+            return F.struct(s["sizes"].alias("sizes"), after.alias("next"), F.concat(s["cuts"], F.array(F.struct(f.alias("first"), end.alias("end")))).alias("cuts"))
+
+        return F.when(f == s["next"], _let(_admitted(s["sizes"], f, target, most), cut)).otherwise(s)
+
+    def stretch(s: Column, begin: Column) -> Column:
+        start = F.struct(s["sizes"].alias("sizes"), s["next"].alias("next"), F.array().cast(part).alias("cuts"))
+        passed = F.aggregate(F.sequence(begin, F.least(begin + STRETCH, F.size(s["sizes"])) - 1), start, step)
+        return _let(passed, lambda p: F.struct(s["sizes"].alias("sizes"), p["next"].alias("next"), F.concat(s["cuts"], F.array(p["cuts"])).alias("cuts")))
+
+    sizes = F.transform(sentences, F.length)
+    start = F.struct(sizes.alias("sizes"), F.lit(0).alias("next"), F.array().cast(f"array<{part}>").alias("cuts"))
+    found = F.aggregate(F.sequence(F.lit(0), F.size(sentences) - 1, F.lit(STRETCH)), start, stretch, lambda s: F.flatten(s["cuts"]))
+    return F.when(F.size(sentences) > 0, found).otherwise(F.array().cast(part))
+
+
+def fold(sentences: Column, places: Column, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> Column:
+    """array<struct<place, text>>: chunks of `least` characters and more, each with the place of its first sentence."""
+
+    def texts(t: Column) -> Column:
+        text = lambda c: F.struct(F.get(t["places"], c["first"]).alias("place"), F.array_join(F.slice(t["sentences"], c["first"] + 1, c["end"] - c["first"]), " ").alias("text"))
+        return F.filter(F.transform(cuts(t["sentences"], target, most, overlap), text), lambda c: F.length(c["text"]) >= least)
+
+    return _let(F.struct(sentences.alias("sentences"), places.alias("places")), texts)
 
 
 def _chunks_before(pieces: DataFrame) -> DataFrame:
-    """pieces(document_id, group_no) -> (_d, _g, _before): the document's chunks before each group."""
-    sizes = pieces.groupBy("document_id", "group_no").agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", _range_of("group_no"))
+    """pieces(document_id, group_no, chunks) -> (_d, _g, _before): the document's chunks before each group."""
+    sizes = pieces.select("document_id", "group_no", F.size("chunks").alias("_n"), _range_of("group_no").alias("_range"))
     ranges = sizes.groupBy(F.col("document_id").alias("_rd"), F.col("_range").alias("_r")).agg(F.sum("_n").alias("_all"))
     ranges = ranges.withColumn("_earlier", F.sum("_all").over(W.partitionBy("_rd").orderBy("_r")) - F.col("_all")).drop("_all")
     within = F.sum("_n").over(W.partitionBy("document_id", "_range").orderBy("group_no")) - F.col("_n")
@@ -76,23 +113,18 @@ def _chunks_before(pieces: DataFrame) -> DataFrame:
 def chunk_units(units: DataFrame, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST, cap: int | None = None) -> DataFrame:
     """(document_id, chunk_index, text, source, start_position), indices without gaps; `cap` keeps the first so many of a document.
 
-    A group is handled by itself, whatever document it is of; indices are the chunks counted in a group, in the groups
-    before it in its range, and in the ranges before.  The chunks are checkpointed, as they are counted and numbered.
+    A group is handled by itself, whatever document it is of, as one array of its sentences; indices are the chunks
+    counted in a group, in the groups before it in its range, and in the ranges before.  The chunks are written once, as
+    they are counted and numbered.
     """
-    groups = source_groups(units)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        sentences = [s for row in pdf["sentences"] for s in row]
-        places = [p for p, row in zip(pdf["position"], pdf["sentences"], strict=True) for _ in row]
-        out = [(key[0], key[1], i, text, pdf["source"].iloc[0], places[first]) for i, (first, text) in enumerate(fold(sentences, target, most, overlap, least))]
-        return pd.DataFrame(out, columns=["document_id", "group_no", "n", "text", "source", "start_position"])
-
-    doc = dict(units.dtypes)["document_id"]
-    pieces = groups.select("document_id", "group_no", "position", "source", "sentences").groupBy("document_id", "group_no").applyInPandas(run, f"document_id {doc}, group_no long, n long, text string, source string, start_position long")
-    pieces = stash(pieces)
+    groups = source_groups(units).groupBy("document_id", "group_no")
+    rows = groups.agg(F.min("source").alias("source"), F.array_sort(F.collect_list(F.struct("position", "sentences"))).alias("units"))
+    places = lambda us: F.flatten(F.transform(us, lambda u: F.transform(u["sentences"], lambda _: u["position"])))
+    chunks = _let(F.col("units"), lambda us: fold(F.flatten(us["sentences"]), places(us), target, most, overlap, least))
+    pieces = stash(rows.select("document_id", "group_no", "source", chunks.alias("chunks")))
     out = pieces.join(_chunks_before(pieces), F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("group_no") == F.col("_g")))
-    out = out.withColumn("chunk_index", (F.col("_before") + F.col("n")).cast("int")).drop("group_no", "n", "_d", "_g", "_before")
+    out = out.select("document_id", "source", "_before", F.posexplode("chunks").alias("n", "c"))
+    out = out.select("document_id", F.col("c.text").alias("text"), "source", F.col("c.place").cast("long").alias("start_position"), (F.col("_before") + F.col("n")).cast("int").alias("chunk_index"))
     return out.where(F.col("chunk_index") < cap) if cap is not None else out
 
 

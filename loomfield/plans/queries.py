@@ -604,15 +604,27 @@ def image_units(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", X.image_unit(F.col("source"), ocr, caption).alias("unit"))
 
 
-# --- without SQL: sequential folds and iterations, tested by their properties ------------
+# --- chunks: where one begins follows from where the last ended -------------------------
 
 
-@query()
+_CUTS = r"""parts AS (SELECT row_number() OVER () AS rid, doc_id, source, list_filter(list_transform(string_split(
+regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?])\s+([A-ZÅÄÖ"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS ps FROM documents),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY rid ORDER BY i) AS upto FROM (SELECT rid, unnest(range(len(ps))) AS i, unnest(list_transform(ps, lambda s: length(s) + 1)) AS n FROM parts)),
+ends AS MATERIALIZED (SELECT a.rid, a.i, a.i + greatest(1, least(coalesce(min(b.i - a.i + 1) FILTER (b.upto - a.upto + a.n >= 500), 10000), count(*) FILTER (b.upto - a.upto + a.n - 1 <= 1200))) AS e
+  FROM sized a JOIN sized b ON a.rid = b.rid AND b.i BETWEEN a.i AND a.i + 251 GROUP BY a.rid, a.i, a.upto, a.n),
+cuts(rid, i, e) AS (SELECT rid, i, e FROM ends WHERE i = 0 UNION ALL SELECT n.rid, n.i, n.e FROM cuts c JOIN parts p USING (rid) JOIN ends n ON n.rid = c.rid AND n.i = greatest(c.e - 2, c.i + 1) WHERE c.e < len(p.ps)),
+chunks AS (SELECT rid, doc_id, source, i, e, text, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS idx FROM (SELECT c.*, doc_id, source, array_to_string(ps[i + 1:e], ' ') AS text FROM cuts c JOIN parts USING (rid)) WHERE length(text) >= 40)"""
+
+
+@query(f"WITH RECURSIVE {_CUTS} SELECT doc_id::VARCHAR AS document_id, idx::INT AS chunk_index, source, length(text)::INT AS length, sha256(text) AS digest FROM chunks")
 def chunk_units(t: Tables) -> DataFrame:
     units = t.raw("documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).cast("long").alias("position"), "source", "text")
     return chunker.chunk_units(units).select("document_id", "chunk_index", "source", F.length("text").alias("length"), F.sha2("text", 256).alias("digest"))
 
 
+# --- without SQL: iterations, tested by their properties ----------------------------------
+
+
 @query()
 def kmeans_full(t: Tables) -> DataFrame:
     counts = A.token_counts(t.units)

@@ -18,25 +18,34 @@ from loomfield.plans import field, queries
 from loomfield.sources import files, providers
 
 
+def by_sums(sentences, target=500, most=1200, overlap=2, least=40):
+    """(first sentence, text) of each chunk: which run of sentences it is follows from sums of lengths alone."""
+    sums = np.concatenate([[0], np.cumsum([len(x) + 1 for x in sentences])])
+    first, chunks = 0, []
+    while first < len(sentences):
+        fits = [e for e in range(first + 1, len(sentences) + 1) if sums[e] - 1 - sums[first] <= most]
+        full = [e for e in fits if sums[e] - sums[first] >= target]
+        end = full[0] if full else max(fits, default=first + 1)
+        chunks.append((first, " ".join(sentences[first:end])))
+        first = end if end == len(sentences) else max(first + 1, end - overlap)
+    return [c for c in chunks if len(c[1]) >= least]
+
+
 @pytest.mark.parametrize("overlap", [0, 1, 2, 5])
-def test_fold_keeps_its_promises(overlap):
-    """Every chunk is a run of sentences; which run follows from sums of lengths alone."""
-    rng, target, most, least = np.random.default_rng(1), 500, 1200, 40
-    for _ in range(300):
-        sizes = rng.choice([3, 20, 90, 300, 1500], rng.integers(0, 25))
-        sentences = [chr(97 + k) * int(n) for k, n in enumerate(sizes)]
-        sums = np.concatenate([[0], np.cumsum(sizes + 1)])
-        first, chunks = 0, []
-        while first < len(sizes):
-            fits = [e for e in range(first + 1, len(sizes) + 1) if sums[e] - 1 - sums[first] <= most]
-            full = [e for e in fits if sums[e] - sums[first] >= target]
-            end = full[0] if full else max(fits, default=first + 1)
-            chunks.append((first, " ".join(sentences[first:end])))
-            first = end if end == len(sizes) else max(first + 1, end - overlap)
-        got = list(chunker.fold(sentences, target, most, overlap, least))
-        assert got == [c for c in chunks if len(c[1]) >= least]
-        for _, text in got:
-            assert len(text) <= most or " " not in text
+def test_fold_keeps_its_promises(spark, overlap, monkeypatch):
+    monkeypatch.setattr(chunker, "STRETCH", 7)
+    rng = np.random.default_rng(1)
+    rows = [(i, [chr(97 + k % 26) * int(n) for k, n in enumerate(rng.choice([1, 3, 20, 90, 300, 1500], rng.integers(0, 60)))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, s array<string>")
+    got = {r.id: [(c.place, c.text) for c in r.c] for r in df.select("id", chunker.fold(F.col("s"), F.sequence(F.lit(0), F.size("s")), overlap=overlap).alias("c")).collect()}
+    assert got == {i: by_sums(s, overlap=overlap) for i, s in rows}
+    assert all(len(text) <= 1200 or " " not in text for c in got.values() for _, text in c)
+
+
+def test_chunks_need_no_python(spark):
+    units = spark.createDataFrame([("d", 0, "a", "One is here. Two is there.")], "document_id string, position long, source string, text string")
+    plan = chunker.source_groups(units).groupBy("document_id", "group_no").agg(F.flatten(F.collect_list("sentences")).alias("s")).select(chunker.fold(F.col("s"), F.col("s")))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString() and "Arrow" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_chunks_respect_sources_and_index(spark):
@@ -58,7 +67,7 @@ def test_chunks_over_many_ranges_equal_a_walk(spark, monkeypatch):
                 groups.append((s, []))
             groups[-1][1].extend((p, x.strip() + ".") for x in t.split(".") if x.strip())
             numbers.append((d, p, len(groups)))
-        chunks = [(s, g[first][0], text) for s, g in groups for first, text in chunker.fold([x for _, x in g])]
+        chunks = [(s, g[first][0], text) for s, g in groups for first, text in by_sums([x for _, x in g])]
         want += [(d, i, *c) for i, c in enumerate(chunks)]
     units = spark.createDataFrame(rows, "document_id string, position long, source string, text string")
     grouped = chunker.source_groups(units)
