@@ -30,13 +30,13 @@ def paragraphs(text: Column) -> Column:
 def split_sentences(text: Column) -> Column:
     """Sentences end at . ! ? before white space and an upper-case letter, quote or bracket."""
     flat = F.regexp_replace(text, WS + "+", " ")
-    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+(?=[A-ZÅÄÖ\"'(\[])", -1), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+(?=[A-ZÅÄÖ\"'(\[])", -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def page_sentences(page: Column) -> Column:
     """Sentences of a page of positioned text: longer than 15 characters."""
     flat = F.regexp_replace(page, WS + "+", " ")
-    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+", -1), F.trim), lambda s: F.length(s) > 15)
+    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+", -1), lambda s: F.trim(s)), lambda s: F.length(s) > 15)
 
 
 def tokenize(text: Column) -> Column:

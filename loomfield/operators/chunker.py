@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import split_sentences
+from ..functions.text import WS, split_sentences
 from .shared import stash
 
 TARGET, MOST, OVERLAP, LEAST = 500, 1200, 2, 40
@@ -30,7 +30,8 @@ def source_groups(units: DataFrame) -> DataFrame:
 
     Groups are counted within ranges of positions; what earlier ranges hold is added from one narrow row a range.
     """
-    with_sentences = units.withColumn("sentences", split_sentences(F.coalesce("text", F.lit("")))).where(F.size("sentences") > 0)
+    # A text has a sentence if it has anything but white space; what the sentences are is computed once, at the end.
+    with_sentences = units.where(F.col("text").rlike(f"[^{WS[1:-1]}]"))
     order = W.partitionBy("document_id", "_range").orderBy("position", "source")
     step = (F.lag(F.lit(1)).over(order).isNotNull() & ~F.col("source").eqNullSafe(F.lag("source").over(order))).cast("long")
     ranged = with_sentences.withColumn("_range", _range_of("position")).withColumn("_new", step).withColumn("_run", F.sum("_new").over(order)).drop("_new")
@@ -41,7 +42,8 @@ def source_groups(units: DataFrame) -> DataFrame:
     ranges = ranges.withColumn("_begins", begins).withColumn("_before", F.sum(F.col("_begins") + F.col("_more")).over(along) - F.col("_more"))
     ranges = ranges.select(F.col("document_id").alias("_d"), F.col("_range").alias("_r"), "_before")
     joined = ranged.join(ranges, F.col("document_id").eqNullSafe(F.col("_d")) & F.col("_range").eqNullSafe(F.col("_r")))
-    return joined.withColumn("group_no", F.col("_before") + F.col("_run")).drop("_range", "_run", "_d", "_r", "_before")
+    joined = joined.withColumn("group_no", F.col("_before") + F.col("_run")).drop("_range", "_run", "_d", "_r", "_before")
+    return joined.withColumn("sentences", split_sentences(F.col("text")))
 
 
 def _range_of(name: str) -> Column:

@@ -107,3 +107,9 @@ def test_file_helpers():
     assert files.script_units("short\nlonger line here\n") == ["longer line here"]
     assert files.notebook_units('{"cells": [{"cell_type": "code", "source": ["a = 1\\n", "b"]}, {"cell_type": "markdown", "source": "hey"}, {"source": "other text"}]}') == ["[code] a = 1\nb", "[raw] other text"]
     assert files.notebook_units("{") == ["{"] and files.notebook_units("[1]") == []
+
+
+def test_sentences_keep_digits_at_their_ends(spark):
+    """The place of a sentence isn't taken for characters to trim."""
+    got = spark.createDataFrame([("0 begins. 1 follows 1. And 2 ends 2",)], "t string").select(X.split_sentences(F.col("t")).alias("s"), X.page_sentences(F.concat("t", F.lit(". 0123456789 0123456789"))).alias("p")).first()
+    assert got.s == ["0 begins. 1 follows 1.", "And 2 ends 2"] and got.p[-1] == "0123456789 0123456789"
