@@ -161,18 +161,24 @@ def find_friction(chunks: DataFrame, documents: DataFrame, owner: str, min_cti:
     return visible_rows(chunks.where(F.col("cti") >= min_cti), documents, owner).orderBy(F.desc("cti"), "id").limit(limit)
 
 
-def document_ranking(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """All documents with average and largest cti, chunks and clusters; without chunks zeros.
+def ranking_parts(chunks: DataFrame) -> DataFrame:
+    """(document_id, cluster_id, s, n, m, c): sum, count and largest of cti, and chunks, which add up over chunks that are added."""
+    return chunks.groupBy("document_id", "cluster_id").agg(F.sum("cti").alias("s"), F.count("cti").alias("n"), F.max("cti").alias("m"), F.count("id").alias("c"))
 
-    Distinct clusters come from a first aggregate by (document, cluster), so the hot document is summed before it moves.
-    """
-    per = chunks.groupBy("document_id", "cluster_id").agg(F.sum("cti").alias("s"), F.count("cti").alias("n"), F.max("cti").alias("m"), F.count("id").alias("c"))
-    per = per.groupBy("document_id").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("a"), F.max("m").alias("m"), F.sum("c").alias("c"), F.count("cluster_id").alias("k"))
+
+def ranking_of(documents: DataFrame, parts: DataFrame) -> DataFrame:
+    """All documents with average and largest cti, chunks and clusters, from partial aggregates; without chunks zeros."""
+    per = parts.groupBy("document_id").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("a"), F.max("m").alias("m"), F.sum("c").alias("c"), F.count("cluster_id").alias("k"))
     joined = documents.join(per, F.col("id") == F.col("document_id"), "left")
     zero = lambda c, t: F.coalesce(F.col(c), F.lit(0)).cast(t)
     return joined.select("id", "filename", "source_type", "user_id", zero("a", "double").alias("avg_cti"), zero("m", "double").alias("max_cti"), zero("c", "int").alias("chunk_count"), zero("k", "int").alias("cluster_count"))
 
 
+def document_ranking(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The ranking from all chunks, summed by (document, cluster) first, so the hot document is summed before it moves."""
+    return ranking_of(documents, ranking_parts(chunks))
+
+
 def top_ranking(ranking: DataFrame, limit: int = 50) -> DataFrame:
     return ranking.orderBy(F.desc("avg_cti"), "id").limit(limit)
 

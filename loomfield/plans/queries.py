@@ -15,7 +15,7 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..functions.vectors import guarded_cosine
 from ..operators import analysis as A
-from ..operators import cells, chunker, graph, layout, retrieval, store
+from ..operators import cells, chunker, graph, layout, maintain, retrieval, store
 from ..operators.shared import stash
 from ..sources import files
 from . import field
@@ -279,6 +279,47 @@ def document_ranking(t: Tables) -> DataFrame:
     return _six(retrieval.document_ranking(t.documents, t.chunks).select("id", "filename", "avg_cti", "max_cti", "chunk_count", "cluster_count"), "avg_cti")
 
 
+@query(_RANKING + " SELECT id, filename, round(avg_cti, 6) AS avg_cti, max_cti, chunk_count, cluster_count FROM ranking")
+def ranking_kept_up(t: Tables) -> DataFrame:
+    """document_ranking from partial aggregates of three lots of chunks, added one after another."""
+    parts = None
+    for lot in range(3):
+        parts = maintain.add_parts(parts, retrieval.ranking_parts(t.chunks.where(F.col("id") % 3 == lot)))
+    return _six(retrieval.ranking_of(t.documents, parts).select("id", "filename", "avg_cti", "max_cti", "chunk_count", "cluster_count"), "avg_cti")
+
+
+_TURNED = """now_documents AS (SELECT id, filename, user_id, CASE WHEN n % 6 = 0 THEN false WHEN n % 6 = 1 THEN true ELSE share_to_global END AS share_to_global FROM (SELECT *, uploaded_at AS n FROM fx_documents)),
+now_clusters AS (SELECT id, document_id, CASE WHEN cluster_id % 5 = 0 THEN 'renamed' ELSE coalesce(custom_label, label) END AS label, avg_cti FROM fx_clusters WHERE cluster_id <> 7),
+was AS (SELECT c.id, c.document_id, coalesce(custom_label, label) AS label, filename, avg_cti FROM fx_clusters c JOIN fx_documents d ON d.id = c.document_id AND d.share_to_global),
+is_now AS (SELECT c.id, c.document_id, label, filename, avg_cti FROM now_clusters c JOIN now_documents d ON d.id = c.document_id AND d.share_to_global)"""
+
+
+def _turned(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Documents and clusters after flags turned, labels were given and clusters went."""
+    n = F.col("uploaded_at") % 6
+    documents = t.documents.withColumn("share_to_global", F.when(n == 0, False).when(n == 1, True).otherwise(F.col("share_to_global")))
+    clusters = t.clusters.where("cluster_id <> 7").withColumn("custom_label", F.when(F.col("cluster_id") % 5 == 0, "renamed").otherwise(F.col("custom_label")))
+    return documents, clusters
+
+
+@query(f"""{_WITH}, {_TURNED}
+SELECT coalesce(b.id, a.id) AS id, CASE WHEN a.id IS NULL THEN 'insert' WHEN b.id IS NULL THEN 'delete' ELSE 'update' END AS op,
+CASE WHEN a.id IS NULL THEN 'shared' WHEN b.id IS NULL THEN CASE WHEN d.share_to_global THEN 'removed' ELSE 'unshared' END ELSE 'changed' END AS reason, coalesce(b.label, a.label) AS label
+FROM was a FULL JOIN is_now b ON a.id = b.id JOIN now_documents d ON d.id = coalesce(a.document_id, b.document_id) WHERE a.id IS NULL OR b.id IS NULL OR a.label <> b.label""")
+def shared_feed(t: Tables) -> DataFrame:
+    documents, clusters = _turned(t)
+    return maintain.shared_feed(t.documents, documents, t.clusters, clusters).select("id", "op", "reason", "label")
+
+
+@query(f"{_WITH}, {_TURNED} SELECT id, document_id, label, filename, round(avg_cti, 6) AS avg_cti FROM is_now")
+def shared_after_feed(t: Tables) -> DataFrame:
+    """The stored shared table after its feed: what deriving it anew gives."""
+    documents, clusters = _turned(t)
+    feed = maintain.shared_feed(t.documents, documents, t.clusters, clusters).drop("reason")
+    stored = maintain.shared_feed(t.documents.limit(0), t.documents, t.clusters.limit(0), t.clusters).drop("op", "reason")
+    return _six(maintain.apply_feed(stored, feed).select("id", "document_id", "label", "filename", "avg_cti"), "avg_cti")
+
+
 @query(_RANKING + " SELECT id, round(avg_cti, 6) AS avg_cti FROM ranking ORDER BY round(avg_cti, 9) DESC, id LIMIT 8")
 def ranking_top(t: Tables) -> DataFrame:
     ranking = retrieval.document_ranking(t.documents, t.chunks).withColumn("avg_cti", F.round("avg_cti", 9))

@@ -1,7 +1,8 @@
 """Incremental ingest: units that arrive as files become stored chunks, and the ranking is renewed.
 
 Splitting, scoring and hashing are stateless column expressions; duplicates
-inside the watermark are dropped by state, older ones by the store.
+inside the watermark are dropped by state, older ones by the store.  Chunks,
+clusters and the ranking of a batch become one version of the stored tables.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import scoring as S
 from ..functions.lexicon import Lexicon
 from ..functions.text import content_hash, unit_type
-from ..operators import retrieval, store
+from ..operators.maintain import take_in
+from ..operators.snapshots import Snapshots
 
 ARRIVING = "document_id string, chunk_index long, text string, cti double, cluster_id int, arrived timestamp"
 
@@ -28,25 +30,13 @@ def prepare(units: DataFrame, lexicon: Lexicon = Lexicon(), late: str = "1 hour"
     return out.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["document_id", "content_hash"])
 
 
-def ingest(spark: SparkSession, folder: str, chunks_path: str, ranking_path: str, checkpoint: str, lexicon: Lexicon = Lexicon()) -> StreamingQuery:
-    """Start the stream: each batch appends new chunks in a folder of its own (a batch run again overwrites it) and renews the ranking."""
-
-    def stored(before: int | None = None) -> DataFrame | None:
-        try:
-            out = spark.read.option("basePath", chunks_path).parquet(chunks_path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER" in str(error):
-                return None
-            raise
-        return out if before is None else out.where(F.col("batch") != before)
+def ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, lexicon: Lexicon = Lexicon()) -> StreamingQuery:
+    """Start the stream: each batch is one version of the tables under `root`; a batch that runs again after its version is there does nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = store.new_chunks(batch, stored(number))
-        fresh.write.mode("overwrite").parquet(f"{chunks_path}/batch={number}")
-        chunks = stored()
-        documents = chunks.select(F.col("document_id").alias("id")).distinct().withColumns({"filename": F.col("id"), "source_type": F.lit("text"), "user_id": F.lit(None).cast("string")})
-        chunks = chunks.withColumn("id", F.concat_ws("#", "document_id", F.col("chunk_index").cast("string")))
-        retrieval.document_ranking(documents, chunks).write.mode("overwrite").parquet(f"{ranking_path}/version={number}")
+        # Batches are numbered by stream, whose id its checkpoint holds: a new checkpoint begins anew.
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        take_in(Snapshots(spark, root), batch, (f"ingest {stream}", number))
 
     return prepare(read_units(spark, folder), lexicon).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import text as text_functions
 from loomfield.operators import analysis as A
 from loomfield.operators import chunker, graph, layout, retrieval, store
+from loomfield.operators.snapshots import Snapshots
 from loomfield.plans import field, queries
 from loomfield.sources import files, providers
 
@@ -326,11 +327,16 @@ def test_streaming_ingest(spark, tmp_path):
     rows = [("d", 0, "Some text to keep here.", 0.5, 0), ("d", 1, "some  text to keep here.", 0.9, 0), ("e", 0, "Other text.", 0.1, 1)]
     make = lambda r: spark.createDataFrame(r, "document_id string, chunk_index long, text string, cti double, cluster_id int").withColumn("arrived", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     make(rows).coalesce(1).write.parquet(land)
-    run = lambda: ingest.ingest(spark, land, str(tmp_path / "chunks"), str(tmp_path / "rank"), str(tmp_path / "cp")).awaitTermination()
+    root = str(tmp_path / "tables")
+    run = lambda cp="cp": ingest.ingest(spark, land, root, str(tmp_path / cp)).awaitTermination()
     run()
-    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 2
+    first = Snapshots(spark, root)
+    assert first.version == 1 and first.read("chunks").count() == 2
     make([("e", 5, "Brand new text.", 0.7, 1), ("e", 6, "Other TEXT.", 0.3, 1)]).coalesce(1).write.mode("append").parquet(land)
     run()
-    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 3
-    last = spark.read.parquet(str(tmp_path / "rank"))
-    assert {r.id: r.chunk_count for r in last.where(f"version = {last.agg(F.max('version')).first()[0]}").collect()} == {"d": 1, "e": 2}
+    last = Snapshots(spark, root)
+    assert last.version == 2 and last.read("chunks").count() == 3 and first.read("chunks").count() == 2
+    assert {r.id: (r.chunk_count, r.avg_cti) for r in last.read("documents").collect()} == {"d": (1, 0.5), "e": (2, pytest.approx(0.4))}
+    run("lost")  # a stream that has forgotten where it was takes in nothing twice
+    assert Snapshots(spark, root).read("chunks").count() == 3
+    assert {m.split()[0] for m in Snapshots(spark, root).manifest["marks"]} == {"ingest"} and str(tmp_path) not in str(Snapshots(spark, root).manifest["marks"])
