@@ -10,11 +10,16 @@
    bit counts; the share of equal b-bit values, corrected for chance
    collisions, estimates the similarity, and pairs `SLACK` below the threshold go.
 4. Links are confirmed on the full sets (intersection and union counts).
-5. Components; then buckets that still hold several components have the pairs
-   between different components tested the same way, and components are taken
-   again.  So a bucket is closed only when all its members are linked or all
-   pairs across its components were tested (each once, in the first bucket that
-   both are in).
+5. Components; then buckets that still hold several components, and no more than
+   `FEW` members, have the pairs between different components tested the same way.
+6. Larger buckets of several components (pages of one template, say) would have
+   too many pairs.  Their members are joined by their rarest shingles instead,
+   which is exact: with both sets in one order, by how many members hold a
+   shingle, a linked pair shares one of the first n - 6n/7 + 1 of the smaller set
+   with the first m - 3m/4 + 1 of the larger (at 75 per cent; prefix filtering).  What a
+   template adds is frequent and stands last, so its pages meet only where their own words do.
+7. Components are taken again.  So a bucket is closed only when all its members
+   are linked or no pair across its components can be a link untested.
 
 At similarity 0.75 a pair shares at least one of 48 bands of 6 with
 probability 1 - 8e-5, at 0.8 1 - 5e-7.
@@ -43,6 +48,8 @@ from .textkit import grouped_minima, permutations, scramble, shingle_hashes
 MINIMA, BANDS, ROWS, BITS, SLACK = 512, 48, 6, 4, 0.08
 SIMILARITY, WIDTH = 75, 5  # per cent, words
 PACKED = MINIMA * BITS // 64
+#: Members up to which all pairs of a bucket are compared.
+FEW = 64
 #: Bits of the map that sifts texts before they are shuffled: 8 MB, whatever the input.
 SLOTS = 1 << 26
 #: Shingles hashed at a time: bounds the memory of a task beside the longest text.
@@ -145,16 +152,41 @@ def _sift(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.where(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("_row", "_bits")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) whose full sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+def _sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """wanted(_id) -> (id, shingles, set) of each different text; set numbers them."""
     # An inner join: a semi join would be moved below the sift, and all texts shuffled.
     texts = _sift(docs, wanted).join(wanted, F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id", "text"])
-    sets = stash(texts.select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>"))
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_sb")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("_sa")), "a")
+    return stash(texts.select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>").withColumn("set", F.monotonically_increasing_id()))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """Of pairs of sets by a key (a, b), the ids (a, b) of those that reach the similarity."""
+    side = lambda x: sets.select(F.col(key).alias(x), F.col("id").alias(f"_i{x}"), F.col("shingles").alias(f"_s{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("_sa", "_sb"))
-    return stash(both.where(100 * shared >= SIMILARITY * (F.size("_sa") + F.size("_sb") - shared)).select("a", "b").distinct())
+    good = both.where(100 * shared >= SIMILARITY * (F.size("_sa") + F.size("_sb") - shared))
+    return stash(good.select(F.col("_ia").alias("a"), F.col("_ib").alias("b")).distinct())
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs(a, b) whose full sets reach the similarity."""
+    wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+    return _linked(pairs, _sets_of(wanted, docs), "id")
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """sets(set, id, shingles) -> (a, b) of sets of different ids, among them all that reach the similarity; a has no more shingles than b."""
+    each = sets.select("set", "id", F.explode("shingles").alias("s"))
+    held = each.groupBy("s").agg(F.count(F.lit(1)).alias("held"))
+    ranked = each.join(held, "s").groupBy("set", "id").agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("o")).withColumn("n", F.size("o"))
+    over = lambda x, y: F.floor((x + (y - 1)) / y)  # noqa: E731  rounded up
+    probing = F.col("n") - over(SIMILARITY * F.col("n"), 100) + 1
+    indexed = F.col("n") - over(2 * SIMILARITY * F.col("n"), 100 + SIMILARITY) + 1
+    first = ranked.select("set", "id", "n", indexed.alias("indexed"), F.posexplode(F.slice("o", F.lit(1), probing.cast("int"))).alias("at", "t")).where("t.held > 1")
+    side = lambda x: [F.col("t.s").alias("s"), F.col("set").alias(x), F.col("id").alias(f"_i{x}"), F.col("n").alias(f"_n{x}")]
+    small, large = first.where("at < indexed").select(side("a")), first.select(side("b"))
+    met = small.join(large, "s").where("_ia <> _ib AND (_na < _nb OR (_na = _nb AND a < b))").where(100 * F.col("_na") >= SIMILARITY * F.col("_nb"))
+    return met.select("a", "b").distinct()
 
 
 def group_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -176,18 +208,24 @@ def group_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     # Buckets whose members aren't one component yet.
     named = members.select("key", "band", "id").join(labels, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h")).where("_l < _h").select("key")
-    rest = stash(named.join(mixed, "key").join(reps.select("id", "n", "packed", "bands"), "id"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h"), F.count(F.lit(1)).alias("_n")).where("_l < _h").select("key", "_n")
+    open_ = stash(named.join(mixed, "key"))
+    rest = stash(open_.where(F.col("_n") <= FEW).drop("_n").join(reps.select("id", "n", "packed", "bands"), "id"))
     side = lambda s: rest.select("key", *[F.col(x).alias(f"{y}{s}") for x, y in (("band", "band"), ("id", ""), ("c", "c"), ("n", "n"), ("packed", "p"), ("bands", "bands"))])
     one, two = side("a"), side("b")
     # A bucket's pairs are only those across components; a pair that shares many buckets leaves the join in the first one,
-    # and only if its signatures are near.
+    # and only if its signatures are near.  Where that one is large, both are joined by their rarest shingles.
     first = F.array_position(F.zip_with("bandsa", "bandsb", lambda x, y: x == y), F.lit(True)) == F.col("banda") + 1
     across = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("pa", "pb", "na", "nb") & first).select("a", "b").distinct()
     across = stash(across)
-    if across.limit(1).count():
-        more = _confirm(across, plain)
-        edges = edges.unionByName(more)
+    found = [_confirm(across, plain)] if across.limit(1).count() else []
+    wide = open_.where(F.col("_n") > FEW).select(F.col("id").alias("_id")).distinct()
+    if wide.limit(1).count():
+        sets = _sets_of(stash(wide), plain)
+        found.append(_linked(prefix_pairs(sets), sets, "set"))
+    if found:
+        for more in found:
+            edges = edges.unionByName(more)
         labels = connected(edges)
     # From representative to every member of its class.
     final = classes.join(labels, F.col("rep") == F.col("id"), "left").select("n_shingles", "hi", "lo", F.coalesce("component", "rep").alias("component_id"))

@@ -264,3 +264,54 @@ def test_page_lines(spark):
     df = spark.createDataFrame([(html, "HTTP://Www.Example.org:80/x?y"), (None, None)], "h string, u string")
     rows = df.select(line_dedup.html_lines(df.h), line_dedup.url_host(df.u)).collect()
     assert rows[0][0] == ["A B", "One two", "three"] and rows[0][1] == "www.example.org" and rows[1][0] is None
+
+
+def templated(seed, n, shared, own):
+    """Pages of one template with words of their own, and near copies of some of them."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    frame = [word() for _ in range(shared)]
+    pages = [frame + [word() for _ in range(own)] for _ in range(n)]
+    for i in range(0, n // 4, 2):
+        pages[i] = list(pages[i + n // 2])
+        pages[i][-1 - i % 9] = word()
+    return [(i, " ".join(p)) for i, p in enumerate(pages)]
+
+
+def links_of(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    return {(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("shared", [90, 100])
+def test_a_bucket_of_many_components_equals_brute_force(spark, shared, monkeypatch):
+    """240 pages that share most words, so that whole buckets hold hundreds of them, few of which are links."""
+    rows = templated(shared, 240, shared, 120 - shared)
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in sorted(links_of(rows)):
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert len({find(i) for i in parent}) > 100
+    confirmed = []
+    monkeypatch.setattr(minhash_dedup, "_linked", lambda p, s, k, f=minhash_dedup._linked: (confirmed.append((k, p.count())), f(p, s, k))[1])
+    got = {r.doc_id: r.component_id for r in minhash_dedup.group_duplicates(table(spark, rows)).collect()}
+    assert got == {i: find(i) for i in parent}
+    # The large buckets were joined by rare shingles, and what came to be compared isn't all pairs of them.
+    assert any(k == "set" and n < 240 * 239 / 2 / 20 for k, n in confirmed)
+
+
+def test_rarest_shingles_lose_no_link(spark):
+    rows = [(i, t) for i, t in corpus(5, 80) if t] + [(500 + i, t) for i, t in templated(3, 60, 90, 40)]
+    rows = [(i, t) for i, t in rows if i is not None and len(t) < 5000 and shingles(t)]
+    rows = list(dict(rows).items())
+    numbers = {}
+    sets = [(k, i, [numbers.setdefault(g, len(numbers)) for g in sorted(shingles(t))]) for k, (i, t) in enumerate(rows)]
+    frame = spark.createDataFrame(sets, "`set` long, id long, shingles array<long>")
+    met = {tuple(sorted((rows[r.a][0], rows[r.b][0]))) for r in minhash_dedup.prefix_pairs(frame).collect()}
+    assert links_of(rows) <= met and len(met) < len(rows) ** 2 / 8
