@@ -18,6 +18,7 @@
    shingle, a linked pair shares one of the first n - 6n/7 + 1 of the smaller set
    with the first m - 3m/4 + 1 of the larger (at 75 per cent; prefix filtering).  What a
    template adds is frequent and stands last, so its pages meet only where their own words do.
+   A sketch of fixed size tells those that nobody else holds and the most frequent; only what lies between is counted exactly.
 7. Components are taken again.  So a bucket is closed only when all its members
    are linked or no pair across its components can be a link untested.
 
@@ -50,6 +51,8 @@ SIMILARITY, WIDTH = 75, 5  # per cent, words
 PACKED = MINIMA * BITS // 64
 #: Members up to which all pairs of a bucket are compared.
 FEW = 64
+#: Counters of a bounded sketch of how many members hold a shingle: 8 MB, whatever the input.
+SKETCH = 1 << 20
 #: Bits of the map that sifts texts before they are shuffled: 8 MB, whatever the input.
 SLOTS = 1 << 26
 #: Shingles hashed at a time: bounds the memory of a task beside the longest text.
@@ -174,18 +177,73 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return _linked(pairs, _sets_of(wanted, docs), "id")
 
 
-def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """sets(set, id, shingles) -> (a, b) of sets of different ids, among them all that reach the similarity; a has no more shingles than b."""
-    each = sets.select("set", "id", F.explode("shingles").alias("s"))
+def _sketch(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """How many shingles of all sets fall in each of SKETCH slots, never less than one of them is held; and from where a slot is heavy."""
+
+    slots = SKETCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for b in batches:
+            total += np.bincount(_slot(b.column(0).flatten(), slots), minlength=slots)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(slots, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts, FEW + 4 * int(counts.sum()) // slots
+
+
+def _slot(shingles: pa.Array, slots: int) -> np.ndarray:
+    return (shingles.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(slots)).astype(np.int64)
+
+
+def _parted(counts, heavy: int):
+    """Of each set: shingles, those alone in their slot, and apart those of heavy slots and of others."""
+
+    def lists(flat: pa.Array, chosen: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+        ends = np.append(0, np.cumsum(np.bincount(owner[chosen], minlength=n))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(chosen)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length = b.column("shingles").value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(length)), length)
+            flat = b.column("shingles").flatten()
+            held = counts.value[_slot(flat, len(counts.value))]
+            alone = np.bincount(owner[held == 1], minlength=len(length))
+            yield pa.RecordBatch.from_arrays([b.column("set"), b.column("id"), pa.array(length, pa.int32()), pa.array(alone, pa.int32()), lists(flat, (held > 1) & (held <= heavy), owner, len(length)), lists(flat, held > heavy, owner, len(length))], ["set", "id", "n", "alone", "middle", "heavy"])
+
+    return run
+
+
+def prefix_pairs(sets: DataFrame, components: DataFrame) -> DataFrame:
+    """sets(set, id, shingles), components(id, c) -> (a, b) of sets in different components, among them all that reach the similarity.
+
+    a has no more shingles than b.
+    """
+    counts, heavy = _sketch(sets)
+    # Shingles that nobody else holds stand first, those of heavy slots last: neither needs an exact count.
+    parted = sets.select("set", "id", "shingles").mapInArrow(_parted(sets.sparkSession.sparkContext.broadcast(counts), heavy), "set long, id long, n int, alone int, middle array<long>, heavy array<long>")
+    parted = stash(parted)
+    each = parted.select("set", F.explode("middle").alias("s"))
     held = each.groupBy("s").agg(F.count(F.lit(1)).alias("held"))
-    ranked = each.join(held, "s").groupBy("set", "id").agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("o")).withColumn("n", F.size("o"))
+    ranked = each.join(held, "s").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("o"))
     over = lambda x, y: F.floor((x + (y - 1)) / y)  # noqa: E731  rounded up
     probing = F.col("n") - over(SIMILARITY * F.col("n"), 100) + 1
     indexed = F.col("n") - over(2 * SIMILARITY * F.col("n"), 100 + SIMILARITY) + 1
-    first = ranked.select("set", "id", "n", indexed.alias("indexed"), F.posexplode(F.slice("o", F.lit(1), probing.cast("int"))).alias("at", "t")).where("t.held > 1")
-    side = lambda x: [F.col("t.s").alias("s"), F.col("set").alias(x), F.col("id").alias(f"_i{x}"), F.col("n").alias(f"_n{x}")]
+    late = F.transform("heavy", lambda x: F.struct(F.lit(2).cast("long").alias("held"), x.alias("s")))
+    lined = F.concat(F.coalesce("o", F.array().cast("array<struct<held: bigint, s: bigint>>")), late)
+    first = parted.join(ranked, "set", "left").select("set", "id", "n", "alone", indexed.alias("indexed"), F.posexplode(F.slice(lined, F.lit(1), F.greatest(probing - F.col("alone"), F.lit(0)).cast("int"))).alias("at", "t"))
+    first = first.withColumn("at", F.col("at") + F.col("alone")).where("t.held > 1")
+    first = first.join(components, "id")
+    side = lambda x: [F.col("t.s").alias("s"), F.col("set").alias(x), F.col("c").alias(f"_c{x}"), F.col("n").alias(f"_n{x}"), F.col("at").alias(f"_at{x}")]
     small, large = first.where("at < indexed").select(side("a")), first.select(side("b"))
-    met = small.join(large, "s").where("_ia <> _ib AND (_na < _nb OR (_na = _nb AND a < b))").where(100 * F.col("_na") >= SIMILARITY * F.col("_nb"))
+    met = small.join(large, "s").where("_ca <> _cb AND (_na < _nb OR (_na = _nb AND a < b))").where(100 * F.col("_na") >= SIMILARITY * F.col("_nb"))
+    # What the sizes of this pair ask for: the first shingle that both hold leaves enough after it on either side.
+    most = over(SIMILARITY * (F.col("_na") + F.col("_nb")), 100 + SIMILARITY)
+    met = met.where((F.col("_ata") <= F.col("_na") - most) & (F.col("_atb") <= F.col("_nb") - most))
     return met.select("a", "b").distinct()
 
 
@@ -219,10 +277,10 @@ def group_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     across = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("pa", "pb", "na", "nb") & first).select("a", "b").distinct()
     across = stash(across)
     found = [_confirm(across, plain)] if across.limit(1).count() else []
-    wide = open_.where(F.col("_n") > FEW).select(F.col("id").alias("_id")).distinct()
+    wide = stash(open_.where(F.col("_n") > FEW).select("id", "c").distinct())
     if wide.limit(1).count():
-        sets = _sets_of(stash(wide), plain)
-        found.append(_linked(prefix_pairs(sets), sets, "set"))
+        sets = _sets_of(wide.select(F.col("id").alias("_id")), plain)
+        found.append(_linked(prefix_pairs(sets, wide), sets, "set"))
     if found:
         for more in found:
             edges = edges.unionByName(more)

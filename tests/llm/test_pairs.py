@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomfield.llm import decontam, line_dedup, minhash_dedup, suffix_dedup
 
@@ -306,12 +307,15 @@ def test_a_bucket_of_many_components_equals_brute_force(spark, shared, monkeypat
     assert any(k == "set" and n < 240 * 239 / 2 / 20 for k, n in confirmed)
 
 
-def test_rarest_shingles_lose_no_link(spark):
+@pytest.mark.parametrize("slots", [1 << 20, 64])
+def test_rarest_shingles_lose_no_link(spark, slots, monkeypatch):
+    """Whether or not the sketch can tell shingles apart."""
+    monkeypatch.setattr(minhash_dedup, "SKETCH", slots)
     rows = [(i, t) for i, t in corpus(5, 80) if t] + [(500 + i, t) for i, t in templated(3, 60, 90, 40)]
     rows = [(i, t) for i, t in rows if i is not None and len(t) < 5000 and shingles(t)]
     rows = list(dict(rows).items())
     numbers = {}
     sets = [(k, i, [numbers.setdefault(g, len(numbers)) for g in sorted(shingles(t))]) for k, (i, t) in enumerate(rows)]
     frame = spark.createDataFrame(sets, "`set` long, id long, shingles array<long>")
-    met = {tuple(sorted((rows[r.a][0], rows[r.b][0]))) for r in minhash_dedup.prefix_pairs(frame).collect()}
+    met = {tuple(sorted((rows[r.a][0], rows[r.b][0]))) for r in minhash_dedup.prefix_pairs(frame, frame.select("id", F.col("id").alias("c"))).collect()}
     assert links_of(rows) <= met and len(met) < len(rows) ** 2 / 8
