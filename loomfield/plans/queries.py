@@ -18,7 +18,7 @@ from ..operators import analysis as A
 from ..operators import cells, chunker, graph, layout, maintain, retrieval, store
 from ..operators.shared import stash
 from ..sources import files
-from . import field
+from . import field, sqlfunctions
 from .tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,6 +268,39 @@ def proximity_links(t: Tables) -> DataFrame:
     return _six(graph.near_points(t.points), "distance", "opacity")
 
 
+# --- the same searches and reports, called from SQL ------------------------------------
+
+
+def _sql(t: Tables, text: str) -> DataFrame:
+    """A statement over the table functions; `asking` and `asking_clusters` are the rows that search."""
+    sqlfunctions.register(t.spark, t.chunks, t.documents, t.clusters, edge_floor=0.3)
+    t.asking.createOrReplaceTempView("asking")
+    t.asking_clusters.createOrReplaceTempView("asking_clusters")
+    return t.spark.sql(text)
+
+
+@query(_sim("fx_chunks", "embedding", "coalesce(cti, 0) >= 0.5e0", "0.1e0", 25))
+def sql_match_chunks(t: Tables) -> DataFrame:
+    return _six(_sql(t, "SELECT query_id, id, similarity FROM asking, LATERAL match_chunks(q, match_count => 25, min_similarity => 0.1, min_cti => 0.5)"), "similarity")
+
+
+@query(_hybrid_sql("c.document_id <> q_document"))
+def sql_match_clusters_hybrid(t: Tables) -> DataFrame:
+    found = _sql(t, "SELECT query_id, id, filename, similarity, fz_delta, fy_delta, hybrid_score, description FROM asking_clusters, LATERAL match_clusters_hybrid(q, q_fz, q_fy, exclude_document => q_document)")
+    return _six(found, "similarity", "fz_delta", "fy_delta", "hybrid_score")
+
+
+@query(f"{_WITH}, {_QUALITY} SELECT id, round(cohesion, 6) AS cohesion, round(separation, 6) AS separation, round(noise_ratio, 6) AS noise_ratio, member_count FROM quality")
+def sql_cluster_quality(t: Tables) -> DataFrame:
+    return _six(_sql(t, "SELECT id, cohesion, separation, noise_ratio, member_count FROM corpus_cluster_quality(0.15)"), "cohesion", "separation", "noise_ratio")
+
+
+@query(f"""WITH {_CHUNKS}, {_DOCUMENTS} SELECT owner, c.id, c.cti FROM (VALUES ('u0'), ('u1')) o(owner), LATERAL (SELECT c.id, c.cti FROM fx_chunks c JOIN fx_documents d ON d.id = c.document_id
+WHERE cti >= 0.5e0 AND (user_id IS NULL OR user_id = owner) ORDER BY cti DESC, c.id LIMIT 20) c""")
+def sql_find_friction(t: Tables) -> DataFrame:
+    return _sql(t, "SELECT owner, id, cti FROM VALUES ('u0'), ('u1') o(owner), LATERAL find_friction(owner)")
+
+
 # --- ranking, friction, visibility -----------------------------------------------
 
 _RANKING = f"""{_WITH}, ranking AS (SELECT d.id, d.filename, coalesce(avg(c.cti), 0) AS avg_cti, coalesce(max(c.cti), 0) AS max_cti, count(c.id)::INT AS chunk_count, count(DISTINCT c.cluster_id)::INT AS cluster_count
