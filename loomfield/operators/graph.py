@@ -98,8 +98,17 @@ def cluster_quality(clusters: DataFrame, chunks: DataFrame, noise_threshold: flo
 
 def cross_document_groups(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     """Connected groups over edges between documents, of two clusters and two documents at least."""
-    links = edges.where("src_doc <> dst_doc").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
-    member = connected(links).join(clusters.select("id", "document_id", "avg_cti", F.coalesce("custom_label", "label").alias("name")), "id")
+    return groups_of(connected(cross_links(edges)), clusters)
+
+
+def cross_links(edges: DataFrame) -> DataFrame:
+    """(a, b) of edges between documents."""
+    return edges.where("src_doc <> dst_doc").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
+
+
+def groups_of(labels: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Groups with what the corpus map tells of them, from labels(id, component)."""
+    member = labels.join(clusters.select("id", "document_id", "avg_cti", F.coalesce("custom_label", "label").alias("name")), "id")
     groups = member.groupBy(F.col("component").alias("group_id")).agg(
         F.count(F.lit(1)).alias("size"),
         F.count_distinct("document_id").alias("documents"),

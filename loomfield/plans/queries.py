@@ -15,7 +15,7 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..functions.vectors import guarded_cosine
 from ..operators import analysis as A
-from ..operators import cells, chunker, graph, layout, maintain, retrieval, store
+from ..operators import cells, chunker, graph, groups, layout, maintain, retrieval, store
 from ..operators.shared import stash
 from ..sources import files
 from . import field, sqlfunctions
@@ -245,6 +245,23 @@ def cross_doc_groups(t: Tables) -> DataFrame:
     return _six(out.withColumn("ids", F.array_join("ids", ",")), "avg_cti")
 
 
+_GROUPED = f"{_WITH.replace('WITH', 'WITH RECURSIVE', 1)}, {_EDGES.format(least='0.3e0')}, {_GROUPS} SELECT group_id, size, documents, round(avg_cti, 6) AS avg_cti, label, ids FROM groups"
+
+
+@query(_GROUPED)
+def cross_doc_groups_grown(t: Tables) -> DataFrame:
+    """cross_doc_groups, kept up: the edges come in three lots, then a fifth of them goes and comes back."""
+    edges = stash(graph.cluster_edges(t.clusters, 0.3, None))
+    links = graph.cross_links(edges).withColumn("lot", F.pmod(F.xxhash64("a", "b"), F.lit(15)))
+    labels = links.where("lot < 0").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    for lot in (links.where("lot % 3 = 0"), links.where("lot % 3 = 1"), links.where("lot % 3 = 2")):
+        labels = stash(groups.relabelled(labels, groups.added(labels, lot)))
+    labels = stash(groups.relabelled(labels, *groups.removed(labels, links.where("lot % 5 <> 0"), links.where("lot % 5 = 0"))))
+    labels = groups.relabelled(labels, groups.added(labels, links.where("lot % 5 = 0")))
+    out = graph.groups_of(labels, t.clusters)
+    return _six(out.withColumn("ids", F.array_join("ids", ",")), "avg_cti")
+
+
 @query(f"""{_WITH.replace('WITH', 'WITH RECURSIVE', 1)}, {_EDGES.format(least='0.3e0')}, {_GROUPS}, {_QUALITY}
 SELECT (SELECT count(*) FROM fx_clusters) AS cluster_count, round(avg(cohesion), 6) AS avg_cohesion, round(avg(separation), 6) AS avg_separation, round(avg(noise_ratio), 6) AS avg_noise_ratio,
 (SELECT count(*) FROM edges) AS edge_count, (SELECT count(*) FROM groups) AS group_count FROM quality""")
