@@ -6,6 +6,9 @@ rows have no fixed order; ties in every top-k are broken by id.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +19,9 @@ from ..functions import text as X
 from ..functions.vectors import guarded_cosine
 from ..operators import analysis as A
 from ..operators import cells, chunker, graph, groups, layout, maintain, retrieval, store
-from ..operators.shared import stash
-from ..sources import files
+from ..operators.shared import checkpoint_dir, stash
+from ..operators.snapshots import Snapshots
+from ..sources import files, remembered
 from . import field, sqlfunctions
 from .tables import Tables
 
@@ -407,6 +411,22 @@ def label_sample_topn(t: Tables) -> DataFrame:
     return retrieval.label_samples(t.clusters, t.chunks)
 
 
+def _stand_in(prompts: list[str]) -> list[str]:
+    """A labelling model's place: a reply that depends on the whole prompt, fenced as models do."""
+    return ["```json\n" + json.dumps({"label": f"Theme {hashlib.sha256(p.encode()).hexdigest()[:12]}", "description": f"{len(p)} characters"}) + "\n```" for p in prompts]
+
+
+@query(f"""{_WITH}, ranked AS (SELECT c.document_id, c.cluster_id, left(c.text, 400) AS sample, row_number() OVER (PARTITION BY c.document_id, c.cluster_id ORDER BY c.cti DESC NULLS LAST, c.id) AS rank
+FROM fx_chunks c JOIN fx_clusters s ON s.document_id = c.document_id AND s.cluster_id = c.cluster_id AND s.custom_label IS NULL),
+prompts AS (SELECT document_id, cluster_id, string_agg('(' || rank || ') ' || sample, chr(10) ORDER BY rank) AS p FROM ranked WHERE rank <= 6 AND sample IS NOT NULL GROUP BY ALL)
+SELECT id, CASE WHEN p IS NULL THEN label ELSE 'Theme ' || left(sha256(p), 12) END AS label, CASE WHEN p IS NULL THEN description ELSE length(p) || ' characters' END AS description
+FROM fx_clusters LEFT JOIN prompts USING (document_id, cluster_id)""")
+def label_clusters_called(t: Tables) -> DataFrame:
+    """Clusters relabelled through a provider whose answers are remembered: a second run over the same samples asks nothing."""
+    tables = Snapshots(t.spark, f"{checkpoint_dir(t.spark).rstrip('/')}/answers-{uuid.uuid4().hex}")
+    return remembered.label_clusters(tables, t.clusters, t.chunks, "stand-in", _stand_in).select("id", "label", "description")
+
+
 @query(f"WITH {_CHUNKS} SELECT document_id AS source_path, round(avg(coalesce(cti, 0)), 6) AS avg_cti, count(*) AS units, max(coalesce(cti, 0)) AS max_cti FROM fx_chunks GROUP BY document_id ORDER BY round(avg(coalesce(cti, 0)), 9) DESC, source_path LIMIT 10")
 def friction_by_source(t: Tables) -> DataFrame:
     return _six(retrieval.friction_by_source(t.chunks.withColumnRenamed("document_id", "source_path")), "avg_cti")
