@@ -2,27 +2,25 @@
 
 `read_files` lists a folder with Spark's binary reader, so any store that Spark
 reads will do, and routes each file by type.  Text kinds stay in the JVM;
-scripts, notebooks and archives are parsed by small per-file helpers in Arrow
-batches.
+scripts and notebooks are parsed by small per-file helpers in Arrow batches, archives
+are unpacked to a row a member first (`archives`).
 """
 
 from __future__ import annotations
 
-import io
 import json
 import re
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lexicon
-from ..functions.text import paragraphs, source_type, transcript_segments
+from ..functions.text import image_unit, paragraphs, source_type, transcript_segments
+from .archives import members
 
 UNITS = "document_id string, source string, position long, text string"
-SIZE_CAP, ARCHIVE_DEPTH, ARCHIVE_FILES = 50 * 1024 * 1024, 3, 500
+SIZE_CAP = 50 * 1024 * 1024
 
 # What a script's units are cut by.
 _BLOCK = re.compile(r"/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''")
@@ -30,11 +28,6 @@ _BLOCK_EDGE = re.compile(r"^[/*\"'\s]+|[/*\"'\s]+$")
 _LINE = re.compile(r"(?:^|\n)(?:\s*(?://|#)[^\n]*\n?)+")
 _LINE_MARK = re.compile(r"^\s*(?://|#)\s?", re.M)
 _SIGNATURE = re.compile(r"(?:function|class|def|const|interface|type)\s+[A-Za-z_$][\w$]*[^\n{(]*", re.A)
-_SPACE = re.compile(r"\s+")
-
-
-def text_units(text: str) -> list[str]:
-    return [s for s in (_SPACE.sub(" ", p).strip() for p in re.split(r"\n\s*\n+", text)) if len(s) >= 3]
 
 
 def script_units(text: str) -> list[str]:
@@ -61,34 +54,6 @@ def notebook_units(text: str) -> list[str]:
     return out
 
 
-def archive_units(content: bytes, name: str, recurse: bool = False, depth: int = 0, count: list[int] | None = None, most: int = ARCHIVE_FILES) -> Iterator[tuple[str, int, str]]:
-    """(path, position, text) of an archive's text files.  Noise is left out; archives inside are only opened if asked for."""
-    count = count if count is not None else [0]
-    if depth > ARCHIVE_DEPTH:
-        return
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for entry in z.infolist():
-            path = entry.filename
-            nested = recurse and path.lower().endswith(".zip")
-            if count[0] >= most:
-                return
-            if entry.is_dir() or (re.search(lexicon.EXCLUDED, path) and not nested):
-                continue
-            try:
-                if nested:
-                    for inner, i, text in archive_units(z.read(entry), path, recurse, depth + 1, count, most):
-                        yield f"{name}/{path}::{inner}", i, text
-                    continue
-                how: Callable | None = notebook_units if path.lower().endswith(".ipynb") else script_units if re.search(lexicon.ARCHIVE_SCRIPT, path) else text_units if re.search(lexicon.ARCHIVE_TEXT, path) else None
-                if how is None:
-                    continue
-                count[0] += 1
-                for i, text in enumerate(how(z.read(entry).decode("utf-8", "replace"))):
-                    yield path, i, text
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
-                continue
-
-
 def _cut(how: Callable[[str], list[str]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -98,31 +63,39 @@ def _cut(how: Callable[[str], list[str]]):
     return run
 
 
-def _unzip(recurse: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for d, s, raw in zip(pdf["document_id"], pdf["source"], pdf["content"], strict=True):
-                try:
-                    rows += [(d, p, i, t) for i, (p, _, t) in enumerate(archive_units(bytes(raw), s, recurse))]
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(rows, columns=["document_id", "source", "position", "text"])
+def _texts(rows: DataFrame) -> DataFrame:
+    units = rows.select("document_id", "source", F.posexplode(paragraphs(F.make_valid_utf8(F.col("content").cast("string")))).alias("position", "text"))
+    return units.select("document_id", "source", F.col("position").cast("long").alias("position"), "text")
+
+
+def pictures(images: DataFrame) -> DataFrame:
+    """images(document_id, source, ocr, caption) -> one unit each; the name where a model told nothing."""
+    return images.select("document_id", "source", F.lit(0).cast("long").alias("position"), image_unit(F.col("source"), F.col("ocr"), F.col("caption")).alias("text"))
+
+
+def _untold(images: DataFrame) -> DataFrame:
+    nothing = F.lit(None).cast("string")
+    return images.withColumns({"ocr": nothing, "caption": nothing})
 
-    return run
 
+def read_files(spark: SparkSession, folder: str, recurse_archives: bool = False, size_cap: int = SIZE_CAP, archive_images: bool = False, describe: Callable[[DataFrame], DataFrame] = _untold) -> tuple[DataFrame, DataFrame]:
+    """(files, units) of a folder.  Files above the cap are listed but not read; media need a model's output (see providers).
 
-def read_files(spark: SparkSession, folder: str, recurse_archives: bool = False, size_cap: int = SIZE_CAP) -> tuple[DataFrame, DataFrame]:
-    """(files, units) of a folder.  Files above the cap are listed but not read; media need a model's output (see providers)."""
+    archive_images: images inside archives are units too, by the columns ocr and caption that `describe` adds to their
+    rows (source, content); without a model by their name.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     files = raw.withColumn("source", name).withColumn("document_id", F.sha2("path", 256)).withColumn("source_type", source_type(name, F.lit(None).cast("string")))
     able = files.where(F.col("length") <= size_cap)
-    pick = lambda kind: able.where(F.col("source_type").isin(kind)).select("document_id", "source", "content")
-    plain = pick(["text", "json"]).select("document_id", "source", F.posexplode(paragraphs(F.make_valid_utf8(F.col("content").cast("string")))).alias("position", "text"))
-    units = plain.select("document_id", "source", F.col("position").cast("long").alias("position"), "text")
-    for kind, how in (("script", _cut(script_units)), ("notebook", _cut(notebook_units)), ("zip", _unzip(recurse_archives))):
-        units = units.unionByName(pick([kind]).mapInPandas(how, UNITS))
+    pick = lambda *kinds: able.where(F.col("source_type").isin(*kinds)).select("document_id", "source", "content")
+    inside = members(pick("zip"), recurse_archives, archive_images)
+    within = lambda kind: inside.where(F.col("kind") == kind).select("document_id", "source", "content")
+    units = _texts(pick("text", "json").unionByName(within("text")))
+    for kind, how in (("script", script_units), ("notebook", notebook_units)):
+        units = units.unionByName(pick(kind).unionByName(within(kind)).mapInPandas(_cut(how), UNITS))
+    if archive_images:
+        units = units.unionByName(pictures(describe(within("image"))))
     return files.drop("content"), units
 
 

@@ -306,7 +306,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "broken.zip").write_bytes(b"no zip")
     listed, u = files.read_files(spark, str(tmp_path))
     got = sorted((r.source, r.position, r.text) for r in u.collect())
-    assert got == [("n.ipynb", 0, "[md] hello cell"), ("r.md", 1, "One para."), ("r.md", 2, "Two para."), ("src/m.py", 0, "def run"), ("t.txt", 0, "P one is here"), ("t.txt", 1, "P two")]
+    assert got == [("n.ipynb", 0, "[md] hello cell"), ("r.md", 0, "One para."), ("r.md", 1, "Two para."), ("src/m.py", 0, "def run"), ("t.txt", 0, "P one is here"), ("t.txt", 1, "P two")]
     assert listed.count() == 4
     _, deep = files.read_files(spark, str(tmp_path), recurse_archives=True)
     assert "a.zip/in.zip::deep.txt" in {r.source for r in deep.collect()}
