@@ -41,7 +41,7 @@ def page_sentences(page: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-cased tokens of more than two characters; others than a-z, Nordic letters, digits, ' and - part them."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-zæøåäöü0-9\s'-]", " "), r"\s+", -1), lambda w: F.length(w) > 2)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-zæøåäöü0-9'-]{3,}"), F.lit(0))
 
 
 def term_tokens(text: Column) -> Column:

@@ -11,36 +11,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import STOP_WORDS
 from ..functions.text import term_tokens, tokenize
 from .shared import stash
 
 VOCABULARY, LEAST_DF, MOST_SHARE = 100, 2, 0.8
 
 
-def token_counts(units: DataFrame) -> DataFrame:
-    """(document_id, idx, token, tf, first_pos) without stop words; counted per unit before any shuffle between units."""
-    each = units.select("document_id", "idx", F.posexplode(term_tokens(F.col("text"))).alias("pos", "token"))
-    return each.groupBy("document_id", "idx", "token").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+def distinct_terms(units: DataFrame) -> DataFrame:
+    """(document_id, idx, token, first_pos): a unit's tokens without stop words, each once, numbered by first appearance; no shuffle."""
+    return units.select("document_id", "idx", F.posexplode(F.array_distinct(term_tokens(F.col("text")))).alias("first_pos", "token"))
 
 
-def vocabulary(counts: DataFrame, units: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def term_totals(units: DataFrame) -> DataFrame:
+    """(token, n, units): how often a token without stop words occurs, and in how many units; one shuffle, of partial sums."""
+    terms = units.select(term_tokens(F.col("text")).alias("_t"))
+    said = F.transform("_t", lambda t: F.struct(t.alias("token"), F.lit(1).alias("n"), F.lit(0).alias("units")))
+    held = F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("n"), F.lit(1).alias("units")))
+    each = terms.select(F.explode_outer(F.concat(said, held)).alias("e")).where(F.col("e").isNotNull())
+    return each.groupBy(F.col("e.token").alias("token")).agg(F.sum("e.n").alias("n"), F.sum("e.units").alias("units"))
+
+
+def token_counts(units: DataFrame, *more: str) -> DataFrame:
+    """(document_id, idx, *more, token, tf, first_pos, max_tf) without stop words; max_tf is the unit's most frequent token's, stop words included.
+
+    Tokens are sorted within their row and equal ones are neighbours then, so nothing is shuffled.  A row is a unit: rows
+    that repeat (document_id, idx) are counted apart.
+    """
+    keys = ["document_id", "idx", *more]
+    placed = F.transform(tokenize(F.col("text")), lambda w, i: F.struct(w.alias("token"), i.alias("pos")))
+    # Steps of their own: a lambda that held the sort itself would sort again for each token.
+    out = units.select(*keys, F.sort_array(placed).alias("_s"))
+    starts = F.transform("_s", lambda x, i: F.when((i == 0) | (x["token"] != F.get("_s", i - 1)["token"]), i))
+    out = out.select(*keys, "_s", F.array_compact(starts).alias("_k"))
+    runs = F.transform("_k", lambda k, j: F.struct(F.get("_s", k)["token"].alias("token"), (F.coalesce(F.get("_k", j + 1), F.size("_s")) - k).alias("tf"), F.get("_s", k)["pos"].alias("first_pos")))
+    out = out.select(*keys, runs.alias("_r"))
+    terms = F.filter("_r", lambda r: ~r["token"].isin(list(STOP_WORDS)))
+    out = out.select(*keys, F.array_max(F.transform("_r", lambda r: r["tf"])).alias("max_tf"), terms.alias("_t"))
+    # Outer, or a check for empty arrays would be pushed below all the steps, and they with it into one expression.
+    out = out.select(*keys, "max_tf", F.explode_outer("_t").alias("_t")).where(F.col("_t").isNotNull())
+    return out.select(*keys, "_t.token", "_t.tf", "_t.first_pos", "max_tf")
+
+
+def _ranked(tokens: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """tokens(*keys, token, `count`, seen, first_pos) with `rank`: most frequent first; ties: whole numbers in ascending order, then by first appearance."""
+    number = F.when(F.col("token").rlike("^(0|[1-9][0-9]{0,8})$"), F.col("token").cast("long"))
+    return tokens.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(count), number.asc_nulls_last(), "seen", "first_pos")))
+
+
+def _seen():
+    """Where a token is seen first: two plain aggregates, as the least of a struct would sort every token."""
+    return F.min("idx").alias("seen"), F.min_by("first_pos", "idx").alias("first_pos")
+
+
+def vocabulary(terms: DataFrame, units: DataFrame, size: int = VOCABULARY) -> DataFrame:
     """(document_id, token, df, n, rank): terms of 2 units at least and under 80 % of them, the `size` most frequent.
 
-    Ties: whole numbers first in ascending order, then by first appearance.
+    terms: distinct_terms or token_counts of the units.  Only partial counts of (document, token) are shuffled.
     """
     n = units.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-    df = counts.groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("idx", "first_pos")).alias("seen"))
-    able = df.join(n, "document_id").where((F.col("df") >= LEAST_DF) & (F.col("df") < F.col("n") * MOST_SHARE))
-    number = F.when(F.col("token").rlike("^(0|[1-9][0-9]{0,8})$"), F.col("token").cast("long"))
-    order = W.partitionBy("document_id").orderBy(F.desc("df"), number.asc_nulls_last(), "seen")
-    return able.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("document_id", "token", "df", "n", "rank")
+    df = terms.groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("df"), *_seen())
+    able = df.where(F.col("df") >= LEAST_DF).join(n, "document_id").where(F.col("df") < F.col("n") * MOST_SHARE)
+    return _ranked(able, ["document_id"], "df").where(F.col("rank") <= size).select("document_id", "token", "df", "n", "rank")
 
 
-def tfidf(units: DataFrame, counts: DataFrame, vocab: DataFrame) -> DataFrame:
+def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(document_id, idx, rank, token, weight): tf over the unit's most frequent token (stop words included), times ln(n / df)."""
-    every = units.select("document_id", "idx", F.explode(tokenize(F.col("text"))).alias("t")).groupBy("document_id", "idx", "t").agg(F.count(F.lit(1)).alias("c"))
-    top = every.groupBy("document_id", "idx").agg(F.max("c").alias("max_tf"))
-    held = counts.join(vocab, ["document_id", "token"]).join(top, ["document_id", "idx"])
+    held = counts.join(vocab, ["document_id", "token"])
     return held.withColumn("weight", F.col("tf") / F.col("max_tf") * F.ln(F.col("n") / F.col("df"))).select("document_id", "idx", "rank", "token", "weight")
 
 
@@ -136,11 +173,8 @@ def stretch(raw: DataFrame) -> DataFrame:
 
 def cluster_labels(units: DataFrame, terms: int = 3) -> DataFrame:
     """units(document_id, cluster_id, idx, text) -> label of the most frequent terms (ties: first appearance) and description."""
-    each = units.select("document_id", "cluster_id", "idx", F.posexplode(term_tokens(F.col("text"))).alias("pos", "token"))
-    tf = each.groupBy("document_id", "cluster_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.min(F.struct("idx", "pos")).alias("seen"))
-    number = F.when(F.col("token").rlike("^(0|[1-9][0-9]{0,8})$"), F.col("token").cast("long"))
-    order = W.partitionBy("document_id", "cluster_id").orderBy(F.desc("tf"), number.asc_nulls_last(), "seen")
-    best = tf.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= terms)
+    tf = token_counts(units, "cluster_id").groupBy("document_id", "cluster_id", "token").agg(F.sum("tf").alias("tf"), *_seen())
+    best = _ranked(tf, ["document_id", "cluster_id"], "tf").where(F.col("rank") <= terms)
     named = F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda t: F.concat(F.upper(F.substring(t["token"], 1, 1)), F.substr(t["token"], F.lit(2))))
     label = best.groupBy("document_id", "cluster_id").agg(F.array_join(named, " · ").alias("label"))
     text = F.min_by("text", "idx")

@@ -38,6 +38,15 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df, a scan, dealt out by keys where its files give fewer tasks than there are cores; unchanged, and unshuffled, elsewhere.
+
+    A file of one row group is one task, whatever its size.  Large inputs have more row groups than the cluster has cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """links(a, b) -> (id, component): the least id that each id can reach, for ids with a link to another id.
 

@@ -72,8 +72,7 @@ def build_field(units: DataFrame, lexicon: Lexicon = Lexicon(), intentions=None,
     rejected = counted.where(F.col("n") < least_chunks).withColumn("reason", F.format_string(f"%d chunks, at least {least_chunks} are needed", "n"))
     chunks = chunks.join(enough.select("document_id"), "document_id", "left_semi").withColumnRenamed("chunk_index", "idx")
     chunks = intentions(chunks) if intentions else chunks.withColumns({"speech_act": F.lit(None).cast("string"), **{c: F.lit(None).cast("double") for c in ("certainty", "force", "tension")}})
-    counts = A.token_counts(chunks)
-    weights = A.tfidf(chunks, counts, A.vocabulary(counts, chunks))
+    weights = A.tfidf(A.token_counts(chunks), A.vocabulary(A.distinct_terms(chunks), chunks))
     grouped = A.kmeans(A.dense(chunks, weights))
     plane = A.project(grouped)
     full = chunks.join(grouped.select("document_id", "idx", F.col("cluster").alias("cluster_id")), ["document_id", "idx"]).join(plane, ["document_id", "idx"])

@@ -544,13 +544,13 @@ def text_units(t: Tables) -> DataFrame:
 @query(r"""SELECT doc_id, len(parts) AS sentences, sha256(array_to_string(parts, chr(10))) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split(
 regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?])\s+([A-ZÅÄÖ"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS parts FROM documents)""")
 def split_sentences(t: Tables) -> DataFrame:
-    parts = t.raw("documents").select("doc_id", X.split_sentences(F.col("text")).alias("p"))
+    parts = t.texts.select("doc_id", X.split_sentences(F.col("text")).alias("p"))
     return parts.select("doc_id", F.size("p").alias("sentences"), F.sha2(F.array_join("p", "\n"), 256).alias("digest"))
 
 
 @query("WITH " + _TOKENS.format(key="source", idx="doc_id", rows="documents") + f" SELECT token, count(*) AS n, count(DISTINCT idx) AS units FROM tokens WHERE token NOT IN {_STOP} GROUP BY token")
 def tokenize_counts(t: Tables) -> DataFrame:
-    return A.token_counts(t.units).groupBy("token").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("units"))
+    return A.term_totals(t.units)
 
 
 _VOCAB = (
@@ -565,14 +565,13 @@ vocab AS (SELECT document_id, token, df, n, rank FROM (SELECT document_id, token
 
 @query(_VOCAB + " SELECT document_id, token, df, rank FROM vocab")
 def vocab_top100(t: Tables) -> DataFrame:
-    return A.vocabulary(A.token_counts(t.units), t.units).select("document_id", "token", "df", "rank")
+    return A.vocabulary(A.distinct_terms(t.units), t.units).select("document_id", "token", "df", "rank")
 
 
 @query(_VOCAB + """, top AS (SELECT document_id, idx, max(c) AS m FROM (SELECT document_id, idx, token, count(*) AS c FROM tokens GROUP BY ALL) GROUP BY ALL)
 SELECT document_id, idx, token, round(tf / m::DOUBLE * ln(n / df::DOUBLE), 6) AS weight FROM counts JOIN vocab USING (document_id, token) JOIN top USING (document_id, idx)""")
 def tfidf_weights(t: Tables) -> DataFrame:
-    counts = A.token_counts(t.units)
-    return _six(A.tfidf(t.units, counts, A.vocabulary(counts, t.units)).select("document_id", "idx", "token", "weight"), "weight")
+    return _six(A.tfidf(A.token_counts(t.units), A.vocabulary(A.distinct_terms(t.units), t.units)).select("document_id", "idx", "token", "weight"), "weight")
 
 
 @query(f"WITH {_CHUNKS}, " + _TOKENS.format(key="document_id || '#' || cluster_id", idx="id", rows="fx_chunks") + f""", tf AS (SELECT document_id AS g, token, count(*) AS c, min((idx, pos)) AS seen FROM tokens WHERE token NOT IN {_STOP} GROUP BY ALL),
@@ -592,7 +591,7 @@ def unit_type(t: Tables) -> DataFrame:
 
 @query("WITH " + _HEDGE.format(rows="documents") + " SELECT doc_id, h AS hedging, c AS certainty, q AS challenge, lex AS tension FROM hedged")
 def hedging_scores(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", S.hedging(F.col("text"), field.CORPUS_LEXICON).alias("s")).select("doc_id", "s.*")
+    return t.texts.select("doc_id", S.hedging(F.col("text"), field.CORPUS_LEXICON).alias("s")).select("doc_id", "s.*")
 
 
 _INTENT = f"WITH {_CHUNKS}, " + _HEDGE.format(rows="fx_chunks") + f", {_SCORED} "
@@ -738,8 +737,7 @@ def chunk_units(t: Tables) -> DataFrame:
 
 @query()
 def kmeans_full(t: Tables) -> DataFrame:
-    counts = A.token_counts(t.units)
-    return A.kmeans(A.dense(t.units, A.tfidf(t.units, counts, A.vocabulary(counts, t.units)))).select("document_id", "idx", "cluster")
+    return A.kmeans(A.dense(t.units, A.tfidf(A.token_counts(t.units), A.vocabulary(A.distinct_terms(t.units), t.units)))).select("document_id", "idx", "cluster")
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean_vector
-from ..operators.shared import stash
+from ..operators.shared import spread, stash
 
 DIM = 64
 
@@ -20,6 +20,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """`documents`, for queries that compute much from each text."""
+        return spread(self.raw("documents"), "doc_id")
+
     @cached_property
     def chunks(self) -> DataFrame:
         d, e = self.raw("documents"), self.raw("embeddings")
@@ -79,7 +84,7 @@ class Tables:
     @cached_property
     def units(self) -> DataFrame:
         """Every document's whole text as a unit of its source."""
-        return self.raw("documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("idx"), "text")
+        return self.texts.select(F.col("source").alias("document_id"), F.col("doc_id").alias("idx"), "text")
 
     @cached_property
     def items(self) -> DataFrame:
