@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import STOP_WORDS
 from ..functions.text import term_tokens, tokenize
-from .shared import stash
+from .shared import scratch, stash
 
 VOCABULARY, LEAST_DF, MOST_SHARE = 100, 2, 0.8
 
@@ -123,17 +123,18 @@ def centroids_of(assigned: DataFrame, before: DataFrame, size: int = VOCABULARY)
 
 
 def kmeans(vectors: DataFrame, rounds: int = 20, size: int = VOCABULARY) -> DataFrame:
-    """(document_id, idx, vector, cluster), until no unit of any document changes its cluster."""
-    vectors = stash(vectors)
-    centroids = stash(seeds(vectors))
-    old = vectors.select("document_id", "idx", F.lit(0).alias("_was"))
-    for _ in range(rounds):
-        new = stash(assign(vectors, centroids))
-        if not new.join(old, ["document_id", "idx"]).where("cluster <> _was").limit(1).count():
-            return new
-        old = new.select("document_id", "idx", F.col("cluster").alias("_was"))
-        centroids = stash(centroids_of(new, centroids, size))
-    return new
+    """(document_id, idx, vector, cluster), until no unit of any document changes its cluster; only the last table stays."""
+    with scratch() as keep:
+        vectors = stash(vectors)
+        centroids = stash(seeds(vectors))
+        old = vectors.select("document_id", "idx", F.lit(0).alias("_was"))
+        for _ in range(rounds):
+            new = stash(assign(vectors, centroids))
+            if not new.join(old, ["document_id", "idx"]).where("cluster <> _was").limit(1).count():
+                return keep(new)
+            old = new.select("document_id", "idx", F.col("cluster").alias("_was"))
+            centroids = stash(centroids_of(new, centroids, size))
+        return keep(new)
 
 
 def project(vectors: DataFrame, size: int = VOCABULARY) -> DataFrame:

@@ -65,3 +65,61 @@ def test_no_silent_local_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared.checkpoint_dir(Elsewhere)
+
+
+def tables(spark):
+    at, fs = shared._files(spark, shared.tables_dir(spark))
+    return {s.getPath().getName() for s in fs.listStatus(at)}
+
+
+def test_tables_go_with_their_scratch(spark):
+    before = tables(spark)
+    with shared.scratch():
+        with shared.scratch() as keep:
+            shared.stash(spark.range(3))
+            kept = keep(shared.stash(spark.range(5)))
+        assert len(tables(spark) - before) == 1 and kept.count() == 5
+    assert tables(spark) == before
+
+
+def test_tables_go_when_the_work_fails(spark):
+    before = tables(spark)
+    with pytest.raises(ZeroDivisionError), shared.scratch():
+        shared.stash(spark.range(3))
+        raise ZeroDivisionError
+    assert tables(spark) == before
+
+
+def test_rounds_leave_one_table(spark):
+    before = tables(spark)
+    got = shared.connected(spark.createDataFrame(bent(300), "a long, b long"))
+    assert len(tables(spark) - before) == 1 and {r.component for r in got.collect()} == {1}
+
+
+@pytest.mark.parametrize("name", ["kmeans_full", "spatial_groups", "cross_doc_groups_grown"])
+def test_a_query_in_a_scratch_leaves_nothing(spark, name):
+    from loomfield.plans.queries import QUERIES
+
+    before = tables(spark)
+    with shared.scratch():
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert tables(spark) == before
+
+
+def test_sweep_takes_old_tables_of_others(spark):
+    root = shared.checkpoint_dir(spark).rstrip("/")
+    spark.range(2).write.parquet(f"{root}/stash-other/x")
+    assert shared.sweep(spark, 1) == []
+    at, fs = shared._files(spark, f"{root}/stash-other")
+    fs.setTimes(at, 0, -1)
+    own = shared.stash(spark.range(4))
+    assert shared.sweep(spark, 1) == ["stash-other"] and own.count() == 4
+
+
+def test_writers_of_one_session_share_the_setting(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    before = spark.conf.get(shared.CLEANUP, None)
+    with ThreadPoolExecutor(4) as pool:
+        assert [d.count() for d in pool.map(lambda n: shared.stash(spark.range(n)), range(1, 9))] == list(range(1, 9))
+    assert spark.conf.get(shared.CLEANUP, None) == before
