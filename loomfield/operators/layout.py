@@ -6,25 +6,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import common_words
-from .shared import connected
+from .shared import connected, scratch, stash
 
+#: Side of a cell in reaches: under 1/sqrt(2), so all items of a cell are near each other, and near items are two cells apart at most.
+SIDE = 0.7
+#: Pairs of points by which two cells are compared; cells that hold more are cut in four.
+MET = 256
 
-def close_pairs(items: DataFrame, threshold: float = 0.04) -> DataFrame:
-    """Item pairs a < b of a page whose centres are nearer than the share of the diagonal: a grid join of cells as wide as that."""
+_PAGE, _ROOTS = ["page_index", "reach"], ["page_index", "reach", "ax", "ay", "bx", "by"]
+
+
+def _placed(items: DataFrame, threshold: float) -> DataFrame:
+    """items with their page's `reach`, centre (cx, cy) and cell (gx, gy); null for those that are near nothing: no page, no finite place or a page without size."""
     reach = F.sqrt(F.col("page_width") * F.col("page_width") + F.col("page_height") * F.col("page_height")) * threshold
-    placed = items.withColumn("reach", reach).withColumn("cx", F.col("x") + F.col("width") / 2).withColumn("cy", F.col("y") + F.col("height") / 2)
-    placed = placed.withColumn("gx", F.floor(F.col("cx") / F.col("reach"))).withColumn("gy", F.floor(F.col("cy") / F.col("reach")))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = placed.withColumn("o", around).select("page_index", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"), F.col("item_id").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), "reach")
-    right = placed.select("page_index", "gx", "gy", F.col("item_id").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    far = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
-    return left.join(right, ["page_index", "gx", "gy"]).where((F.col("a") < F.col("b")) & (far < F.col("reach"))).select("page_index", "a", "b")
+    out = items.withColumns({"reach": reach, "cx": F.col("x") + F.col("width") / 2, "cy": F.col("y") + F.col("height") / 2})
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    able = F.col("page_index").isNotNull() & finite("reach") & (F.col("reach") > 0) & finite("cx") & finite("cy")
+    at = lambda c: F.when(able, _cell(c, 0))
+    return out.withColumns({"gx": at("cx"), "gy": at("cy")})
+
+
+def _cell(centre: str, level: int):
+    """The cell along an axis when cells were halved `level` times; halved again it has twice that number, or one more, as powers of two are exact."""
+    return F.floor(F.col(centre) / (F.col("reach") * SIDE) * 2.0**level)
+
+
+def _boxes(points: DataFrame, level: int) -> DataFrame:
+    """(page_index, reach, box): the cells of points, with the bounds and the number of what they hold."""
+    held = points.groupBy(*_PAGE, _cell("cx", level).alias("kx"), _cell("cy", level).alias("ky"))
+    held = held.agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"), F.count(F.lit(1)).alias("n"))
+    return held.select(*_PAGE, F.struct("kx", "ky", "x0", "x1", "y0", "y1", "n").alias("box"))
+
+
+def _judged(met: DataFrame) -> DataFrame:
+    """Pairs of boxes p, q that may hold near points; `sure` where any two are.  Rounding keeps order, so bounds hold for the points' own distances."""
+    apart = lambda c: F.greatest(F.col(f"p.{c}0") - F.col(f"q.{c}1"), F.col(f"q.{c}0") - F.col(f"p.{c}1"), F.lit(0.0))
+    across = lambda c: F.greatest(F.col(f"p.{c}1") - F.col(f"q.{c}0"), F.col(f"q.{c}1") - F.col(f"p.{c}0"))
+    size = lambda f: F.sqrt(f("x") * f("x") + f("y") * f("y"))
+    return met.where(size(apart) < F.col("reach")).withColumn("sure", size(across) < F.col("reach"))
+
+
+def near_cells(points: DataFrame) -> DataFrame:
+    """points(page_index, reach, cx, cy), each once -> pairs (page_index, reach, ax, ay, bx, by) of neighbouring cells that hold near points.
+
+    Cells are compared by their bounds.  Where these leave it open, cells are halved and their parts compared, few points
+    with each other: what is open are the edges of crowded cells, so the work doesn't grow with the pairs of items.
+    """
+    with scratch() as keep:
+        step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]))
+        cells = stash(_boxes(points, 0))
+        left = cells.withColumn("o", step).select(*_PAGE, (F.col("box.kx") + F.col("o.i")).alias("bx"), (F.col("box.ky") + F.col("o.j")).alias("by"), F.col("box.kx").alias("ax"), F.col("box.ky").alias("ay"), F.col("box").alias("p"))
+        right = cells.select(*_PAGE, F.col("box.kx").alias("bx"), F.col("box.ky").alias("by"), F.col("box").alias("q"))
+        met, found, level = left.join(right, [*_PAGE, "bx", "by"]), None, 0
+        while True:
+            judged = stash(_judged(met).select(*_ROOTS, "p", "q", "sure"))
+            sure = judged.where("sure").select(*_ROOTS).distinct()
+            left_open = judged.where("NOT sure").join(sure, _ROOTS, "left_anti")
+            few = F.col("p.n") * F.col("q.n") <= MET
+            own = lambda x, y: points.select(*_PAGE, _cell("cx", level).alias(f"{x}x"), _cell("cy", level).alias(f"{x}y"), F.struct("cx", "cy").alias(y))  # noqa: E731, B023
+            one = left_open.where(few).select(*_ROOTS, F.col("p.kx").alias("_px"), F.col("p.ky").alias("_py"), F.col("q.kx").alias("_qx"), F.col("q.ky").alias("_qy"))
+            both = one.join(own("_p", "u"), [*_PAGE, "_px", "_py"]).join(own("_q", "v"), [*_PAGE, "_qx", "_qy"])
+            dx, dy = F.col("u.cx") - F.col("v.cx"), F.col("u.cy") - F.col("v.cy")
+            links = stash(sure.unionByName(both.where(F.sqrt(dx * dx + dy * dy) < F.col("reach")).select(*_ROOTS)).distinct())
+            found = links if found is None else found.unionByName(links)
+            left_open = stash(left_open.where(~few).join(links, _ROOTS, "left_anti"))
+            if not left_open.count():
+                return keep(stash(found))
+            level += 1
+            parts = stash(_boxes(points, level))
+            half = lambda x, y: parts.select(*_PAGE, F.shiftright("box.kx", 1).alias(f"{x}x"), F.shiftright("box.ky", 1).alias(f"{x}y"), F.col("box").alias(y))  # noqa: E731, B023
+            met = left_open.select(*_ROOTS, F.col("p.kx").alias("_px"), F.col("p.ky").alias("_py"), F.col("q.kx").alias("_qx"), F.col("q.ky").alias("_qy"))
+            met = met.join(half("_p", "p"), [*_PAGE, "_px", "_py"]).join(half("_q", "q"), [*_PAGE, "_qx", "_qy"])
+
+
+def near_groups(items: DataFrame, threshold: float = 0.04) -> DataFrame:
+    """items with `group_id`, the least item_id that leads to them over items of a page whose centres are nearer than the share of its diagonal.
+
+    Items of a cell are one group anyway, so cells are what is linked: at most as many as fit a page, however many items it
+    has.  Rows of one item_id are one item; a page has one size.
+    """
+    placed = _placed(items, threshold)
+    cell = [*_PAGE, "gx", "gy"]
+    able = placed.where("gx IS NOT NULL AND gy IS NOT NULL").select("item_id", *cell, "cx", "cy")
+    with scratch() as keep:
+        first = stash(able.groupBy(*cell).agg(F.min("item_id").alias("first")))
+        pairs = near_cells(stash(able.select(*_PAGE, "cx", "cy").distinct()))
+        named = lambda x: first.select(*_PAGE, F.col("gx").alias(f"{x}x"), F.col("gy").alias(f"{x}y"), F.col("first").alias(x))
+        links = pairs.join(named("a"), [*_PAGE, "ax", "ay"]).join(named("b"), [*_PAGE, "bx", "by"]).select("a", "b")
+        again = able.groupBy("item_id").count().where("count > 1").select("item_id")
+        links = links.unionByName(able.join(again, "item_id", "left_semi").join(first, cell).select(F.col("item_id").alias("a"), F.col("first").alias("b")))
+        groups = keep(stash(connected(links)))
+        first = keep(stash(first.join(groups, F.col("first") == F.col("id"), "left").select(*cell, F.coalesce("component", "first").alias("_group"))))
+    # Items in no cell may share their item_id with one that is.
+    alone = groups.select(F.col("id").alias("_id"), F.col("component").alias("_own"))
+    lost = placed.where("gx IS NULL OR gy IS NULL").join(alone, F.col("item_id") == F.col("_id"), "left").select(*items.columns, F.coalesce("_own", "item_id").alias("group_id"))
+    return placed.join(first, cell).select(*items.columns, F.col("_group").alias("group_id")).unionByName(lost)
 
 
 def spatial_groups(items: DataFrame, threshold: float = 0.04) -> DataFrame:
     """Groups of near items in reading order; texts under 3 characters are dropped."""
-    named = connected(close_pairs(items, threshold)).withColumnRenamed("id", "item_id")
-    member = items.join(named, "item_id", "left").withColumn("group_id", F.coalesce("component", "item_id"))
+    member = near_groups(items, threshold)
     order = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "item_id", "text"))), lambda t: t["text"])
     groups = member.groupBy("page_index", "group_id").agg(
         F.count(F.lit(1)).alias("n_items"),
