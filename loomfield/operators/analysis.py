@@ -5,8 +5,12 @@ Units are (document_id, idx, text): idx orders the units of a document.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +20,8 @@ from ..functions.text import term_tokens, tokenize
 from .shared import scratch, stash
 
 VOCABULARY, LEAST_DF, MOST_SHARE = 100, 2, 0.8
+#: Units of a packed row: Spark's reader holds 4,096 rows at once, here 100 MB.
+BLOCK = 32
 
 
 def distinct_terms(units: DataFrame) -> DataFrame:
@@ -122,19 +128,109 @@ def centroids_of(assigned: DataFrame, before: DataFrame, size: int = VOCABULARY)
     return before.join(new, ["document_id", "cluster"], "left").select("document_id", "cluster", F.coalesce("_new", "centroid").alias("centroid"))
 
 
+def _in_order(batch):
+    """The batch's rows by document, as they came, and where each document's begin."""
+    code = batch.column("document_id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    return batch.take(pa.array(order)), np.concatenate([[0], np.cumsum(np.bincount(code))]).tolist()
+
+
+def _listed(at, values):
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+
+
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """(document_id, idx, h, v): up to BLOCK units of a document that share an Arrow batch as a row, h the hashes of idx, v the vectors end to end; nothing is shuffled."""
+    kinds = dict(vectors.dtypes)
+
+    def pack(batches):
+        for b in batches:
+            b, ends = _in_order(b)
+            at = np.array([i for one, two in pairwise(ends) for i in range(one, two, BLOCK)], np.int64)
+            cut = np.append(at, b.num_rows)
+            wide = np.append(0, np.cumsum(b.column("vector").value_lengths().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([b.column("document_id").take(pa.array(at)), _listed(cut, b.column("idx")), _listed(cut, b.column("h")), _listed(wide[cut], b.column("vector").flatten())], ["document_id", "idx", "h", "v"])
+
+    rows = vectors.where("document_id IS NOT NULL").select("document_id", "idx", F.xxhash64("idx").alias("h"), "vector")
+    return rows.mapInArrow(pack, f"document_id {kinds['document_id']}, idx array<{kinds['idx']}>, h array<long>, v array<double>")
+
+
+def _block_seeds(blocks: DataFrame, size: int) -> DataFrame:
+    """`seeds` of packed units: each block names its first few."""
+    kind = dict(blocks.dtypes)["idx"].removeprefix("array<").removesuffix(">")
+
+    def least(batches):
+        for b in batches:
+            b, ends = _in_order(b)
+            for one, two in pairwise(ends):
+                own = b.slice(one, two - one)
+                table = pa.table({"h": own.column("h").flatten(), "idx": own.column("idx").flatten()})
+                at = pc.sort_indices(table, [("h", "ascending"), ("idx", "ascending")], null_placement="at_start")[:5]
+                vector = pa.array(list(_matrix(own, "v", size)[at.to_numpy()]), pa.list_(pa.float64()))
+                picked = table.take(at).combine_chunks()
+                yield pa.RecordBatch.from_arrays([own.column("document_id").take(pa.array([0] * len(at))), *(picked[c].combine_chunks() for c in ("h", "idx")), vector], ["document_id", "h", "idx", "vector"])
+
+    first = blocks.mapInArrow(least, f"document_id {dict(blocks.dtypes)['document_id']}, h long, idx {kind}, vector array<double>")
+    n = blocks.groupBy("document_id").agg(F.sum(F.size("idx")).alias("n"))
+    ranked = first.withColumn("cluster", F.row_number().over(W.partitionBy("document_id").orderBy("h", "idx")) - 1).join(n, "document_id")
+    return ranked.where(F.col("cluster") < choose_k(F.col("n"))).select("document_id", "cluster", F.col("vector").alias("centroid"))
+
+
+def _matrix(batch, column: str, size: int) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """As `assign`: the most similar centroid to 12 decimals, the first of equals."""
+    sizes = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((centroids * centroids).sum(1))
+    return np.round(np.divide(x @ centroids.T, sizes, out=np.zeros_like(sizes), where=sizes > 0), 12).argmax(1)
+
+
 def kmeans(vectors: DataFrame, rounds: int = 20, size: int = VOCABULARY) -> DataFrame:
-    """(document_id, idx, vector, cluster), until no unit of any document changes its cluster; only the last table stays."""
+    """(document_id, idx, vector, cluster), until no unit of any document changes its cluster; only the last table stays.
+
+    Units are written once, packed by document, and a round reads them once: each block gives sums of its clusters and how
+    many of its units the centroids before put elsewhere, so neither units nor their clusters are shuffled or written.
+    Units without a document are left out.
+    """
+    kinds = dict(vectors.dtypes)
+    listed = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cluster", c))), lambda x: x[c]))
+
+    def sums(batches):
+        for b in batches:
+            b, ends = _in_order(b)
+            for one, two in pairwise(ends):
+                own, first = b.slice(one, two - one), b.slice(one, 1)
+                x, c = _matrix(own, "v", size), _matrix(first, "now", size)
+                cluster = _nearest(x, c)
+                was = _nearest(x, _matrix(first, "before", size)) if first.column("before")[0].is_valid else np.zeros(len(x), int)
+                mine = cluster == np.arange(len(c))[:, None]
+                counts = [pa.array(np.arange(len(c)), pa.int32()), pa.array(mine.sum(1)), pa.array((mine & (cluster != was)).sum(1))]
+                lists = [pa.array(list(m), pa.list_(pa.float64())) for m in (mine @ x, c)]
+                yield pa.RecordBatch.from_arrays([first.column("document_id").take(pa.array([0] * len(c))), *counts, *lists], ["document_id", "cluster", "n", "moved", "s", "centroid"])
+
+    def give(batches):
+        for b in batches:
+            b, ends = _in_order(b)
+            cluster = [_nearest(_matrix(b.slice(one, two - one), "v", size), _matrix(b.slice(one, 1), "now", size)) for one, two in pairwise(ends)]
+            ids = b.column("idx").flatten()
+            doc = b.column("document_id").take(pa.array(np.repeat(np.arange(b.num_rows), b.column("idx").value_lengths().to_numpy(zero_copy_only=False))))
+            vector = _listed(np.arange(len(ids) + 1) * size, b.column("v").flatten())
+            yield pa.RecordBatch.from_arrays([doc, ids, vector, pa.array(np.concatenate([np.empty(0, int), *cluster]), pa.int32())], ["document_id", "idx", "vector", "cluster"])
+
+    doc = f"document_id {kinds['document_id']}"
     with scratch() as keep:
-        vectors = stash(vectors)
-        centroids = stash(seeds(vectors))
-        old = vectors.select("document_id", "idx", F.lit(0).alias("_was"))
-        for _ in range(rounds):
-            new = stash(assign(vectors, centroids))
-            if not new.join(old, ["document_id", "idx"]).where("cluster <> _was").limit(1).count():
-                return keep(new)
-            old = new.select("document_id", "idx", F.col("cluster").alias("_was"))
-            centroids = stash(centroids_of(new, centroids, size))
-        return keep(new)
+        blocks = stash(_blocks(vectors))
+        now = stash(_block_seeds(blocks, size).groupBy("document_id").agg(listed("centroid").alias("now"), F.lit(None).cast("array<double>").alias("before")))
+        for left in reversed(range(rounds)):
+            met = blocks.join(now, "document_id")
+            total = met.mapInArrow(sums, f"{doc}, cluster int, n long, moved long, s array<double>, centroid array<double>").groupBy("document_id", "cluster")
+            total = stash(total.agg(F.sum("n").alias("n"), F.sum("moved").alias("moved"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(size)]).alias("s"), F.any_value("centroid").alias("centroid")))
+            if not left or not total.agg(F.sum("moved")).first()[0]:
+                break
+            mean = F.when(F.col("n") > 0, F.transform("s", lambda x: x / F.col("n"))).otherwise(F.col("centroid"))
+            now = stash(total.withColumn("mean", mean).groupBy("document_id").agg(listed("mean").alias("now"), listed("centroid").alias("before")))
+        return keep(stash(met.select("document_id", "idx", "v", "now").mapInArrow(give, f"{doc}, idx {kinds['idx']}, vector array<double>, cluster int")))
 
 
 def project(vectors: DataFrame, size: int = VOCABULARY) -> DataFrame:

@@ -167,6 +167,35 @@ def test_kmeans_fixed_point_and_zero_vectors(spark):
     assert {(r.document_id, r.idx): r.cluster for r in again.collect()} == got
 
 
+def test_kmeans_equals_plain_rounds_and_writes_units_twice(spark, monkeypatch):
+    """The clusters of a walk over `assign` and `centroids_of`; units are written at the start and the end, not in each round."""
+    rng = np.random.default_rng(4)
+    rows = [("hot", i, rng.normal(size=4).tolist()) for i in range(300)] + [("e", i, [float(i % 2), 1.0, 0.0, 0.0]) for i in range(9)] + [("one", 5, [1.0] * 4), ("none", 1, [0.0] * 4), ("none", 1, [0.0] * 4), (None, 3, [1.0] * 4)]
+    v = spark.createDataFrame(rows, "document_id string, idx long, vector array<double>").repartition(3)
+    units = {(d, i): np.array(x) for d, i, x in rows if d is not None}
+    centroids = {}
+    for r in A.seeds(v).collect():
+        centroids.setdefault(r.document_id, {})[r.cluster] = np.array(r.centroid)
+    cos = lambda a, b: round(float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b) or 1)), 12)
+    was, rounds = dict.fromkeys(units, 0), 0
+    while True:
+        rounds += 1
+        want = {(d, i): max((cos(x, c), -k) for k, c in centroids[d].items())[1] * -1 for (d, i), x in units.items()}
+        if want == was:
+            break
+        was = want
+        for d, own in centroids.items():
+            for k in own:
+                members = [x for u, x in units.items() if u[0] == d and want[u] == k]
+                own[k] = np.mean(members, 0) if members else own[k]
+    written, stash = [], A.stash
+    monkeypatch.setattr(A, "stash", lambda df: written.append(out := stash(df)) or out)
+    got = A.kmeans(v, rounds=100, size=4).collect()
+    assert len(got) == len(rows) - 1 and {(r.document_id, r.idx): r.cluster for r in got} == want and rounds > 4
+    assert all(list(units[r.document_id, r.idx]) == r.vector for r in got)
+    assert sum("idx" in df.columns for df in written) == 2
+
+
 def test_projection_equals_svd(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(30, 5)) * (5, 3, 1, 1, 0.5)
