@@ -41,8 +41,10 @@ from .shared import stash
 SAMPLE, SAMPLE_BYTES, MOST_PIVOTS, PIVOT_BYTES, ROUNDS = 20_000, 32 << 20, 1024, 16 << 20, 8
 #: Rows a cell of a join.
 CELL_ROWS = 1000
-#: Bytes of vectors of a part of a cell, or of its visitors.
-PART_BYTES = 16 << 20
+#: Bytes of vectors of a part of a cell, or of its visitors; of a join, where a task may return all pairs of both.
+PART_BYTES, JOIN_BYTES = 16 << 20, 1 << 20
+#: Similarities that a task holds at once, and bytes of rows that it sends at once.
+SCORES, SEND_BYTES = 1 << 20, 4 << 20
 #: Radians by which bounds are loosened, and similarity by which the worst result is.
 LOOSE, TIE = 1e-7, 2e-12
 #: Cells that an exact search looks into first; share of true results that an approximate one shall find, and queries that its probes are fitted on.
@@ -159,34 +161,34 @@ def _send(rows: DataFrame, cells: Cells, choose: Callable[[np.ndarray, np.ndarra
                     continue
                 used = {c: b.column(c).to_numpy(zero_copy_only=False)[at] for c in use}
                 who, to = np.nonzero(choose(x, p, radius, start, used))
-                out = b.select(list(keep)).take(pa.array(at[who]))
-                yield out.append_column("to", pa.array(start + to))
+                # A row may go to every cell, so copies leave in bounded lots.
+                some, rows_of = max(1, SEND_BYTES // (8 * x.shape[1])), b.select(list(keep))
+                for i in range(0, len(who), some):
+                    yield rows_of.take(pa.array(at[who[i : i + some]])).append_column("to", pa.array(start + to[i : i + some]))
 
     lean = Cells(None, cells.pivots, cells.first, cells.size, cells.radius)
     cells = lean  # what tasks get: arrays only
     return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", to long")
 
 
-def _parts(table: dict[int, int] | np.ndarray, bytes_a_row: int) -> np.ndarray:
-    return np.maximum(1, -(-np.asarray(table) * bytes_a_row // PART_BYTES)).astype(np.int64)
+def _parts(table: dict[int, int] | np.ndarray, bytes_a_row: int, most: int | None = None) -> np.ndarray:
+    return np.maximum(1, -(-np.asarray(table) * bytes_a_row // (most or PART_BYTES))).astype(np.int64)
 
 
 def _parts_of(parts: np.ndarray, cell: str):
-    """Column: how many parts a cell has; only those with more than one are listed."""
-    many = np.flatnonzero(parts > 1)
-    if not len(many):
+    """Column: how many parts a cell has, looked up by its number."""
+    if not (parts > 1).any():
         return F.lit(1).cast("long")
-    pairs = [x for c in many.tolist() for x in (F.lit(c).cast("long"), F.lit(int(parts[c])).cast("long"))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(cell)), F.lit(1).cast("long"))
+    return F.coalesce(F.get(F.array(*[F.lit(n).cast("long") for n in parts.tolist()]), F.col(cell).cast("int")), F.lit(1).cast("long"))
 
 
-def _met(home: DataFrame, visitors: DataFrame, cells: Cells, width: int, home_columns: list[str], visitor_columns: list[str], key: str):
+def _met(home: DataFrame, visitors: DataFrame, cells: Cells, width: int, home_columns: list[str], visitor_columns: list[str], key: str, most: int | None = None):
     """Both sides by (cell, part, visit): rows of a cell by part, its visitors by visit, each part with each visit."""
-    parts = _parts(cells.size, width)
+    parts = _parts(cells.size, width, most)
     count = np.zeros(len(cells.size), np.int64)
     for r in visitors.groupBy("to").count().collect():
         count[r.to] = r["count"]
-    visits = _parts(count, width)
+    visits = _parts(count, width, most)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     a = home.select("cell", F.pmod(F.xxhash64(F.lit(1), "id"), _parts_of(parts, "cell")).alias("part"), *home_columns, every(_parts_of(visits, "cell")).alias("visit"))
     b = visitors.withColumn("_visit", F.pmod(F.xxhash64(F.lit(2), key), _parts_of(visits, "to")))
@@ -225,8 +227,9 @@ def similar_pairs(rows: DataFrame, vector: str, min_similarity: float) -> DataFr
     width = 8 * max(cells.pivots, default=1)
     home = cells.rows.select("cell", "id", "v")
     # Rows of a cell in several parts visit the parts after their own.
-    parts = _parts(cells.size, width)
-    a, b, _ = _met(home, _visiting(cells, reach), cells, width, ["id", "v"], ["id", "v"], "id")
+    most = min(PART_BYTES, JOIN_BYTES)
+    parts = _parts(cells.size, width, most)
+    a, b, _ = _met(home, _visiting(cells, reach), cells, width, ["id", "v"], ["id", "v"], "id", most)
     b = b.withColumn("own", F.lit(False))
     if (parts > 1).any():
         n = _parts_of(parts, "cell")
@@ -238,8 +241,9 @@ def similar_pairs(rows: DataFrame, vector: str, min_similarity: float) -> DataFr
         out = []
 
         def add(x, y, ids, others, same=False):
-            for i in range(0, len(x), 1024):
-                near = x[i : i + 1024] @ y.T
+            some = max(1, SCORES // len(y))
+            for i in range(0, len(x), some):
+                near = x[i : i + some] @ y.T
                 good = near >= min_similarity - 1e-12
                 if same:
                     good &= np.arange(i, i + len(near))[:, None] < np.arange(len(y))
@@ -293,12 +297,13 @@ def _look(cells: Cells, asked: DataFrame, count: int, least: float, but_own: boo
         x, ids = _matrix(left), left.column("id").to_numpy()
         y, queries = _matrix(right), right.column("query_id").to_numpy()
         out = []
-        for i in range(0, len(y), 512):
-            near = y[i : i + 512] @ x.T
+        some = max(1, SCORES // len(x))
+        for i in range(0, len(y), some):
+            near = y[i : i + some] @ x.T
             score = np.round(near, 12)
             score[near < least] = -np.inf
             if but_own:
-                score[queries[i : i + 512, None] == ids] = -np.inf
+                score[queries[i : i + some, None] == ids] = -np.inf
             if len(x) > count:  # all that tie with the last one, so that ids decide
                 last = -np.partition(-score, count - 1, axis=1)[:, count - 1]
                 score[score < last[:, None]] = -np.inf

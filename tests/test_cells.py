@@ -1,6 +1,10 @@
 """Metric cells: exact joins and searches against brute force, recall, what is skipped."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +112,41 @@ def test_empty_tables(spark, hot):
     assert cells.similar_pairs(none, "v", 0.5).collect() == [] and cells.search(index, asked).collect() == [] and cells.calibrate(index, asked) == 1
     some = cells.build(frame(spark, hot, False), "v")
     assert cells.search(some, asked).collect() == [] and cells.search(index, frame(spark, hot, False).select(F.col("id").alias("query_id"), F.col("v").alias("q"))).collect() == []
+
+
+def test_a_row_sent_to_many_cells_leaves_in_bounded_lots(monkeypatch):
+    """A batch is copied once a cell, so what is sent at once has a limit of its own."""
+    monkeypatch.setattr(cells, "SEND_BYTES", 8 * 8 * 100)
+    seen = []
+    rows = SimpleNamespace(dtypes=[("id", "bigint"), ("v", "array<double>")], mapInArrow=lambda f, schema: seen.append(f))
+    x = np.random.default_rng(1).normal(size=(500, 8))
+    made = cells.Cells(None, {8: x[:40]}, {8: 0}, np.ones(40, np.int64), np.zeros(40))
+    cells._send(rows, made, lambda x, p, *more: np.ones((len(x), len(p)), bool), ("id", "v"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(x.tolist())], ["id", "v"])
+    sent = list(seen[0](iter([batch])))
+    assert max(b.num_rows for b in sent) == 100
+    assert sorted((i, t) for b in sent for i, t in zip(b["id"].to_pylist(), b["to"].to_pylist(), strict=True)) == [(i, t) for i in range(500) for t in range(40)]
+
+
+@pytest.mark.parametrize("kind", ["join", "search"])
+def test_similarities_are_held_in_bounded_lots(spark, hot, kind, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    seen = []
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: seen.append(f) or spark.createDataFrame([], schema))
+    if kind == "join":
+        cells.similar_pairs(frame(spark, hot, False), "v", 0.9)
+    else:
+        cells.search(cells.build(frame(spark, hot, False), "v"), frame(spark, hot, False).select(F.col("id").alias("query_id"), F.col("v").alias("q")), probes=1)
+    x = np.random.default_rng(1).normal(size=(30_000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = lambda y, name: pa.table({"visit": pa.array([0] * len(y)), name: pa.array(range(len(y))), "v": pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * 24, pa.int32()), pa.array(y.reshape(-1)))})
+    # Of a join the small side first: 1,000 x 30,000 similarities are 240 MB; of a search the rows first.
+    left, right = (table(x[:1000], "id"), table(x, "id")) if kind == "join" else (table(x, "id"), table(x[:600], "query_id"))
+    tracemalloc.start()
+    try:
+        seen[0](left, right)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6
