@@ -8,8 +8,10 @@ is one scan and a top-k in each task, and unused columns are not read.
     SELECT * FROM match_chunks(from_json('[0.1]', 'array<double>'))
     SELECT a.id, m.* FROM asked a, LATERAL match_chunks(a.v, min_cti => 0.5) m
 
-A lateral search meets each of its vectors with each row, in the JVM, and suits the
-few vectors of a statement; `retrieval.nearest` answers many in blocks.  Arguments that
+A lateral search meets each of its vectors with each row, in the JVM, and sorts all of
+these, so it suits the few vectors of a statement.  For many there is `nearest_chunks`
+(`register_nearest`), which takes the best rows of each block of rows at once, and
+`retrieval.nearest`.  Arguments that
 are null match nothing, but `exclude_document` and `owner`, for which null is no limit.
 Vectors that are null, zero or of another length never match; ties go to the lesser id.
 """
@@ -19,11 +21,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, norm
 from ..operators import graph, retrieval
+from ..operators.shared import stash
 
 #: Similarity from which the edges behind `corpus_cluster_edges` are there.
 EDGE_FLOOR = 0.55
+#: Rows of a block of `nearest_chunks`: of 64 numbers a vector, 1 MB.
+BLOCK_ROWS = 2048
 
 _DOT = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
 _NORM = "sqrt(aggregate({0}, 0D, (s, x) -> s + x * x))"
@@ -109,3 +114,26 @@ def register(spark: SparkSession, chunks: DataFrame, documents: DataFrame, clust
     _function(spark, "user_owns_document", "owner STRING, document STRING", "BOOLEAN", "(SELECT count(*) > 0 FROM loomfield_documents WHERE id = user_owns_document.document AND user_id = user_owns_document.owner)")
     made = ["match_chunks", "match_clusters", "match_clusters_hybrid", "find_friction", "corpus_cluster_edges", "corpus_cluster_quality", "document_ranking", "visible_documents", "user_owns_document", "cosine_similarity"]
     return made + (["match_global_clusters"] if shared is not None else [])
+
+
+def register_nearest(spark: SparkSession, chunks: DataFrame) -> list[str]:
+    """Create `nearest_chunks`, the id and similarity of what `match_chunks` finds, for lateral calls with many vectors.
+
+    Chunks are written in blocks.  A vector and a block give their best rows within one row, so what is shuffled
+    are `match_count` rows for a vector and a block, not each vector with each chunk.  Vectors that aren't finite never match.
+    """
+    able = chunks.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce("cti", F.lit(0.0)).alias("cti"))
+    able = able.withColumn("n", norm(F.col("v"))).where((F.col("n") > 0) & (F.col("n") < float("inf")))
+    count = max(1, -(-able.count() // BLOCK_ROWS))
+    dealt = able.repartition(max(count, spark.sparkContext.defaultParallelism), F.pmod(F.xxhash64("id"), F.lit(count)))
+    stash(dealt.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block")).agg(F.collect_list(F.struct("id", "v", "n", "cti")).alias("held"))).createOrReplaceTempView("loomfield_blocks")
+
+    like = _DOT.replace("(a, b,", "(r.v, nearest_chunks.query_embedding,")
+    size = _NORM.format("nearest_chunks.query_embedding")
+    scored = f"transform(filter(held, r -> r.cti >= nearest_chunks.min_cti AND size(r.v) = size(nearest_chunks.query_embedding) AND asked > 0 AND asked < double('infinity')), r -> struct(-({like} / (r.n * asked)) AS s, r.id AS id))"
+    best = f"SELECT slice(array_sort(filter(scored, x -> -x.s >= nearest_chunks.min_similarity)), 1, nearest_chunks.match_count) AS best FROM (SELECT {scored} AS scored FROM (SELECT held, {size} AS asked FROM loomfield_blocks))"
+    first = f"SELECT slice(array_sort(flatten(collect_list(best))), 1, nearest_chunks.match_count) AS best FROM ({best})"
+    kind = dict(chunks.dtypes)["id"]
+    arguments = "query_embedding ARRAY<DOUBLE>, match_count INT DEFAULT 10, min_similarity DOUBLE DEFAULT 0, min_cti DOUBLE DEFAULT 0"
+    _function(spark, "nearest_chunks", arguments, f"TABLE(id {kind}, similarity double)", f"SELECT e.id, -e.s FROM (SELECT explode(best) AS e FROM ({first}))")
+    return ["nearest_chunks"]

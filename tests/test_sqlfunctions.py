@@ -95,6 +95,22 @@ def test_lateral_calls_answer_each_row(spark, tables):
     assert sorted(rows(found.where("x = 0.9"), "id", "noise_ratio")) == sorted(rows(graph.cluster_quality(clusters, chunks, 0.9), "id", "noise_ratio"))
 
 
+def test_many_vectors_meet_blocks_and_sort_no_pairs(spark, tables, monkeypatch):
+    chunks, documents, clusters = tables
+    monkeypatch.setattr(sqlfunctions, "BLOCK_ROWS", 7)
+    assert sqlfunctions.register_nearest(spark, chunks.unionByName(chunks.where("id = 5"))) == ["nearest_chunks"]
+    asked = chunks.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    asked.unionByName(asked.where("query_id = 3").withColumn("query_id", F.lit(1003).cast("long"))).createOrReplaceTempView("asked")
+    for count, least, cti in ((4, 0.0, 0.0), (60, -1.0, 0.0), (5, 0.3, 0.4)):
+        found = spark.sql(f"SELECT query_id, m.id, m.similarity FROM asked, LATERAL nearest_chunks(q, {count}, {least}D, {cti}D) m")
+        want = retrieval.nearest(chunks.unionByName(chunks.where("id = 5")).where(F.coalesce("cti", F.lit(0.0)) >= cti), spark.table("asked"), "embedding", count, least)
+        assert sorted(rows(found, "query_id", "similarity")) == sorted(rows(want, "query_id", "similarity")) and found.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    sqlfunctions.register_nearest(spark, chunks.limit(0))
+    assert spark.sql("SELECT query_id, m.* FROM asked, LATERAL nearest_chunks(q) m").count() == 0
+
+
 def test_a_call_reads_only_what_it_needs(spark, tables, tmp_path):
     chunks, documents, clusters = tables
     chunks.write.parquet(str(tmp_path / "chunks"))
