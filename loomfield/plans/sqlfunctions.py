@@ -27,8 +27,8 @@ from ..operators.shared import stash
 
 #: Similarity from which the edges behind `corpus_cluster_edges` are there.
 EDGE_FLOOR = 0.55
-#: Rows of a block of `nearest_chunks`: of 64 numbers a vector, 1 MB.
-BLOCK_ROWS = 2048
+#: Rows of a block of `nearest_chunks`: of 64 numbers a vector, 0.13 MB.  Spark's nested loop join holds a block once a vector that asks.
+BLOCK_ROWS = 256
 
 _DOT = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
 _NORM = "sqrt(aggregate({0}, 0D, (s, x) -> s + x * x))"
@@ -125,8 +125,9 @@ def register_nearest(spark: SparkSession, chunks: DataFrame) -> list[str]:
     able = chunks.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce("cti", F.lit(0.0)).alias("cti"))
     able = able.withColumn("n", norm(F.col("v"))).where((F.col("n") > 0) & (F.col("n") < float("inf")))
     count = max(1, -(-able.count() // BLOCK_ROWS))
-    dealt = able.repartition(max(count, spark.sparkContext.defaultParallelism), F.pmod(F.xxhash64("id"), F.lit(count)))
-    stash(dealt.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block")).agg(F.collect_list(F.struct("id", "v", "n", "cti")).alias("held"))).createOrReplaceTempView("loomfield_blocks")
+    blocks = able.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block")).agg(F.collect_list(F.struct("id", "v", "n", "cti")).alias("held"))
+    # Dealt one by one, as each is much work.
+    stash(blocks.repartition(max(count, spark.sparkContext.defaultParallelism))).createOrReplaceTempView("loomfield_blocks")
 
     like = _DOT.replace("(a, b,", "(r.v, nearest_chunks.query_embedding,")
     size = _NORM.format("nearest_chunks.query_embedding")
