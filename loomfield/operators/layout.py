@@ -31,6 +31,11 @@ def _cell(centre: str, level: int):
     return F.floor(F.col(centre) / (F.col("reach") * SIDE) * 2.0**level)
 
 
+def _large(side: DataFrame) -> DataFrame:
+    """A side of a join that isn't broadcast: the planner takes a written table for as large as its compressed files, which as a relation in the driver it isn't."""
+    return side.hint("merge")
+
+
 def _boxes(points: DataFrame, level: int) -> DataFrame:
     """(page_index, reach, box): the cells of points, with the bounds and the number of what they hold."""
     held = points.groupBy(*_PAGE, _cell("cx", level).alias("kx"), _cell("cy", level).alias("ky"))
@@ -57,26 +62,26 @@ def near_cells(points: DataFrame) -> DataFrame:
         cells = stash(_boxes(points, 0))
         left = cells.withColumn("o", step).select(*_PAGE, (F.col("box.kx") + F.col("o.i")).alias("bx"), (F.col("box.ky") + F.col("o.j")).alias("by"), F.col("box.kx").alias("ax"), F.col("box.ky").alias("ay"), F.col("box").alias("p"))
         right = cells.select(*_PAGE, F.col("box.kx").alias("bx"), F.col("box.ky").alias("by"), F.col("box").alias("q"))
-        met, found, level = left.join(right, [*_PAGE, "bx", "by"]), None, 0
+        met, found, level = left.join(_large(right), [*_PAGE, "bx", "by"]), None, 0
         while True:
             judged = stash(_judged(met).select(*_ROOTS, "p", "q", "sure"))
             sure = judged.where("sure").select(*_ROOTS).distinct()
-            left_open = judged.where("NOT sure").join(sure, _ROOTS, "left_anti")
+            left_open = judged.where("NOT sure").join(_large(sure), _ROOTS, "left_anti")
             few = F.col("p.n") * F.col("q.n") <= MET
             own = lambda x, y: points.select(*_PAGE, _cell("cx", level).alias(f"{x}x"), _cell("cy", level).alias(f"{x}y"), F.struct("cx", "cy").alias(y))  # noqa: E731, B023
             one = left_open.where(few).select(*_ROOTS, F.col("p.kx").alias("_px"), F.col("p.ky").alias("_py"), F.col("q.kx").alias("_qx"), F.col("q.ky").alias("_qy"))
-            both = one.join(own("_p", "u"), [*_PAGE, "_px", "_py"]).join(own("_q", "v"), [*_PAGE, "_qx", "_qy"])
+            both = one.join(_large(own("_p", "u")), [*_PAGE, "_px", "_py"]).join(_large(own("_q", "v")), [*_PAGE, "_qx", "_qy"])
             dx, dy = F.col("u.cx") - F.col("v.cx"), F.col("u.cy") - F.col("v.cy")
             links = stash(sure.unionByName(both.where(F.sqrt(dx * dx + dy * dy) < F.col("reach")).select(*_ROOTS)).distinct())
             found = links if found is None else found.unionByName(links)
-            left_open = stash(left_open.where(~few).join(links, _ROOTS, "left_anti"))
+            left_open = stash(left_open.where(~few).join(_large(links), _ROOTS, "left_anti"))
             if not left_open.count():
                 return keep(stash(found))
             level += 1
             parts = stash(_boxes(points, level))
             half = lambda x, y: parts.select(*_PAGE, F.shiftright("box.kx", 1).alias(f"{x}x"), F.shiftright("box.ky", 1).alias(f"{x}y"), F.col("box").alias(y))  # noqa: E731, B023
             met = left_open.select(*_ROOTS, F.col("p.kx").alias("_px"), F.col("p.ky").alias("_py"), F.col("q.kx").alias("_qx"), F.col("q.ky").alias("_qy"))
-            met = met.join(half("_p", "p"), [*_PAGE, "_px", "_py"]).join(half("_q", "q"), [*_PAGE, "_qx", "_qy"])
+            met = met.join(_large(half("_p", "p")), [*_PAGE, "_px", "_py"]).join(_large(half("_q", "q")), [*_PAGE, "_qx", "_qy"])
 
 
 def near_groups(items: DataFrame, threshold: float = 0.04) -> DataFrame:
@@ -92,15 +97,15 @@ def near_groups(items: DataFrame, threshold: float = 0.04) -> DataFrame:
         first = stash(able.groupBy(*cell).agg(F.min("item_id").alias("first")))
         pairs = near_cells(stash(able.select(*_PAGE, "cx", "cy").distinct()))
         named = lambda x: first.select(*_PAGE, F.col("gx").alias(f"{x}x"), F.col("gy").alias(f"{x}y"), F.col("first").alias(x))
-        links = pairs.join(named("a"), [*_PAGE, "ax", "ay"]).join(named("b"), [*_PAGE, "bx", "by"]).select("a", "b")
+        links = pairs.join(_large(named("a")), [*_PAGE, "ax", "ay"]).join(_large(named("b")), [*_PAGE, "bx", "by"]).select("a", "b")
         again = able.groupBy("item_id").count().where("count > 1").select("item_id")
-        links = links.unionByName(able.join(again, "item_id", "left_semi").join(first, cell).select(F.col("item_id").alias("a"), F.col("first").alias("b")))
+        links = links.unionByName(able.join(_large(again), "item_id", "left_semi").join(_large(first), cell).select(F.col("item_id").alias("a"), F.col("first").alias("b")))
         groups = keep(stash(connected(links)))
-        first = keep(stash(first.join(groups, F.col("first") == F.col("id"), "left").select(*cell, F.coalesce("component", "first").alias("_group"))))
+        first = keep(stash(first.join(_large(groups), F.col("first") == F.col("id"), "left").select(*cell, F.coalesce("component", "first").alias("_group"))))
     # Items in no cell may share their item_id with one that is.
     alone = groups.select(F.col("id").alias("_id"), F.col("component").alias("_own"))
-    lost = placed.where("gx IS NULL OR gy IS NULL").join(alone, F.col("item_id") == F.col("_id"), "left").select(*items.columns, F.coalesce("_own", "item_id").alias("group_id"))
-    return placed.join(first, cell).select(*items.columns, F.col("_group").alias("group_id")).unionByName(lost)
+    lost = placed.where("gx IS NULL OR gy IS NULL").join(_large(alone), F.col("item_id") == F.col("_id"), "left").select(*items.columns, F.coalesce("_own", "item_id").alias("group_id"))
+    return placed.join(_large(first), cell).select(*items.columns, F.col("_group").alias("group_id")).unionByName(lost)
 
 
 def spatial_groups(items: DataFrame, threshold: float = 0.04) -> DataFrame:

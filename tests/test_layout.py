@@ -61,3 +61,13 @@ def test_crowded_pages_make_few_links(spark, monkeypatch):
     monkeypatch.setattr(layout, "connected", noted)
     groups = layout.spatial_groups(spark.createDataFrame(made("crowd"), ITEM)).collect()
     assert [(g.group_id, g.n_items) for g in groups] == [(0, 301)] and seen[0] <= 20
+
+
+def test_no_table_of_items_is_broadcast(spark, monkeypatch):
+    """The driver holds no table that grows with the items, whatever the planner takes for small."""
+    plans, stash = [], layout.stash
+    shown = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(layout, "MET", 9)
+    monkeypatch.setattr(layout, "stash", lambda df: shown(df) or stash(df))
+    shown(layout.diagram_layout(layout.spatial_groups(spark.createDataFrame(made("two crowds just out of reach"), ITEM)), "page_index"))
+    assert sum("Join" in p for p in plans) >= 5 and not [p for p in plans if "Broadcast" in p]
