@@ -41,10 +41,10 @@ from .shared import stash
 SAMPLE, SAMPLE_BYTES, MOST_PIVOTS, PIVOT_BYTES, ROUNDS = 20_000, 32 << 20, 1024, 16 << 20, 8
 #: Rows a cell of a join.
 CELL_ROWS = 1000
-#: Bytes of vectors of a part of a cell, or of its visitors; of a join, where a task may return all pairs of both.
-PART_BYTES, JOIN_BYTES = 16 << 20, 1 << 20
-#: Similarities that a task holds at once, and bytes of rows that it sends at once.
-SCORES, SEND_BYTES = 1 << 20, 4 << 20
+#: Bytes of vectors of a part of a cell, or of its visitors; of a join, where a task may return all pairs of both; of a search, whose visitors grow with the rows.
+PART_BYTES, JOIN_BYTES, LOOK_BYTES = 16 << 20, 1 << 20, 4 << 20
+#: Similarities that a task of a join and of a search holds at once, rows whose angles to all pivots it holds at once, and bytes of rows that it sends at once.
+SCORES, LOOKS, ANGLE_ROWS, SEND_BYTES = 1 << 20, 1 << 18, 256, 4 << 20
 #: Radians by which bounds are loosened, and similarity by which the worst result is.
 LOOSE, TIE = 1e-7, 2e-12
 #: Cells that an exact search looks into first; share of true results that an approximate one shall find, and queries that its probes are fitted on.
@@ -72,20 +72,22 @@ def unit_rows(rows: DataFrame, vector: str, id: str = "id", more: tuple[str, ...
     """(id, v, more ...) with v of length one."""
     able = rows.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), *more)
     able = able.withColumn("_size", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where((F.col("_size") > 0) & (F.col("_size") < float("inf")))
-    return able.select("id", F.transform("v", lambda x: x / F.col("_size")).alias("v"), *more)
+    # The size is a value of an outer function: as a column it would be computed again for each element.
+    sized = F.array(F.struct("v", F.col("_size").alias("size")))
+    return able.select("id", F.transform(sized, lambda u: F.transform(u["v"], lambda x: x / u["size"]))[0].alias("v"), *more)
 
 
 def angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
 
 
-def _by_length(column: pa.Array, most: int = 2000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, matrix) of rows whose lists have one length, so many at once."""
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, matrix) of rows whose lists have one length, `ANGLE_ROWS` at once: angles to every pivot grow with the index."""
     length = column.value_lengths().to_numpy(zero_copy_only=False)
     for d in np.unique(length):
         at = np.flatnonzero(length == d)
-        for i in range(0, len(at), most):
-            some = at[i : i + most]
+        for i in range(0, len(at), ANGLE_ROWS):
+            some = at[i : i + ANGLE_ROWS]
             yield some, column.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), d)
 
 
@@ -285,9 +287,10 @@ def join_work(rows: DataFrame, vector: str, min_similarity: float) -> DataFrame:
 
 
 def _look(cells: Cells, asked: DataFrame, count: int, least: float, but_own: bool) -> DataFrame:
-    """asked(query_id, v, to) -> (query_id, id, similarity): the best of each cell looked into."""
+    """asked(query_id, v, to) -> (query_id, id, similarity): the best of each cell looked into.  With a column s of asked, only rows that may be as good."""
     kinds = dict(cells.rows.dtypes)["id"], dict(asked.dtypes)["query_id"]
-    a, b, _ = _met(cells.rows.select("cell", "id", "v"), asked, cells, 8 * max(cells.pivots, default=1), ["id", "v"], ["query_id", "v"], "query_id")
+    known = ["s"] if "s" in asked.columns else []
+    a, b, _ = _met(cells.rows.select("cell", "id", "v"), asked, cells, 8 * max(cells.pivots, default=1), ["id", "v"], ["query_id", "v", *known], "query_id", min(PART_BYTES, LOOK_BYTES))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "id", "similarity"]
@@ -296,19 +299,20 @@ def _look(cells: Cells, asked: DataFrame, count: int, least: float, but_own: boo
         left = left.sort_by("id")
         x, ids = _matrix(left), left.column("id").to_numpy()
         y, queries = _matrix(right), right.column("query_id").to_numpy()
+        floor = np.maximum(least, right.column("s").to_numpy() - TIE) if known else np.full(len(y), least)
         out = []
-        some = max(1, SCORES // len(x))
+        some = max(1, LOOKS // len(x))
         for i in range(0, len(y), some):
             near = y[i : i + some] @ x.T
-            score = np.round(near, 12)
-            score[near < least] = -np.inf
+            good = near >= floor[i : i + some, None]
             if but_own:
-                score[queries[i : i + some, None] == ids] = -np.inf
-            if len(x) > count:  # all that tie with the last one, so that ids decide
-                last = -np.partition(-score, count - 1, axis=1)[:, count - 1]
-                score[score < last[:, None]] = -np.inf
-            p, q = np.nonzero(score > -np.inf)
-            order = np.lexsort((q, -score[p, q], p))
+                good &= queries[i : i + some, None] != ids
+            many = np.flatnonzero(np.count_nonzero(good, axis=1) > count)
+            if len(many):  # all that tie with the last one, so that ids decide
+                score = np.where(good[many], -np.round(near[many], 12), np.inf)
+                good[many] = score <= np.partition(score, count - 1, axis=1)[:, count - 1, None]
+            p, q = np.nonzero(good)
+            order = np.lexsort((q, -np.round(near[p, q], 12), p))
             p, q = p[order], q[order]
             place = np.arange(len(p)) - np.searchsorted(p, p)
             p, q = p[place < count], q[place < count]
@@ -345,7 +349,9 @@ def search(cells: Cells, queries: DataFrame, count: int = 10, min_similarity: fl
     With `probes` only that many nearest cells are looked into.  Without, all that may hold a better row than the
     worst of a first look into PROBES cells, so the result is exact.  but_own: a row with the query's id doesn't count.
     """
-    asked = unit_rows(queries, "q", "query_id").withColumnRenamed("id", "query_id")
+    # Few rows become many, one for each cell, so they are dealt out first.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    asked = unit_rows(queries, "q", "query_id").withColumnRenamed("id", "query_id").repartition(cores, "query_id")
 
     def nearest(x, pivots, radius, start, used):
         far = angles(x, pivots)
@@ -360,12 +366,12 @@ def search(cells: Cells, queries: DataFrame, count: int = 10, min_similarity: fl
     first = stash(first)
     worst = first.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("s"))
     known = asked.join(worst, F.col("query_id") == F.col("_q"), "left")
-    known = known.select("query_id", "v", F.when(F.col("n") >= count, F.greatest("s", F.lit(min_similarity))).otherwise(F.lit(min_similarity)).alias("s"))
+    known = known.select("query_id", "v", F.when(F.col("n") >= count, F.greatest("s", F.lit(min_similarity))).otherwise(F.lit(min_similarity)).alias("s")).repartition(cores, "query_id")
 
     def rest(x, pivots, radius, start, used):
         far = angles(x, pivots)
         reach = np.arccos(np.clip(used["s"] - TIE, -1.0, 1.0))[:, None] + LOOSE
         return (far - radius <= reach) & ((far - far.min(1, keepdims=True)) / 2 <= reach) & ~nearest(x, pivots, radius, start, used)
 
-    more = _look(cells, _send(known, cells, rest, ("query_id", "v"), ("s",)), count, min_similarity, but_own)
+    more = _look(cells, _send(known, cells, rest, ("query_id", "v", "s"), ("s",)), count, min_similarity, but_own)
     return _top(first.unionByName(more), count)
