@@ -286,6 +286,29 @@ def join_work(rows: DataFrame, vector: str, min_similarity: float) -> DataFrame:
 # --- search ---------------------------------------------------------------------
 
 
+def best_rows(x: np.ndarray, y: np.ndarray, floor: np.ndarray, count: int, own: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of y, rows of x, similarities), a lot of y at once: of unit rows x, in the order of their ids, the best `count` of each y from its floor on.
+
+    own: ids of x and of y, which must differ.
+    """
+    some = max(1, LOOKS // len(x))
+    for i in range(0, len(y), some):
+        near = y[i : i + some] @ x.T
+        good = near >= floor[i : i + some, None]
+        if own:
+            good &= own[1][i : i + some, None] != own[0]
+        many = np.flatnonzero(np.count_nonzero(good, axis=1) > count)
+        if len(many):  # all that tie with the last one, so that ids decide
+            score = np.where(good[many], -np.round(near[many], 12), np.inf)
+            good[many] = score <= np.partition(score, count - 1, axis=1)[:, count - 1, None]
+        p, q = np.nonzero(good)
+        order = np.lexsort((q, -np.round(near[p, q], 12), p))
+        p, q = p[order], q[order]
+        place = np.arange(len(p)) - np.searchsorted(p, p)
+        p, q = p[place < count], q[place < count]
+        yield p + i, q, near[p, q]
+
+
 def _look(cells: Cells, asked: DataFrame, count: int, least: float, but_own: bool) -> DataFrame:
     """asked(query_id, v, to) -> (query_id, id, similarity): the best of each cell looked into.  With a column s of asked, only rows that may be as good."""
     kinds = dict(cells.rows.dtypes)["id"], dict(asked.dtypes)["query_id"]
@@ -300,23 +323,7 @@ def _look(cells: Cells, asked: DataFrame, count: int, least: float, but_own: boo
         x, ids = _matrix(left), left.column("id").to_numpy()
         y, queries = _matrix(right), right.column("query_id").to_numpy()
         floor = np.maximum(least, right.column("s").to_numpy() - TIE) if known else np.full(len(y), least)
-        out = []
-        some = max(1, LOOKS // len(x))
-        for i in range(0, len(y), some):
-            near = y[i : i + some] @ x.T
-            good = near >= floor[i : i + some, None]
-            if but_own:
-                good &= queries[i : i + some, None] != ids
-            many = np.flatnonzero(np.count_nonzero(good, axis=1) > count)
-            if len(many):  # all that tie with the last one, so that ids decide
-                score = np.where(good[many], -np.round(near[many], 12), np.inf)
-                good[many] = score <= np.partition(score, count - 1, axis=1)[:, count - 1, None]
-            p, q = np.nonzero(good)
-            order = np.lexsort((q, -np.round(near[p, q], 12), p))
-            p, q = p[order], q[order]
-            place = np.arange(len(p)) - np.searchsorted(p, p)
-            p, q = p[place < count], q[place < count]
-            out.append((p + i, q, near[p, q]))
+        out = list(best_rows(x, y, floor, count, (ids, queries) if but_own else None))
         p, q, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table([right.column("query_id").take(pa.array(p)), left.column("id").take(pa.array(q)), pa.array(s)], names)
 

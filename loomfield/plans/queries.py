@@ -302,9 +302,9 @@ def _sql(t: Tables, text: str) -> DataFrame:
 
 @query(_sim("fx_chunks", "embedding", "coalesce(cti, 0) >= 0.5e0", "0.1e0", 25))
 def sql_match_chunks(t: Tables) -> DataFrame:
-    sqlfunctions.register_nearest(t.spark, t.chunks)
-    stash(t.asking).createOrReplaceTempView("asking")
-    return _six(t.spark.sql("SELECT query_id, id, similarity FROM asking, LATERAL nearest_chunks(q, match_count => 25, min_similarity => 0.1, min_cti => 0.5)"), "similarity")
+    sqlfunctions.register_asked(t.spark, t.chunks, t.asking)
+    return _six(t.spark.sql("""SELECT query_id, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, id) AS place
+        FROM best_chunks(TABLE(SELECT * FROM loomfield_met WHERE asks OR cti >= 0.5) PARTITION BY (block), 25, 0.1D)) WHERE place <= 25"""), "similarity")
 
 
 @query(_hybrid_sql("c.document_id <> q_document"))

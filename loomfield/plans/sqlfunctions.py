@@ -9,26 +9,32 @@ is one scan and a top-k in each task, and unused columns are not read.
     SELECT a.id, m.* FROM asked a, LATERAL match_chunks(a.v, min_cti => 0.5) m
 
 A lateral search meets each of its vectors with each row, in the JVM, and sorts all of
-these, so it suits the few vectors of a statement.  For many there is `nearest_chunks`
-(`register_nearest`), which takes the best rows of each block of rows at once, and
-`retrieval.nearest`.  Arguments that
+these, so it suits the few vectors of a statement.  For more there is `nearest_chunks`
+(`register_nearest`), which takes the best rows of each block of rows at once, and for a
+table of them `best_chunks` (`register_asked`), whose blocks of vectors meet blocks of
+rows as products, each in a task of bounded size.  Arguments that
 are null match nothing, but `exclude_document` and `owner`, for which null is no limit.
 Vectors that are null, zero or of another length never match; ties go to the lesser id.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm
-from ..operators import graph, retrieval
+from ..operators import cells, graph, retrieval
 from ..operators.shared import stash
 
 #: Similarity from which the edges behind `corpus_cluster_edges` are there.
 EDGE_FLOOR = 0.55
 #: Rows of a block of `nearest_chunks`: of 64 numbers a vector, 0.13 MB.  Spark's nested loop join holds a block once a vector that asks.
 BLOCK_ROWS = 256
+#: Bytes of vectors of a block of rows, and of a block of vectors asked, of `best_chunks`; rows of the smallest block.
+ROWS_BYTES, ASKED_BYTES, LEAST_ROWS = 8 << 20, 4 << 20, 1000
 
 _DOT = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
 _NORM = "sqrt(aggregate({0}, 0D, (s, x) -> s + x * x))"
@@ -133,8 +139,62 @@ def register_nearest(spark: SparkSession, chunks: DataFrame) -> list[str]:
     size = _NORM.format("nearest_chunks.query_embedding")
     scored = f"transform(filter(held, r -> r.cti >= nearest_chunks.min_cti AND size(r.v) = size(nearest_chunks.query_embedding) AND asked > 0 AND asked < double('infinity')), r -> struct(-({like} / (r.n * asked)) AS s, r.id AS id))"
     best = f"SELECT slice(array_sort(filter(scored, x -> -x.s >= nearest_chunks.min_similarity)), 1, nearest_chunks.match_count) AS best FROM (SELECT {scored} AS scored FROM (SELECT held, {size} AS asked FROM loomfield_blocks))"
-    first = f"SELECT slice(array_sort(flatten(collect_list(best))), 1, nearest_chunks.match_count) AS best FROM ({best})"
+    # Exploded before they are gathered: the optimizer would put the scores into the aggregate, which then sorts whole blocks, one for each vector.
+    first = f"SELECT slice(array_sort(collect_list(x)), 1, nearest_chunks.match_count) AS best FROM (SELECT explode(best) AS x FROM ({best}))"
     kind = dict(chunks.dtypes)["id"]
     arguments = "query_embedding ARRAY<DOUBLE>, match_count INT DEFAULT 10, min_similarity DOUBLE DEFAULT 0, min_cti DOUBLE DEFAULT 0"
     _function(spark, "nearest_chunks", arguments, f"TABLE(id {kind}, similarity double)", f"SELECT e.id, -e.s FROM (SELECT explode(best) AS e FROM ({first}))")
     return ["nearest_chunks"]
+
+
+class BestChunks:
+    """Table function over a block of rows and a block of vectors: the best rows of each vector; rows of other lengths never match."""
+
+    def __init__(self):
+        self.held, self.count, self.least = [], 0, 0.0
+
+    def eval(self, met: pa.RecordBatch, match_count: pa.Array, min_similarity: pa.Array):
+        if met.num_rows:
+            self.held.append(met)
+            self.count, self.least = match_count[0].as_py() or 0, min_similarity[0].as_py()
+
+    def terminate(self):
+        if not self.held or self.count < 1 or self.least is None:
+            return
+        met = pa.Table.from_batches(self.held)
+        self.held = []
+        asks = met.column("asks")
+        asked, rows = met.filter(asks), met.filter(pa.compute.invert(asks)).sort_by("id")
+        wide, long = asked.column("v").combine_chunks().value_lengths(), rows.column("v").combine_chunks().value_lengths()
+        for d in pa.compute.unique(wide).to_pylist():
+            a, r = asked.filter(pa.compute.equal(wide, d)), rows.filter(pa.compute.equal(long, d))
+            if r.num_rows:
+                x, y = cells._matrix(r), cells._matrix(a)
+                for p, q, s in cells.best_rows(x, y, np.full(len(y), self.least), self.count):
+                    yield pa.table([a.column("query_id").take(pa.array(p)), r.column("id").take(pa.array(q)), pa.array(s)], ["query_id", "id", "similarity"])
+
+
+def register_asked(spark: SparkSession, chunks: DataFrame, asked: DataFrame) -> list[str]:
+    """Create the view `loomfield_met` and the table function `best_chunks`, which answer a table asked(query_id, q) at once::
+
+        SELECT * FROM best_chunks(TABLE(SELECT * FROM loomfield_met WHERE asks OR cti >= 0.5) PARTITION BY (block), 25, 0.1D)
+
+    The view has each chunk once for each block of vectors (block, id, cti, v), and each vector once for each block of
+    chunks (block, asks, query_id, v); the function gives the best rows (query_id, id, similarity) of a vector in each block,
+    so the caller keeps the first of these.  What a task holds are the bytes of two blocks, however many rows there are.
+    Vectors that are null, zero or not finite are not in the view.
+    """
+    kinds = dict(chunks.dtypes)["id"], dict(asked.dtypes)["query_id"]
+    rows = stash(cells.unit_rows(chunks.select("id", "embedding", F.coalesce("cti", F.lit(0.0)).alias("cti")), "embedding", more=("cti",)))
+    vectors = stash(cells.unit_rows(asked, "q", "query_id").withColumnRenamed("id", "query_id"))
+    (n, wide), (m, long) = (df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first() for df in (rows, vectors))
+    # At least a few blocks a core, where that leaves them rows enough.
+    ours = max(1, -(-n * 8 * wide // ROWS_BYTES), min(n // LEAST_ROWS, 4 * spark.sparkContext.defaultParallelism))
+    theirs = max(1, -(-m * 8 * long // ASKED_BYTES))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    a = rows.select(F.pmod(F.xxhash64("id"), F.lit(ours)).alias("_r"), every(theirs).alias("_q"), F.lit(False).alias("asks"), F.lit(None).cast(kinds[1]).alias("query_id"), "id", "cti", "v")
+    b = vectors.select(every(ours).alias("_r"), F.pmod(F.xxhash64("query_id"), F.lit(theirs)).alias("_q"), F.lit(True).alias("asks"), "query_id", F.lit(None).cast(kinds[0]).alias("id"), F.lit(None).cast("double").alias("cti"), "v")
+    both = a.unionByName(b)
+    both.select((F.col("_r") * theirs + F.col("_q")).alias("block"), "asks", "query_id", "id", "cti", "v").createOrReplaceTempView("loomfield_met")
+    spark.udtf.register("best_chunks", F.arrow_udtf(BestChunks, returnType=f"query_id {kinds[1]}, id {kinds[0]}, similarity double"))
+    return ["best_chunks"]

@@ -111,6 +111,35 @@ def test_many_vectors_meet_blocks_and_sort_no_pairs(spark, tables, monkeypatch):
     assert spark.sql("SELECT query_id, m.* FROM asked, LATERAL nearest_chunks(q) m").count() == 0
 
 
+def test_scores_of_a_block_are_not_put_into_the_aggregate(spark, tables):
+    """Its sort would hold a block once for every vector that asks."""
+    chunks, documents, clusters = tables
+    sqlfunctions.register_nearest(spark, chunks)
+    chunks.selectExpr("id query_id", "embedding q").createOrReplaceTempView("asked")
+    plan = spark.sql("SELECT query_id, m.id FROM asked, LATERAL nearest_chunks(q) m")._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.split("\n") if "collect_list" in line]
+    assert gathered and not any("held" in line for line in gathered)
+
+
+def test_a_table_of_vectors_meets_blocks_of_bounded_size(spark, tables, monkeypatch):
+    chunks, documents, clusters = tables
+    monkeypatch.setattr(sqlfunctions, "ROWS_BYTES", 8 * 3 * 9)
+    monkeypatch.setattr(sqlfunctions, "ASKED_BYTES", 8 * 3 * 11)
+    chunks = chunks.unionByName(chunks.where("id = 5"))
+    asked = chunks.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = asked.unionByName(asked.where("query_id = 3").withColumn("query_id", F.lit(1003).cast("long")))
+    assert sqlfunctions.register_asked(spark, chunks, asked) == ["best_chunks"]
+    met = spark.table("loomfield_met").groupBy("asks").agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks")).collect()
+    assert {r.asks: (r.n, r.blocks) for r in met} == {False: (43 * 4, 20), True: (44 * 5, 20)}
+    for count, least, cti in ((4, 0.0, 0.0), (60, -1.0, 0.0), (5, 0.3, 0.4)):
+        found = spark.sql(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, id) AS place
+            FROM best_chunks(TABLE(SELECT * FROM loomfield_met WHERE asks OR cti >= {cti}D) PARTITION BY (block), {count}, {least}D)) WHERE place <= {count}""")
+        want = retrieval.nearest(chunks.where(F.coalesce("cti", F.lit(0.0)) >= cti), asked, "embedding", count, least)
+        assert sorted(rows(found, "query_id", "id", "similarity")) == sorted(rows(want, "query_id", "id", "similarity")) and found.count()
+    sqlfunctions.register_asked(spark, chunks.limit(0), asked)
+    assert spark.sql("SELECT * FROM best_chunks(TABLE(loomfield_met) PARTITION BY (block), 5, 0D)").count() == 0
+
+
 def test_a_call_reads_only_what_it_needs(spark, tables, tmp_path):
     chunks, documents, clusters = tables
     chunks.write.parquet(str(tmp_path / "chunks"))
