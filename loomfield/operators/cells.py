@@ -9,10 +9,10 @@ the triangle inequality and the plane between two pivots.  Cells beyond that
 bound are never met.  Both bounds are loosened by more than arccos can err.
 
 Pivots are means of a bounded sample (`SAMPLE` rows, `SAMPLE_BYTES`): for an index as
-many as the square root of the rows, for a join one for `CELL_ROWS` rows, as each
-visit moves a row; `MOST_PIVOTS` at most.  Each row is placed, sampled or not.  A cell with more than `PART_BYTES` of vectors is met in parts, and its
+many as the square root of the rows, for a join one for `CELL_ROWS` rows; `MOST_PIVOTS`
+at most.  Each row is placed, sampled or not.  A cell with more than `PART_BYTES` of vectors is met in parts, and its
 visitors likewise, so a vector that a third of the rows share makes many tasks,
-not a large one.
+not a large one.  A join moves rows to groups of cells, not to each cell.
 
 An index is two tables in a folder: rows by cell, and a row for each cell with
 pivot, radius and count.  A search with `probes` meets that many nearest cells,
@@ -41,8 +41,8 @@ from .shared import stash
 SAMPLE, SAMPLE_BYTES, MOST_PIVOTS, PIVOT_BYTES, ROUNDS = 20_000, 32 << 20, 1024, 16 << 20, 8
 #: Rows a cell of a join.
 CELL_ROWS = 1000
-#: Bytes of vectors of a part of a cell, or of its visitors; of a join, where a task may return all pairs of both; of a search, whose visitors grow with the rows.
-PART_BYTES, JOIN_BYTES, LOOK_BYTES = 16 << 20, 1 << 20, 4 << 20
+#: Bytes of vectors of a part of a cell, or of its visitors; of a group of cells of a join, and of a lot of its visitors: what a join moves is the square of the input over these; of a search, whose visitors grow with the rows.
+PART_BYTES, JOIN_BYTES, LOOK_BYTES = 16 << 20, 8 << 20, 4 << 20
 #: Similarities that a task of a join and of a search holds at once, rows whose angles to all pivots it holds at once, and bytes of rows that it sends at once.
 SCORES, LOOKS, ANGLE_ROWS, SEND_BYTES = 1 << 20, 1 << 18, 256, 4 << 20
 #: Radians by which bounds are loosened, and similarity by which the worst result is.
@@ -95,7 +95,7 @@ def fit(x: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit pivots: seeds spread over the sample's order, then means of what is nearest to each."""
     pivots = x[np.unique(np.linspace(0, len(x) - 1, count).astype(int))]
     for _ in range(rounds):
-        near = (x @ pivots.T).argmax(1)
+        near = np.concatenate([(x[i : i + ANGLE_ROWS] @ pivots.T).argmax(1) for i in range(0, len(x), ANGLE_ROWS)])
         total = np.zeros_like(pivots)
         np.add.at(total, near, x)
         size = np.linalg.norm(total, axis=1, keepdims=True)
@@ -151,8 +151,11 @@ def load(spark: SparkSession, folder: str) -> Cells:
     return Cells(rows, {d: np.array(p) for d, p in pivots.items()}, first, np.array([r["size"] for r in about], np.int64), np.array([r.radius for r in about]))
 
 
-def _send(rows: DataFrame, cells: Cells, choose: Callable[[np.ndarray, np.ndarray, np.ndarray, int, dict], np.ndarray], keep: tuple[str, ...], use: tuple[str, ...] = ()) -> DataFrame:
-    """Each row once for each cell that `choose(x, pivots, radii, first, used columns)` marks: (keep ..., to)."""
+def _send(rows: DataFrame, cells: Cells, choose: Callable[[np.ndarray, np.ndarray, np.ndarray, int, dict], np.ndarray], keep: tuple[str, ...], use: tuple[str, ...] = (), number: dict[int, int] | None = None) -> DataFrame:
+    """Each row once for each cell that `choose(x, pivots, radii, first, used columns)` marks: (keep ..., to).
+
+    number: what `choose` marks are not cells; the first one's number, by length.
+    """
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +167,10 @@ def _send(rows: DataFrame, cells: Cells, choose: Callable[[np.ndarray, np.ndarra
                 used = {c: b.column(c).to_numpy(zero_copy_only=False)[at] for c in use}
                 who, to = np.nonzero(choose(x, p, radius, start, used))
                 # A row may go to every cell, so copies leave in bounded lots.
+                begin = number[x.shape[1]] if number else start
                 some, rows_of = max(1, SEND_BYTES // (8 * x.shape[1])), b.select(list(keep))
                 for i in range(0, len(who), some):
-                    yield rows_of.take(pa.array(at[who[i : i + some]])).append_column("to", pa.array(start + to[i : i + some]))
+                    yield rows_of.take(pa.array(at[who[i : i + some]])).append_column("to", pa.array(begin + to[i : i + some]))
 
     lean = Cells(None, cells.pivots, cells.first, cells.size, cells.radius)
     cells = lean  # what tasks get: arrays only
@@ -213,7 +217,7 @@ def _visiting(cells: Cells, reach: float) -> DataFrame:
         far = angles(x, pivots)
         home = used["cell"] - start
         own = far[np.arange(len(x)), home]
-        near = (far - radius <= reach + LOOSE) & ((far - own[:, None]) / 2 <= reach + LOOSE)
+        near = _reaches(far, own, radius, reach)
         other = np.arange(len(pivots))
         goes = np.where((home[:, None] + other) % 2 == 0, home[:, None] < other, home[:, None] > other)
         return near & goes
@@ -221,54 +225,180 @@ def _visiting(cells: Cells, reach: float) -> DataFrame:
     return _send(cells.rows, cells, choose, ("id", "v"), ("cell",))
 
 
+def _look_up(values: np.ndarray, at):
+    """Column: the value at a place."""
+    return F.get(F.array(*[F.lit(n).cast("long") for n in values.tolist()]), at.cast("int"))
+
+
+@dataclass
+class Groups:
+    """Cells, or hash parts of large ones, as pieces, and pieces of one length, one after another, in groups."""
+
+    parts: np.ndarray  # of each cell
+    piece: np.ndarray  # first one of each cell
+    cell: np.ndarray  # of each piece
+    group: np.ndarray  # of each piece
+    first: dict[int, tuple[int, int, list[int]]]  # by length: first piece, end, where each group begins
+
+
+def _grouped(cells: Cells, most: int) -> Groups:
+    """Groups of about `most` bytes of vectors."""
+    parts = np.ones(len(cells.size), np.int64)
+    for d, p in cells.pivots.items():
+        at = slice(cells.first[d], cells.first[d] + len(p))
+        parts[at] = _parts(cells.size[at], 8 * d, most)
+    piece = np.cumsum(parts) - parts
+    cell = np.repeat(np.arange(len(parts)), parts)
+    group, first, number = np.zeros(len(cell), np.int64), {}, -1
+    for d, p in cells.pivots.items():
+        one, two = int(piece[cells.first[d]]), int(piece[cells.first[d]] + parts[cells.first[d] : cells.first[d] + len(p)].sum())
+        held, begins = most, []
+        for i in range(one, two):
+            own = int(cells.size[cell[i]]) * 8 * d // int(parts[cell[i]])
+            if not begins or held + own > most:
+                number, held = number + 1, 0
+                begins.append(i - one)
+            held += own
+            group[i] = number
+        first[d] = one, two, begins
+    return Groups(parts, piece, cell, group, first)
+
+
+def _goes(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Of two groups the rows of one visit the other, and so of two pieces of a group; a piece's rows visit their own."""
+    one, two = group[a], group[b]
+    same = one == two
+    one, two = np.where(same, a, one), np.where(same, b, two)
+    return (one == two) | (((one + two) % 2 == 0) == (one < two))
+
+
+def _reaches(far: np.ndarray, own: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+    """Whether rows may have a partner in cells at the angles `far`, of their own cell at `own`."""
+    return (far - radius <= reach + LOOSE) & ((far - own[:, None]) / 2 <= reach + LOOSE)
+
+
 def similar_pairs(rows: DataFrame, vector: str, min_similarity: float) -> DataFrame:
-    """(src_id, dst_id, similarity) of all pairs src_id < dst_id at or above the threshold."""
+    """(src_id, dst_id, similarity) of all pairs src_id < dst_id at or above the threshold.
+
+    A row goes once to each group of cells that may hold a partner, not to each cell: what is moved is n rows times n over
+    the rows of a group.  A task has a group and a bounded lot of its visitors, meets a visitor only with the cells of the
+    group that may hold a partner, and sends pairs as it finds them.
+    """
     cells = build(rows, vector, cell_rows=CELL_ROWS)
     kind = dict(rows.dtypes)["id"]
     reach = math.acos(max(-1.0, min(1.0, min_similarity - 1e-12)))
-    width = 8 * max(cells.pivots, default=1)
-    home = cells.rows.select("cell", "id", "v")
-    # Rows of a cell in several parts visit the parts after their own.
-    most = min(PART_BYTES, JOIN_BYTES)
-    parts = _parts(cells.size, width, most)
-    a, b, _ = _met(home, _visiting(cells, reach), cells, width, ["id", "v"], ["id", "v"], "id", most)
-    b = b.withColumn("own", F.lit(False))
-    if (parts > 1).any():
-        n = _parts_of(parts, "cell")
-        part = F.pmod(F.xxhash64(F.lit(1), "id"), n)
-        later = home.where((n > 1) & (part < n - 1)).select("cell", F.explode(F.sequence(part + 1, n - 1)).alias("part"), F.lit(0).cast("long").alias("visit"), "id", "v", F.lit(True).alias("own"))
-        b = b.unionByName(later)
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-
-        def add(x, y, ids, others, same=False):
-            some = max(1, SCORES // len(y))
-            for i in range(0, len(x), some):
-                near = x[i : i + some] @ y.T
-                good = near >= min_similarity - 1e-12
-                if same:
-                    good &= np.arange(i, i + len(near))[:, None] < np.arange(len(y))
-                p, q = np.nonzero(good)
-                one, two, s = ids[p + i], others[q], near[p, q]
-                swap = one > two
-                src, dst = np.where(swap, two, one), np.where(swap, one, two)
-                differ = src != dst
-                out.append((src[differ], dst[differ], s[differ]))
-
-        if left.num_rows:
-            x, ids = _matrix(left), left.column("id").to_numpy()
-            if left.column("visit")[0].as_py() == 0:
-                add(x, x, ids, ids, True)
-            if right.num_rows:
-                add(x, _matrix(right), ids, right.column("id").to_numpy())
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        kinds = (id_type, id_type, pa.float64())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["src_id", "dst_id", "similarity"])
+    # Bytes of a side of a task: fewer where that gives each core two tasks.
+    total = sum(int(cells.size[cells.first[d] : cells.first[d] + len(p)].sum()) * 8 * d for d, p in cells.pivots.items())
+    most = max(1, min(PART_BYTES, JOIN_BYTES, -(-total // math.isqrt(4 * rows.sparkSession.sparkContext.defaultParallelism))))
+    groups = _grouped(cells, most)
 
+    def choose(x, pivots, radius, start, used):
+        far = angles(x, pivots)
+        home = used["cell"] - start
+        near = _reaches(far, far[np.arange(len(x)), home], radius, reach)
+        near[np.arange(len(x)), home] = True
+        one, two, begins = groups.first[x.shape[1]]
+        met = near[:, groups.cell[one:two] - start] & _goes(used["piece"][:, None], np.arange(one, two), groups.group)
+        return np.logical_or.reduceat(met, begins, axis=1)
+
+    part = F.pmod(F.xxhash64(F.lit(1), "id"), _parts_of(groups.parts, "cell"))
+    split = bool((groups.parts > 1).any())
+    home = cells.rows.withColumn("piece", _look_up(groups.piece, F.col("cell")) + part if split else F.col("cell"))
+    visitors = _send(home, cells, choose, ("id", "piece", "v"), ("cell", "piece"), {d: int(groups.group[one]) for d, (one, _, _) in groups.first.items()})
+    count = np.zeros(int(groups.group.max(initial=0)) + 1, np.int64)
+    for r in visitors.groupBy("to").count().collect():
+        count[r.to] = r["count"]
+    width = np.ones(len(count), np.int64)
+    for d, (one, two, _) in groups.first.items():
+        width[groups.group[one:two]] = 8 * d
+    visits = _parts(count, width, most)
+    columns = ["id", "piece", "v"]
+    a = home.select((_look_up(groups.group, F.col("piece")) if len(count) > 1 else F.lit(0).cast("long")).alias("group"), *columns)
+    a = a.select("group", F.explode(F.sequence(F.lit(0).cast("long"), _parts_of(visits, "group") - 1)).alias("visit"), *columns)
+    b = visitors.select(F.col("to").alias("group"), F.pmod(F.xxhash64(F.lit(2), "id"), _parts_of(visits, "to")).alias("visit"), *columns)
+    key = ["group", "visit"]
+
+    def pack(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Both sides of a task as one row, so that its pairs needn't be one table."""
+        out = {}
+        for side, table in (("a", left), ("b", right)):
+            for c in table.column_names:
+                if c not in key:
+                    values = table.column(c).combine_chunks()
+                    values = values.flatten() if c == "v" else values
+                    out[f"{side}_{c}"] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.table(out)
+
+    packed = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(pack, ", ".join(f"{s}_id array<{kind}>, {s}_piece array<long>, {s}_v array<double>" for s in "ab"))
+    compare = _compare(Cells(None, cells.pivots, cells.first, cells.size, cells.radius), groups, min_similarity, reach, kind)
+    return packed.mapInArrow(compare, f"src_id {kind}, dst_id {kind}, similarity double")
+
+
+def _alike(y: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of y, rows of x, similarities) at or above the threshold: single precision says which may be, double which are."""
+    d = x.shape[1]
+    score = y.astype(np.float32) @ x.astype(np.float32).T
+    # Rounding of either side, and of sums of products that are one at most together, twice over.
+    able = np.zeros(-(-score.size // 8) * 8, bool)
+    np.greater_equal(score, np.float32(least - (d + 4) * 1.2e-7), out=able[: score.size].reshape(score.shape))
+    few = np.flatnonzero(able.view(np.uint64))  # few of them, so eight are passed at once
+    at = (few[:, None] * 8 + np.arange(8)).reshape(-1)
+    p, q = np.divmod(at[able[at]], len(x))
+    if len(p) > SCORES // 64:
+        s = (y @ x.T)[p, q]
+    else:
+        s = np.einsum("ij,ij->i", y[p], x[q])
+    good = s >= least - 1e-12
+    return p[good], q[good], s[good]
+
+
+def _compare(cells: Cells, groups: Groups, least: float, reach: float, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed tasks -> pairs, as they are found."""
     id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    key = ["cell", "part", "visit"]
-    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(compare, f"src_id {kind}, dst_id {kind}, similarity double")
+
+    def lots(row: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held = {c: row.column(c).flatten().to_numpy(zero_copy_only=False) for c in row.schema.names}
+        ids, others, of, by = held["a_id"], held["b_id"], held["a_piece"], held["b_piece"]
+        if not len(ids) or not len(others):
+            return
+        x, y = held["a_v"].reshape(len(ids), -1), held["b_v"].reshape(len(others), -1)
+        pivots, radius, start = cells.of(x.shape[1])
+        own_cell = groups.cell[by] - start
+        own = np.concatenate([np.arccos(np.clip(np.einsum("ij,ij->i", y[i : i + ANGLE_ROWS], pivots[own_cell[i : i + ANGLE_ROWS]]), -1.0, 1.0)) for i in range(0, len(y), ANGLE_ROWS)])
+        for piece in np.unique(of):
+            mine = np.flatnonzero(of == piece)
+            z, zid, cell = x[mine], ids[mine], groups.cell[piece] - start
+            far = angles(y, pivots[cell : cell + 1])
+            near = (_reaches(far, own, radius[cell : cell + 1], reach)[:, 0] | (own_cell == cell)) & _goes(by, piece, groups.group)
+            some = max(1, SCORES // len(z))
+            for same in (False, True):
+                who = np.flatnonzero(near & ((by == piece) == same))
+                for i in range(0, len(who), some):
+                    at = who[i : i + some]
+                    p, q, s = _alike(y[at], z, least)
+                    one, two = others[at[p]], zid[q]
+                    keep = one < two if same else one != two
+                    one, two, s = one[keep], two[keep], s[keep]
+                    swap = one > two
+                    yield np.where(swap, two, one), np.where(swap, one, two), s
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                out, n = [], 0
+                for found in lots(b.slice(i, 1)):
+                    out.append(found)
+                    n += len(found[0])
+                    if n >= SCORES // 16:
+                        yield pairs(out)
+                        out, n = [], 0
+                if n:
+                    yield pairs(out)
+
+    def pairs(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*out, strict=True), (id_type, id_type, pa.float64()), strict=True)], ["src_id", "dst_id", "similarity"])
+
+    return compare
 
 
 def join_work(rows: DataFrame, vector: str, min_similarity: float) -> DataFrame:

@@ -180,3 +180,60 @@ def test_a_second_look_returns_only_what_may_be_as_good(spark, hot, monkeypatch)
     first, more = (listed(x) for x in looks)
     u = hot / np.linalg.norm(hot, axis=1, keepdims=True)
     assert all(len(first[q]) < 7 or u[q] @ u[i] >= np.sort(u[first[q]] @ u[q])[-7] - 1e-11 for q in more for i in more[q])
+
+
+def test_a_join_moves_a_row_once_to_a_group_of_cells(spark, monkeypatch):
+    """At 0 nothing can be skipped: each row visited half of all cells, and their rows were moved once for each lot of visitors."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    monkeypatch.setattr(cells, "CELL_ROWS", 25)
+    seen, apply = [], PandasCogroupedOps.applyInArrow
+
+    def counted(self, f, schema):
+        seen.extend((self._gd1._df, self._gd2._df))
+        return apply(self, f, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", counted)
+    x = np.random.default_rng(3).normal(size=(1000, 6))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = cells.similar_pairs(frame(spark, x, False), "v", 0.0)
+    assert found.count() == np.count_nonzero(np.triu(u @ u.T >= -1e-12, 1))
+    # 40 cells in 5 groups, for 4 cores: half of them a row, and a few lots of visitors a group; half of the cells before.
+    assert sum(df.count() for df in seen) < 7 * 1000
+
+
+def test_pairs_leave_a_task_as_they_are_found():
+    """All 3,000 x 3,000 pairs match: 216 MB as one table."""
+    n, d = 3000, 4
+    one = np.zeros((n, d))
+    one[:, 0] = 1.0
+    made = cells.Cells(None, {d: one[:1]}, {d: 0}, np.array([2 * n]), np.array([0.0]))
+    groups = cells._grouped(made, n * 8 * d)
+    assert groups.cell.tolist() == [0, 0] and groups.group.tolist() == [0, 1]
+    side = lambda ids, piece: [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in (ids, np.full(n, piece), one.reshape(-1))]
+    names = ["a_id", "a_piece", "a_v", "b_id", "b_piece", "b_v"]
+    compare = cells._compare(made, groups, 0.5, float(np.arccos(0.5)), "bigint")
+    # Of two groups the rows of one visit the other: here those of the second.
+    for home, visitor, pairs in ((0, 0, n * (n - 1) // 2), (0, 1, n * n), (1, 0, 0)):
+        batch = pa.RecordBatch.from_arrays([c for p in (home, visitor) for c in side(np.arange(n) + p * n, p)], names)
+        tracemalloc.start()
+        try:
+            sizes = []
+            for b in compare(iter([batch])):
+                assert (b["src_id"].to_numpy() < b["dst_id"].to_numpy()).all()
+                sizes.append(b.num_rows)
+                del b
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert sum(sizes) == pairs and peak < 150e6
+
+
+def test_single_precision_drops_no_pair():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T
+    for least in (near[3, 17], near[200, 399], 0.0, -1.0, 1.0):  # pairs that are exactly at the threshold
+        p, q, s = cells._alike(x, x, least)
+        assert set(zip(p.tolist(), q.tolist())) == set(zip(*(c.tolist() for c in np.nonzero(near >= least - 1e-12)))) and np.allclose(s, near[p, q], atol=1e-14)
