@@ -39,9 +39,13 @@ def page_sentences(page: Column) -> Column:
     return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+", -1), lambda s: F.trim(s)), lambda s: F.length(s) > 15)
 
 
+#: A token of a lower-cased text, in Java's syntax and in Python's.
+TOKEN = "[a-zæøåäöü0-9'-]{3,}"
+
+
 def tokenize(text: Column) -> Column:
     """Lower-cased tokens of more than two characters; others than a-z, Nordic letters, digits, ' and - part them."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-zæøåäöü0-9'-]{3,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def term_tokens(text: Column) -> Column:

@@ -5,6 +5,8 @@ Units are (document_id, idx, text): idx orders the units of a document.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from itertools import pairwise
 
 import numpy as np
@@ -16,12 +18,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import STOP_WORDS
-from ..functions.text import term_tokens, tokenize
+from ..functions.text import TOKEN, term_tokens, tokenize
 from .shared import scratch, stash
 
 VOCABULARY, LEAST_DF, MOST_SHARE = 100, 2, 0.8
-#: Units of a packed row: Spark's reader holds 4,096 rows at once, here 100 MB.
+#: Units of a packed row: Spark's reader holds 4,096 rows at once, here 100 MB at most.
 BLOCK = 32
+_STOP = frozenset(STOP_WORDS)
+#: Tokens of documents that a task counts before it sends what it has.
+COUNTED = 200_000
 
 
 def distinct_terms(units: DataFrame) -> DataFrame:
@@ -75,8 +80,11 @@ def vocabulary(terms: DataFrame, units: DataFrame, size: int = VOCABULARY) -> Da
 
     terms: distinct_terms or token_counts of the units.  Only partial counts of (document, token) are shuffled.
     """
+    return _chosen(terms.groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("df"), *_seen()), units, size)
+
+
+def _chosen(df: DataFrame, units: DataFrame, size: int) -> DataFrame:
     n = units.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-    df = terms.groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("df"), *_seen())
     able = df.where(F.col("df") >= LEAST_DF).join(n, "document_id").where(F.col("df") < F.col("n") * MOST_SHARE)
     return _ranked(able, ["document_id"], "df").where(F.col("rank") <= size).select("document_id", "token", "df", "n", "rank")
 
@@ -140,19 +148,107 @@ def _listed(at, values):
 
 
 def _blocks(vectors: DataFrame) -> DataFrame:
-    """(document_id, idx, h, v): up to BLOCK units of a document that share an Arrow batch as a row, h the hashes of idx, v the vectors end to end; nothing is shuffled."""
+    """(document_id, idx, h, v): up to BLOCK units of a document that share an Arrow batch as a row, h the hashes of idx; of the vectors' numbers that aren't zero how many a unit has (vn), their places (vr) and they themselves (v), as bytes; nothing is shuffled."""
     kinds = dict(vectors.dtypes)
 
     def pack(batches):
         for b in batches:
             b, ends = _in_order(b)
-            at = np.array([i for one, two in pairwise(ends) for i in range(one, two, BLOCK)], np.int64)
-            cut = np.append(at, b.num_rows)
             wide = np.append(0, np.cumsum(b.column("vector").value_lengths().to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([b.column("document_id").take(pa.array(at)), _listed(cut, b.column("idx")), _listed(cut, b.column("h")), _listed(wide[cut], b.column("vector").flatten())], ["document_id", "idx", "h", "v"])
+            yield _packed(b, ends, b.column("vector").flatten().to_numpy(zero_copy_only=False), wide)
 
     rows = vectors.where("document_id IS NOT NULL").select("document_id", "idx", F.xxhash64("idx").alias("h"), "vector")
-    return rows.mapInArrow(pack, f"document_id {kinds['document_id']}, idx array<{kinds['idx']}>, h array<long>, v array<double>")
+    return rows.mapInArrow(pack, f"document_id {kinds['document_id']}, idx array<{kinds['idx']}>, h array<long>, vn binary, vr binary, v binary")
+
+
+def _packed(b, ends, numbers: np.ndarray, wide: np.ndarray):
+    """Blocks of rows (document_id, idx, h) in order; wide: where the numbers of each row begin."""
+    at = np.array([i for one, two in pairwise(ends) for i in range(one, two, BLOCK)], np.int64)
+    cut = np.append(at, b.num_rows)
+    at_number = np.flatnonzero(numbers)
+    row = np.searchsorted(wide, at_number, side="right") - 1
+    held = np.bincount(row, minlength=b.num_rows)
+    until = np.append(0, np.cumsum(held))[cut]
+    parts = _bytes(held.astype(np.uint16), cut), _bytes((at_number - wide[row]).astype(np.uint16), until), _bytes(numbers[at_number].astype(np.float64), until)
+    return pa.RecordBatch.from_arrays([b.column("document_id").take(pa.array(at)), _listed(cut, b.column("idx")), _listed(cut, b.column("h")), *parts], ["document_id", "idx", "h", "vn", "vr", "v"])
+
+
+def _bytes(values: np.ndarray, cut: np.ndarray):
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _numbers(column, kind) -> np.ndarray:
+    if not len(column):
+        return np.empty(0, kind)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind)
+
+
+def term_counts(units: DataFrame) -> DataFrame:
+    """(document_id, token, df, seen, first_pos) of parts of the units: as `distinct_terms` counted by document, each unit's tokens cut once, in Python, and only counts leave a task."""
+    kinds = dict(units.dtypes)
+
+    def count(batches):
+        find, found, n = re.compile(TOKEN).findall, {}, 0
+        for b in batches:
+            for doc, idx, low in zip(*(b.column(c).to_pylist() for c in ("document_id", "idx", "low")), strict=True):
+                own = found.setdefault(doc, {})
+                before = len(own)
+                for pos, token in enumerate(t for t in dict.fromkeys(find(low)) if t not in _STOP):
+                    e = own.get(token)
+                    if e is None:
+                        own[token] = [1, idx, pos]
+                    else:
+                        e[0] += 1
+                        if idx is not None and (e[1] is None or idx < e[1]):
+                            e[1], e[2] = idx, pos
+                n += len(own) - before
+                if n >= COUNTED:
+                    yield sent(found)
+                    found, n = {}, 0
+        if n:
+            yield sent(found)
+
+    def sent(found):
+        rows = [(doc, token, *e) for doc, own in found.items() for token, e in own.items()]
+        types = (pa.string() if kinds["document_id"] == "string" else None, pa.string(), pa.int64(), None, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["document_id", "token", "df", "seen", "first_pos"])
+
+    low = units.where("text IS NOT NULL").select("document_id", F.col("idx").cast("long").alias("idx"), F.lower("text").alias("low"))
+    return low.mapInArrow(count, f"document_id {kinds['document_id']}, token string, df long, seen long, first_pos int")
+
+
+def text_blocks(units: DataFrame, size: int = VOCABULARY) -> DataFrame:
+    """Packed units(document_id, idx, text), with the vectors that `dense` makes of `tfidf`.
+
+    Tokens are cut and counted in Python, a batch of texts at a time, once for the vocabulary and once for the vectors; no
+    token of a unit is shuffled.  A row is a unit: rows that repeat (document_id, idx) are counted apart.
+    """
+    kinds = dict(units.dtypes)
+    df = term_counts(units).groupBy("document_id", "token").agg(F.sum("df").alias("df"), F.min("seen").alias("seen"), F.min_by("first_pos", "seen").alias("first_pos"))
+    vocab = _chosen(df, units, size).withColumn("idf", F.ln(F.col("n") / F.col("df")))
+    held = F.array_sort(F.collect_list(F.struct("rank", "token", "idf")))
+    listed = stash(vocab.groupBy("document_id").agg(held.alias("t")).select("document_id", F.col("t.rank").alias("rank"), F.col("t.token").alias("token"), F.col("t.idf").alias("idf")))
+    rows = units.where("document_id IS NOT NULL").select("document_id", "idx", F.xxhash64("idx").alias("h"), F.lower("text").alias("low"))
+
+    def pack(batches):
+        find = re.compile(TOKEN).findall
+        for b in batches:
+            b, ends = _in_order(b)
+            numbers, low = np.zeros((b.num_rows, size)), b.column("low").to_pylist()
+            for one, two in pairwise(ends):
+                if one == two or not b.column("token")[one].is_valid:
+                    continue
+                terms = {t: (r - 1, x) for t, r, x in zip(*(b.column(c)[one].as_py() for c in ("token", "rank", "idf")), strict=True)}
+                for i in range(one, two):
+                    counts = Counter(find(low[i] or ""))
+                    most = max(counts.values(), default=1)
+                    for token in counts.keys() & terms.keys():
+                        r, x = terms[token]
+                        numbers[i, r] = counts[token] / most * x
+            yield _packed(b, ends, numbers.reshape(-1), np.arange(b.num_rows + 1) * size)
+
+    return rows.join(listed, "document_id", "left").mapInArrow(pack, f"document_id {kinds['document_id']}, idx array<{kinds['idx']}>, h array<long>, vn binary, vr binary, v binary")
 
 
 def _block_seeds(blocks: DataFrame, size: int) -> DataFrame:
@@ -177,7 +273,13 @@ def _block_seeds(blocks: DataFrame, size: int) -> DataFrame:
 
 
 def _matrix(batch, column: str, size: int) -> np.ndarray:
-    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    values = batch.column(column)
+    if pa.types.is_binary(values.type):
+        held = _numbers(batch.column("vn"), np.uint16)
+        out = np.zeros((len(held), size))
+        out[np.repeat(np.arange(len(held)), held), _numbers(batch.column("vr"), np.uint16)] = _numbers(values, np.float64)
+        return out
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -193,7 +295,12 @@ def kmeans(vectors: DataFrame, rounds: int = 20, size: int = VOCABULARY) -> Data
     many of its units the centroids before put elsewhere, so neither units nor their clusters are shuffled or written.
     Units without a document are left out.
     """
-    kinds = dict(vectors.dtypes)
+    return clustered(_blocks(vectors), rounds, size)
+
+
+def clustered(packed: DataFrame, rounds: int = 20, size: int = VOCABULARY) -> DataFrame:
+    """`kmeans` of packed units."""
+    kinds = {c: k.removeprefix("array<").removesuffix(">") for c, k in packed.dtypes}
     listed = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cluster", c))), lambda x: x[c]))
 
     def sums(batches):
@@ -215,12 +322,12 @@ def kmeans(vectors: DataFrame, rounds: int = 20, size: int = VOCABULARY) -> Data
             cluster = [_nearest(_matrix(b.slice(one, two - one), "v", size), _matrix(b.slice(one, 1), "now", size)) for one, two in pairwise(ends)]
             ids = b.column("idx").flatten()
             doc = b.column("document_id").take(pa.array(np.repeat(np.arange(b.num_rows), b.column("idx").value_lengths().to_numpy(zero_copy_only=False))))
-            vector = _listed(np.arange(len(ids) + 1) * size, b.column("v").flatten())
+            vector = _listed(np.arange(len(ids) + 1) * size, pa.array(_matrix(b, "v", size).reshape(-1)))
             yield pa.RecordBatch.from_arrays([doc, ids, vector, pa.array(np.concatenate([np.empty(0, int), *cluster]), pa.int32())], ["document_id", "idx", "vector", "cluster"])
 
     doc = f"document_id {kinds['document_id']}"
     with scratch() as keep:
-        blocks = stash(_blocks(vectors))
+        blocks = stash(packed)
         now = stash(_block_seeds(blocks, size).groupBy("document_id").agg(listed("centroid").alias("now"), F.lit(None).cast("array<double>").alias("before")))
         for left in reversed(range(rounds)):
             met = blocks.join(now, "document_id")
@@ -230,7 +337,7 @@ def kmeans(vectors: DataFrame, rounds: int = 20, size: int = VOCABULARY) -> Data
                 break
             mean = F.when(F.col("n") > 0, F.transform("s", lambda x: x / F.col("n"))).otherwise(F.col("centroid"))
             now = stash(total.withColumn("mean", mean).groupBy("document_id").agg(listed("mean").alias("now"), listed("centroid").alias("before")))
-        return keep(stash(met.select("document_id", "idx", "v", "now").mapInArrow(give, f"{doc}, idx {kinds['idx']}, vector array<double>, cluster int")))
+        return keep(stash(met.select("document_id", "idx", "vn", "vr", "v", "now").mapInArrow(give, f"{doc}, idx {kinds['idx']}, vector array<double>, cluster int")))
 
 
 def project(vectors: DataFrame, size: int = VOCABULARY) -> DataFrame:

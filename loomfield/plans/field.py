@@ -30,8 +30,9 @@ def cluster_means(units: DataFrame) -> DataFrame:
 
 
 def score_intentions(units: DataFrame, lexicon: Lexicon = CORPUS_LEXICON) -> DataFrame:
-    """units(document_id, cluster_id, text, speech_act, certainty, force, tension) with all intention scores."""
-    out = units.join(cluster_means(units), ["document_id", "cluster_id"]).withColumn("hedge", S.hedging(F.col("text"), lexicon))
+    """units(document_id, cluster_id, text, speech_act, certainty, force, tension) with all intention scores; a column hedge is taken as it is."""
+    out = units.join(cluster_means(units), ["document_id", "cluster_id"])
+    out = out if "hedge" in out.columns else out.withColumn("hedge", S.hedging(F.col("text"), lexicon))
     out = out.withColumn("deviation", S.cluster_deviation(F.col("certainty"), F.col("force"), F.col("tension"), F.col("means"), F.col("members")))
     out = out.withColumn("discrepancy", S.discrepancy(F.col("speech_act"), F.col("hedge.hedging"), F.col("hedge.challenge")))
     model = F.when(F.col("speech_act").isNotNull(), F.col("tension"))
@@ -66,19 +67,22 @@ def build_field(units: DataFrame, lexicon: Lexicon = Lexicon(), intentions=None,
     A document keeps its first `cap` chunks (see CAPS; None: all).  Documents with fewer than `least_chunks` chunks are
     listed in `rejected` (document_id, n, reason), with 0 chunks where no sentence was found, and in none of the others.
     """
-    chunks = stash(chunk_units(units, cap=cap))
+    # What follows from a text alone is computed once, as the chunks are written: below, each use would compute it again.
+    said = {"hedge": S.hedging(F.col("text"), lexicon), "type": unit_type(F.col("text")), "content_hash": content_hash(F.col("text"))}
+    chunks = stash(chunk_units(units, cap=cap).withColumns(said))
     counted = units.select("document_id").distinct().join(chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")), "document_id", "left").select("document_id", F.coalesce("n", F.lit(0)).alias("n"))
+    # Written, so that its size is known and a small one is broadcast: the texts then stay where they are.
+    counted = stash(counted)
     enough = counted.where(F.col("n") >= least_chunks)
     rejected = counted.where(F.col("n") < least_chunks).withColumn("reason", F.format_string(f"%d chunks, at least {least_chunks} are needed", "n"))
     chunks = chunks.join(enough.select("document_id"), "document_id", "left_semi").withColumnRenamed("chunk_index", "idx")
     chunks = intentions(chunks) if intentions else chunks.withColumns({"speech_act": F.lit(None).cast("string"), **{c: F.lit(None).cast("double") for c in ("certainty", "force", "tension")}})
-    weights = A.tfidf(A.token_counts(chunks), A.vocabulary(A.distinct_terms(chunks), chunks))
-    grouped = A.kmeans(A.dense(chunks, weights))
+    grouped = A.clustered(A.text_blocks(chunks))
     plane = A.project(grouped)
     full = chunks.join(grouped.select("document_id", "idx", F.col("cluster").alias("cluster_id")), ["document_id", "idx"]).join(plane, ["document_id", "idx"])
     scored = score_places(score_intentions(full, lexicon))
     fz = S.chosen_fz(F.col("lexical_fz"), F.col("triangulated"), F.col("certainty"), F.col("force"))
-    scored = scored.withColumns({"fz": fz, "fy": S.round2(F.col("lexical_fy")), "type": unit_type(F.col("text")), "cti": F.col("cti_score"), "content_hash": content_hash(F.col("text")), "px": S.unit_position(F.col("x")), "py": S.unit_position(F.col("y"))})
+    scored = scored.withColumns({"fz": fz, "fy": S.round2(F.col("lexical_fy")), "cti": F.col("cti_score"), "px": S.unit_position(F.col("x")), "py": S.unit_position(F.col("y"))})
     scored = stash(scored.drop("cti_score"))
     k = enough.select("document_id", A.choose_k(F.col("n")).alias("k"))
     clusters = A.cluster_summary(scored, k).join(A.cluster_labels(scored), ["document_id", "cluster_id"], "left")

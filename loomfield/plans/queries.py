@@ -739,7 +739,7 @@ def chunk_units(t: Tables) -> DataFrame:
 
 @query()
 def kmeans_full(t: Tables) -> DataFrame:
-    return A.kmeans(A.dense(t.units, A.tfidf(A.token_counts(t.units), A.vocabulary(A.distinct_terms(t.units), t.units)))).select("document_id", "idx", "cluster")
+    return A.clustered(A.text_blocks(t.units)).select("document_id", "idx", "cluster")
 
 
 @query()

@@ -196,6 +196,22 @@ def test_kmeans_equals_plain_rounds_and_writes_units_twice(spark, monkeypatch):
     assert sum("idx" in df.columns for df in written) == 2
 
 
+def test_packed_texts_hold_the_same_vectors_and_cut_no_tokens_in_rows(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["alpha", "Beta's", "gamma", "100", "200", "0300", "Åse", "the", "and", "ab", "x-y-z", "delta", "İota", "öst"]
+    rows = [(r.choice(["hot", "hot", "d", "e", None]), i, " ".join(r.choices(words, k=r.randrange(12)))) for i in range(300)] + [("hot", 900, None), ("d", 901, ""), ("one", 902, "alpha alpha"), ("late", 903, "!?")]
+    u = spark.createDataFrame(rows, "document_id string, idx long, text string").repartition(3)
+    want = {(x.document_id, x.idx): x.vector for x in A.dense(u, A.tfidf(A.token_counts(u), A.vocabulary(A.distinct_terms(u), u))).collect() if x.document_id}
+    monkeypatch.setattr(A, "COUNTED", 5)
+    monkeypatch.setattr(A, "BLOCK", 7)
+    for name in ("token_counts", "distinct_terms", "dense"):
+        monkeypatch.setattr(A, name, lambda *a: pytest.fail("tokens of units become rows"))
+    got = {(x.document_id, x.idx): x.vector for x in A.clustered(A.text_blocks(u)).collect()}
+    assert got == want and any(any(v) for v in got.values())
+    out = queries.kmeans_full(SimpleNamespace(units=u)).collect()
+    assert {(x.document_id, x.idx) for x in out} == set(want)
+
+
 def test_projection_equals_svd(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(30, 5)) * (5, 3, 1, 1, 0.5)
