@@ -103,13 +103,21 @@ def fit(x: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
     return pivots
 
 
+def _sample(units: DataFrame, n: int, most: int) -> DataFrame:
+    """(v): of n rows the `most` with the least hash of their id.  Those that can't be among them stay out first, as each partition sends its first `most` rows to the driver."""
+    hashed = units.select("v", F.xxhash64("id").alias("h"))
+    if n > 2 * most:
+        hashed = hashed.where(F.col("h") <= int(-(1 << 63) + 1.5 * most / n * (1 << 64)))
+    return hashed.orderBy("h", "v").limit(most).select("v")
+
+
 def build(rows: DataFrame, vector: str, id: str = "id", more: tuple[str, ...] = (), cell_rows: int | None = None) -> Cells:
     """Place every usable row; about `cell_rows` a cell, or as many as there are cells."""
     units = unit_rows(rows, vector, id, more)
     pivots, first, cells = {}, {}, 0
     for d, n in sorted(units.groupBy(F.size("v").alias("d")).count().collect()):
         some = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * d)))
-        sample = units.where(F.size("v") == d).select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(some).select("v").toArrow()
+        sample = _sample(units.where(F.size("v") == d), n, some).toArrow()
         x = sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
         pivots[d] = fit(x, max(1, min(MOST_PIVOTS, n // cell_rows if cell_rows else math.isqrt(n), PIVOT_BYTES // (8 * d), len(x))))
         first[d] = cells

@@ -237,3 +237,12 @@ def test_single_precision_drops_no_pair():
     for least in (near[3, 17], near[200, 399], 0.0, -1.0, 1.0):  # pairs that are exactly at the threshold
         p, q, s = cells._alike(x, x, least)
         assert set(zip(p.tolist(), q.tolist())) == set(zip(*(c.tolist() for c in np.nonzero(near >= least - 1e-12)))) and np.allclose(s, near[p, q], atol=1e-14)
+
+
+def test_a_sample_leaves_out_first_what_cannot_be_in_it(spark):
+    units = spark.range(20_000).select("id", F.array(F.col("id").cast("double")).alias("v")).repartition(8)
+    want = sorted(r.v for r in units.orderBy(F.xxhash64("id")).limit(500).collect())
+    got = cells._sample(units, 20_000, 500)
+    assert sorted(r.v for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (xxhash64(" in plan and "Filter" not in cells._sample(units, 900, 500)._jdf.queryExecution().optimizedPlan().toString()
